@@ -10,12 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import ship
+
 #: Rows and bytes of an Arrow batch.  Texts may be long, so a batch is kept small.
 BATCH_ROWS, BATCH_BYTES = 1024, "32m"
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound the memory of Arrow batches; left alone where the user has chosen a smaller size."""
+    """Bound the memory of Arrow batches (left alone where the user has chosen less) and send the code to the workers."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, secrets
+from . import ann, bpe, html, packing, quality, secrets, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,16 +36,44 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = toxicity.score_toxicity(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
+    return _scored(found, 0.7)
+
+
+def _scored(found: DataFrame, threshold: float) -> DataFrame:
+    return found.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), _vocabulary())
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors, dim = ann.usable(_table(spark, sf_dir, "embeddings"))
+    if not dim:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    index, centres, _ = ann.build_index(vectors, dim)
+    return ann.search(index, index.where("vec_id % 100 = 0").select("vec_id", "embedding"), centres, dim)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), _vocabulary())
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = quality.score_quality(docs, quality.learn(docs, _table(spark, sf_dir, "labels")))
+    return _scored(found, 0.5)
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_text(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_secret_scan, op4_bpe, op6_best_fit_packing)}
+    return {f.__name__: f for f in (op2_secret_scan, op3_toxicity, op4_bpe, op5_nearest_neighbours, op6_best_fit_packing, op8_quality, op10_html_text)}
 
 
 def oracle_sql() -> dict[str, str]:
