@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, html, packing, quality, secrets, toxicity
+from . import ann, bpe, html, packing, quality, search, secrets, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    texts = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    return search.search_like(docs, texts)
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(_table(spark, sf_dir, "documents"))
     line = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
@@ -73,7 +79,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_secret_scan, op3_toxicity, op4_bpe, op5_nearest_neighbours, op6_best_fit_packing, op8_quality, op10_html_text)}
+    return {f.__name__: f for f in (op1_bm25_search, op2_secret_scan, op3_toxicity, op4_bpe, op5_nearest_neighbours, op6_best_fit_packing, op8_quality, op10_html_text)}
 
 
 def oracle_sql() -> dict[str, str]:
