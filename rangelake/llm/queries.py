@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, html, packing, quality, search, secrets, toxicity
+from . import ann, bpe, html, jaccard, packing, quality, search, secrets, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,12 +74,16 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(found, 0.5)
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_text(_table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bm25_search, op2_secret_scan, op3_toxicity, op4_bpe, op5_nearest_neighbours, op6_best_fit_packing, op8_quality, op10_html_text)}
+    return {f.__name__: f for f in (op1_bm25_search, op2_secret_scan, op3_toxicity, op4_bpe, op5_nearest_neighbours, op6_best_fit_packing, op8_quality, op9_ngram_jaccard_join, op10_html_text)}
 
 
 def oracle_sql() -> dict[str, str]:
