@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, html, jaccard, packing, quality, search, secrets, toxicity
+from . import ann, bpe, html, jaccard, linededup, packing, quality, search, secrets, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,6 +68,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), _vocabulary())
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_report(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = quality.score_quality(docs, quality.learn(docs, _table(spark, sf_dir, "labels")))
@@ -83,7 +87,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bm25_search, op2_secret_scan, op3_toxicity, op4_bpe, op5_nearest_neighbours, op6_best_fit_packing, op8_quality, op9_ngram_jaccard_join, op10_html_text)}
+    return {f.__name__: f for f in (op1_bm25_search, op2_secret_scan, op3_toxicity, op4_bpe, op5_nearest_neighbours, op6_best_fit_packing, op7_line_dedup, op8_quality, op9_ngram_jaccard_join, op10_html_text)}
 
 
 def oracle_sql() -> dict[str, str]:
