@@ -15,7 +15,7 @@ from . import ann, bpe, html, jaccard, linededup, packing, quality, search, secr
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _vocabulary() -> str:
+def vocabulary() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
@@ -53,7 +53,7 @@ def _scored(found: DataFrame, threshold: float) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(_table(spark, sf_dir, "documents"), _vocabulary())
+    return bpe.encode_documents(_table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_table(spark, sf_dir, "documents"), _vocabulary())
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
