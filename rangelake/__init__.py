@@ -1,0 +1 @@
+"""Analytics over range-partitioned key/value records on Spark DataFrames."""
