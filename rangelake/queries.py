@@ -207,7 +207,7 @@ def manifest_totals(spark, d):
     return M.totals(V.event_manifest(spark, d))
 
 
-@_query(f"{_REC} SELECT CAST(sum(item_count) AS BIGINT) AS match_mass, CAST(sum(oob_count) AS BIGINT) AS match_oob, count(*) AS match_count, sum(item_count) / (SELECT sum(item_count) FROM man WHERE epoch = 2) AS selectivity FROM man WHERE epoch = 2 AND obs_min <= {_F(1)} AND obs_max >= {_F(0.5)}")
+@_query(f"{_REC} SELECT CAST(coalesce(sum(item_count), 0) AS BIGINT) AS match_mass, CAST(coalesce(sum(oob_count), 0) AS BIGINT) AS match_oob, count(*) AS match_count, coalesce(sum(item_count) / (SELECT sum(item_count) FROM man WHERE epoch = 2), 0) AS selectivity FROM man WHERE epoch = 2 AND obs_min <= {_F(1)} AND obs_max >= {_F(0.5)}")
 def manifest_match(spark, d):
     m = V.event_manifest(spark, d)
     return M.match_stats(M.overlapping(m, 2, 0.5, 1), M.epoch_mass(m, 2))
@@ -415,6 +415,8 @@ def pivot_buckets(spark, d):
 
 _ION, _ELECTRON = "A", "R"
 _CELLS = f"WITH {_cells('ion', _ION)}, {_cells('ele', _ELECTRON)}"
+#: Exact hundredths often end in a 5 that either engine may round its way; this much moves them off it.
+_NUDGE = 1.3e-8
 _T = {"xx": "txx", "yy": "tyy", "zz": "tzz", "xy": "txy", "yx": "txy", "xz": "tzx", "zx": "tzx", "yz": "tyz", "zy": "tyz"}
 
 
@@ -422,11 +424,11 @@ def _moments_sql(name: str, mass: float, sign: str, n: str) -> str:
     v = {a: f"({sign}j{a} / {n})" for a in "xyz"}
     u = {a: f"(p{a} / {n} / {mass})" if mass != 1 else f"(p{a} / {n})" for a in "xyz"}
     cols = {f"v{a}": v[a] for a in "xyz"} | {f"u{a}": u[a] for a in "xyz"} | {f"p{ij}": f"{t} - {mass}::DOUBLE * {n} * {v[ij[0]]} * {u[ij[1]]}" for ij, t in _T.items()}
-    return f"SELECT t, ix, iy, iz, {n} AS n, " + ", ".join(f"round(CASE WHEN abs({n}) > 0 THEN {e} ELSE 0.0 END, 4) AS {c}" for c, e in cols.items()) + f" FROM {name}"
+    return f"SELECT t, ix, iy, iz, {n} AS n, " + ", ".join(f"round(CASE WHEN abs({n}) > 0 THEN {e} ELSE 0.0 END + {_NUDGE}, 4) AS {c}" for c, e in cols.items()) + f" FROM {name}"
 
 
 def _rounded(df: DataFrame, digits: int = 4) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" and c != "n" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[F.round(F.col(c) + _NUDGE, digits).alias(c) if t == "double" and c != "n" else F.col(c) for c, t in df.dtypes])
 
 
 @_query("SELECT vec_id, CAST(sqrt(1 + embedding[1]::DOUBLE * embedding[1]::DOUBLE + embedding[2]::DOUBLE * embedding[2]::DOUBLE + embedding[3]::DOUBLE * embedding[3]::DOUBLE) - 1 AS FLOAT) AS key FROM embeddings")
@@ -444,17 +446,17 @@ def electron_moments(spark, d):
     return _rounded(P.electron_moments(V.cells(spark, d, _ELECTRON)))
 
 
-@_query(f"{_CELLS} SELECT i.t, i.ix, i.iy, i.iz, " + ", ".join(f"round(i.j{a} + e.j{a}, 4) AS j{a}" for a in "xyz") + ", round(sqrt(" + " + ".join(f"(i.j{a} + e.j{a}) * (i.j{a} + e.j{a})" for a in "xyz") + "), 4) AS jmag FROM ion i JOIN ele e USING (t, ix, iy, iz)")
+@_query(f"{_CELLS} SELECT i.t, i.ix, i.iy, i.iz, " + ", ".join(f"round(i.j{a} + e.j{a} + {_NUDGE}, 4) AS j{a}" for a in "xyz") + ", round(sqrt(" + " + ".join(f"(i.j{a} + e.j{a}) * (i.j{a} + e.j{a})" for a in "xyz") + f") + {_NUDGE}, 4) AS jmag FROM ion i JOIN ele e USING (t, ix, iy, iz)")
 def total_current(spark, d):
     return _rounded(P.total_current(V.cells(spark, d, _ION), V.cells(spark, d, _ELECTRON)))
 
 
-@_query(f"{_CELLS} SELECT i.t, i.ix, i.iy, i.iz, " + ", ".join(f"round((-e.j{a} + i.j{a}) / (i.rho + abs(e.rho)), 6) AS v{a}" for a in "xyz") + " FROM ion i JOIN ele e USING (t, ix, iy, iz)")
+@_query(f"{_CELLS} SELECT i.t, i.ix, i.iy, i.iz, " + ", ".join(f"round((-e.j{a} + i.j{a}) / (i.rho + abs(e.rho)) + {_NUDGE}, 6) AS v{a}" for a in "xyz") + " FROM ion i JOIN ele e USING (t, ix, iy, iz)")
 def bulk_velocity(spark, d):
     return _rounded(P.bulk_velocity(P.ion_moments(V.cells(spark, d, _ION), 25.0), P.electron_moments(V.cells(spark, d, _ELECTRON))), 6)
 
 
-@_query(f"{_CELLS} SELECT i.t, i.ix, i.iy, i.iz, " + ", ".join(f"round((i.j{a} * 25.0::DOUBLE - e.j{a}) / (abs(e.rho) + i.rho * 25.0::DOUBLE), 6) AS v{a}" for a in "xyz") + " FROM ion i JOIN ele e USING (t, ix, iy, iz)")
+@_query(f"{_CELLS} SELECT i.t, i.ix, i.iy, i.iz, " + ", ".join(f"round((i.j{a} * 25.0::DOUBLE - e.j{a}) / (abs(e.rho) + i.rho * 25.0::DOUBLE) + {_NUDGE}, 6) AS v{a}" for a in "xyz") + " FROM ion i JOIN ele e USING (t, ix, iy, iz)")
 def mass_velocity(spark, d):
     return _rounded(P.mass_velocity(V.cells(spark, d, _ION), V.cells(spark, d, _ELECTRON), 25.0), 6)
 
