@@ -31,7 +31,7 @@ from pyspark.sql.datasource import (
     LessThan,
     LessThanOrEqual,
 )
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructType
 
 from ..runtime import ship
 from ..schemas import MANIFEST, RECORD
@@ -252,7 +252,7 @@ def places(footer: Footer) -> tuple[np.ndarray, np.ndarray]:
     return sst, pos
 
 
-KEYS = StructType(RECORD.fields[:-1]).add("value_offset", "bigint")
+KEYS = StructType(RECORD.fields[:-1]).add("value_offset", LongType())
 
 
 class KeySource(DataSource):
@@ -290,7 +290,7 @@ class Rank(InputPartition):
     size: int
 
 
-MANIFEST_FILE = StructType(MANIFEST.fields).add("key_sz", "bigint").add("val_sz", "bigint")
+MANIFEST_FILE = StructType(MANIFEST.fields).add("key_sz", LongType()).add("val_sz", LongType())
 
 
 class _ManifestReader(DataSourceReader):

@@ -179,18 +179,18 @@ def tracers(spark: SparkSession, path: str, extra: tuple[str, ...] = (), header:
     ``header``: "snapshot" is count, variables, charge, mass, time and two ones; "merged" is count,
     charge over mass, time and two ones.  Other ones than 1.0 are an error.
     """
-    head = struct.Struct("<iiffdfd" if header == "snapshot" else "<ifdfd")
+    head = "<iiffdfd" if header == "snapshot" else "<ifdfd"
     names = ("tag", *TRACER_BASE, *extra)
 
     def work(batches):
         for b in batches:
             for name, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                h = head.unpack_from(raw)
+                h = struct.unpack_from(head, raw)
                 if h[-2:] != (1.0, 1.0):
                     raise ValueError(f"{name}: mangled header {h[-2:]}")
                 if header == "snapshot" and h[1] != len(names):
                     raise ValueError(f"{name}: {h[1]} variables, not {len(names)}")
-                data = np.frombuffer(raw, "<f4", h[0] * len(names), head.size).reshape(-1, len(names))
+                data = np.frombuffer(raw, "<f4", h[0] * len(names), struct.calcsize(head)).reshape(-1, len(names))
                 n, species = len(data), name.rsplit("/", 1)[-1].split(".")[0]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, h[-3])), pa.array([species] * n, pa.string()), pa.array(data[:, 0].astype(np.int32)), *[pa.array(np.ascontiguousarray(data[:, i])) for i in range(1, len(names))]], names=["t", "species", *names])
 
