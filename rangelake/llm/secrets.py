@@ -93,7 +93,7 @@ def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
             part, start = term[k], term.start(k)
             if k == 4 and part in known:
                 value, places = value + known[part][0], places + known[part][1]
-            elif part:
+            elif part and not (k == 4 and part.isalpha()):  # a bare word of letters is a name or a keyword
                 refs = [r for r in _REFERENCE.finditer(part) if (r[1] or r[2] or r[3]) in known] if "{" in part or "$" in part else []
                 for r in reversed(refs):
                     put = known[r[1] or r[2] or r[3]]
