@@ -6,7 +6,8 @@
 3. The ids go back to the chunk and are joined to the documents' numbers by position; pieces of
    the decoded text come from an id-to-piece table (bounded by the vocabulary).
 
-Texts are read twice and never shuffled: documents move as numbers, about 1.5 bytes a word.
+Texts are read twice (a table that isn't a plain scan is written down first) and never shuffled:
+documents move as numbers, about 1.5 bytes a word.
 A chunk is named by a digest of its dictionary, so a chunk that could not be read alike twice is
 an error and never a wrong result.
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, select, tune
+from .common import columns, select, stable, tune
 from .wordbpe import WordBpe, load
 
 CHUNK = 24_000_000
@@ -72,7 +73,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
     """Per row: doc_id, n_tokens and, by ``emit``, either ids (array) and decoded (string), or their SHA-256 digests."""
     spark = docs.sparkSession
     tune(spark)
-    picked = select(docs, doc_id=id_col, text=text_col)
+    picked = stable(select(docs, doc_id=id_col, text=text_col))
     kind = picked.schema["doc_id"].dataType.simpleString()
     # Each chunk holds a word at most once, some 60 words new to it for each document.
     buckets = max(64, picked.count() * 60 // 2_000_000)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -48,6 +49,12 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stable(df: DataFrame) -> DataFrame:
+    """A table whose partitions give the same rows in the same order each time: a plain scan as it is, else a copy."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return save(df, "stable") if re.search("Exchange|RDD|InMemory|Python|Arrow|Pandas|Generate", plan) else df
+
+
 def columns(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
 
