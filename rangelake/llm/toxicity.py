@@ -84,7 +84,7 @@ class Lexicon:
 
     stems: dict[str, float]
     exceptions: tuple[str, ...] = EXCEPTIONS
-    coefficients: tuple[float, float, float] = (-4.0, 2.0, 1.0)
+    coefficients: tuple[float, float, float] = (-3.0, 2.0, 2.0)
     _automaton: object = field(default=None, repr=False)
 
     def __getstate__(self):
