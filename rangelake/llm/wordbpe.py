@@ -73,7 +73,7 @@ class WordBpe:
         """Whole words of the pre-tokeniser: the vocabulary marks each one's last id, so one text can hold them all."""
         if not words:
             return []
-        ids = np.array(self.tok.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.tok.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != len(words):  # a vocabulary without such marks
             return [np.array(self.tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
