@@ -95,34 +95,37 @@ class Lexicon:
             import ahocorasick
 
             self._automaton = ahocorasick.Automaton()
-            for stem, w in self.stems.items():
-                self._automaton.add_word(f" {stem}", (len(stem) + 1, w))
+            for stem in self.stems:
+                self._automaton.add_word(f" {stem}", (len(stem) + 1, stem))
             for phrase in self.exceptions:
                 self._automaton.add_word(f" {phrase} ", (len(phrase) + 2, None))
             self._automaton.make_automaton()
         return self._automaton
 
-    def hits(self, text: str | None) -> list[tuple[int, int, float]]:
-        """(start, end, weight) in the folded text; of stems at one place the heaviest; exceptions taken away."""
-        best: list[tuple[int, int, float]] = []
+    def hits(self, text: str | None) -> list[tuple[int, int, str]]:
+        """(start, end, stem) in the folded text; of stems at one place the heaviest; exceptions taken away."""
+        best: list[tuple[int, int, str]] = []
         if not self.stems:
             return best
+        weight = lambda own: sum(self.stems[s] for *_, s in own)
         for reading in fold(text):
-            found, skip = {}, []
-            for end, (n, w) in self.automaton().iter(reading):
+            found: dict[int, tuple[int, str]] = {}
+            skip = []
+            for end, (n, stem) in self.automaton().iter(reading):
                 start = end - n + 1
-                if w is None:
+                if stem is None:
                     skip.append((start, end))
-                elif start not in found or w > found[start][1]:
-                    found[start] = (end, w)
+                elif start not in found or self.stems[stem] > self.stems[found[start][1]]:
+                    found[start] = (end, stem)
             kept = [(s, e, w) for s, (e, w) in found.items() if not any(a <= s and s + 1 < b for a, b in skip)]
-            if sum(h[2] for h in kept) > sum(h[2] for h in best):
+            if weight(kept) > weight(best):
                 best = kept
         return best
 
     def features(self, text: str | None) -> tuple[float, float]:
-        """The summed weight of the hits, normalised by the root of the length, and its logarithm."""
-        total = sum(h[2] for h in self.hits(text))
+        """The summed weight of the hits (the same stem again says less), normalised by the root of the length, and its logarithm."""
+        counts = Counter(stem for *_, stem in self.hits(text))
+        total = sum(self.stems[stem] * math.log2(1 + n) for stem, n in counts.items())
         if not total:
             return 0.0, 0.0
         return total / math.sqrt(50 + len(text.split())), math.log1p(total)
@@ -174,17 +177,17 @@ def _word_features(text: str | None) -> set[str]:
 
 
 def choose_stems(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[str, float]:
-    """Of features (text, toxic documents, other documents) those that surely speak for toxicity, with their log odds.
+    """Of features (text, toxic documents, other documents) those that surely speak for toxicity, with careful log odds.
 
     A beginning gives way to the longer one that has nearly all of its documents.
     """
     support = {f: a for f, a, _ in counts}
     out = {}
     for f, a, b in counts:
-        weight = math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1))
-        if a < 4 or weight - 2.3 * math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) < 0.9:
-            continue
-        out[f] = (min(weight, 8.0), a)
+        # As few toxic and as many other documents as these counts may well stand for.
+        low, high = a - 2 * math.sqrt(a), b + 2 * math.sqrt(b) + 2
+        if low > 0 and (weight := math.log(low / toxic) - math.log(high / clean)) > 0.5:
+            out[f] = (min(weight, 8.0), a)
     longer = {f[:-1] for f in out if support[f] >= 0.8 * support.get(f[:-1], 10**12)}
     return {f: w for f, (w, _) in out.items() if f not in longer}
 
