@@ -150,13 +150,20 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
 
     def count(batches):
         c: Counter = Counter()
+
+        def flush():
+            items = list(c.items())
+            for k in range(0, len(items), 20_000):
+                part = items[k : k + 20_000]
+                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part]), pa.array([n for _, n in part], pa.int64())], names=["w", "n"])
+            c.clear()
+
         for b in batches:
             for t in columns(b, "text")[0]:
                 c.update(set(w.lower() for w in _CORE.findall(t or "")))
-        items = list(c.items())
-        for k in range(0, len(items), 20_000):
-            part = items[k : k + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part]), pa.array([n for _, n in part], pa.int64())], names=["w", "n"])
+                if len(c) > 200_000:  # partial counts, so a task's memory is bounded
+                    yield from flush()
+        yield from flush()
 
     counted = sample.select("text").mapInArrow(count, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
     words = {r["w"]: i for i, r in enumerate(counted.where("n >= 3").orderBy(F.desc("n"), "w").limit(VOCABULARY).collect())}

@@ -210,13 +210,20 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Lexicon:
 
     def count(batches):
         by: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def flush():
+            names = list(by[0].keys() | by[1].keys())
+            for k in range(0, len(names), 20_000):
+                part = names[k : k + 20_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([by[1][f] for f in part], pa.int64()), pa.array([by[0][f] for f in part], pa.int64())], names=["f", "a", "b"])
+            by[0].clear(), by[1].clear()
+
         for b in batches:
             for t, y in zip(*columns(b, "text", "y"), strict=True):
                 by[y].update(_word_features(t))
-        names = list(by[0].keys() | by[1].keys())
-        for k in range(0, len(names), 20_000):
-            part = names[k : k + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([by[1][f] for f in part], pa.int64()), pa.array([by[0][f] for f in part], pa.int64())], names=["f", "a", "b"])
+                if len(by[0]) + len(by[1]) > 200_000:  # partial counts, so a task's memory is bounded
+                    yield from flush()
+        yield from flush()
 
     counted = sample.mapInArrow(count, "f string, a bigint, b bigint").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     ratio = (F.col("a") + 0.5) / (toxic + 1) / ((F.col("b") + 0.5) / (clean + 1))

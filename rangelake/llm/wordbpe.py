@@ -84,7 +84,7 @@ class WordBpe:
 class UnitCache(dict):
     """unit -> ids as little-endian bytes, filled on demand; emptied when it is full, so its memory is bounded."""
 
-    def __init__(self, bpe: WordBpe, most: int = 1_000_000):
+    def __init__(self, bpe: WordBpe, most: int = 700_000):
         super().__init__()
         self.bpe, self.most = bpe, most
 
