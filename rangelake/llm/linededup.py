@@ -1,8 +1,8 @@
 """Fuzzy line deduplication, by DataFrame functions alone.
 
-A line (trimmed, lower case) is the set of its character shingles: the runs of ``SHINGLE`` characters
-that begin at a word's start, running over into the words that follow.  Signatures of ``BANDS`` times the ``ROWS``
-least hashes under random orders put lines into bands' buckets; each line of a bucket is paired with the
+A line (trimmed, lower case) is the set of its character shingles: all runs of ``SHINGLE`` characters, at every
+place.  The hashes of the runs lie on a ring; signatures of ``BANDS`` times the ``ROWS`` hashes that follow
+fixed marks on it put lines into bands' buckets; each line of a bucket is paired with the
 bucket's first line and with the ``NEIGHBOURS`` lines before it (linear in the bucket's size; bands
 order their buckets differently).  Pairs are verified by
 the exact Jaccard similarity of their sets, a distributed union-find joins what is verified, and of
@@ -20,8 +20,6 @@ place keep it each; a line without a whole shingle is one shingle.
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +34,8 @@ SAMPLED, HOT = 64, 4096
 #: Bits of the bitmap of lines to verify: at most 2048 rows of 4 KB, however many lines there are.
 BITS = 1 << 26
 
-_MASKS = [random.Random(7_919 * (k + 1)).getrandbits(63) for k in range(BANDS // 2 - 1)]
+#: Evenly spaced places on the ring of 64-bit hashes, one for each band.
+_MARKS = [-(1 << 63) + (b << 64) // BANDS + 1 for b in range(BANDS)]
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -50,32 +49,26 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _with_shingles(lines: DataFrame, name: str) -> DataFrame:
-    """Lines with the hashes of their shingles; the look-ahead takes them, the match itself goes on to the next word."""
-    found = F.expr(f"regexp_extract_all(norm, '(?s)(?=(.{{{SHINGLE}}}))\\\\S+', 1)")
+    """Lines with the set of hashes of their shingles; the look-ahead takes them, the match itself is one character."""
+    found = F.expr(f"regexp_extract_all(norm, '(?s)(?=(.{{{SHINGLE}}})).', 1)")
     # Of its own step, or the pattern would be run for the size and for the hashes.
     cut = lines.withColumn("_found", found)
     hashes = F.when(F.size("_found") > 0, F.transform("_found", lambda x: F.xxhash64(x))).otherwise(F.array(F.xxhash64("norm")))
-    return cut.withColumn(name, hashes).drop("_found")
-
-
-def _turned(mask: int) -> F.Column:
-    """The hashes under a random order: the bits of ``mask`` turned over."""
-    return F.transform("h0", lambda x: x.bitwiseXOR(F.lit(mask)))
+    return cut.withColumn(name, F.array_distinct(hashes)).drop("_found")
 
 
 def signed_lines(docs: DataFrame) -> DataFrame:
     """doc_id, key, pos, id64, id2, band keys k0.. of each line.
 
-    Each random order gives two bands: its least hashes and its greatest ones.  The chance that ROWS
-    of them are all the same for two lines is that of ROWS single minima, the similarity to that power.
+    A band's key is of the ROWS hashes that come after its mark, going round: the least ones in an order that
+    begins there.  The chance that they are all the same for two lines is the similarity to that power.
     """
     own = ["doc_id", "key", "pos", "id64", "id2"]
-    lines = _with_shingles(_lines(docs), "h0").select(*own, "h0")
-    orders = lines.select(*own, F.sort_array("h0").alias("h0"), *[F.sort_array(_turned(m)).alias(f"h{i + 1}") for i, m in enumerate(_MASKS)])
-    least = lambda h: F.slice(h, 1, ROWS)
-    greatest = lambda h: F.slice(h, F.greatest(F.lit(1), F.size(h) - ROWS + 1), ROWS)
-    keys = [F.xxhash64(F.lit(b), (greatest if b % 2 else least)(F.col(f"h{b // 2}"))).alias(f"k{b}") for b in range(BANDS)]
-    return orders.select(*own, *keys)
+    lines = _with_shingles(_lines(docs), "h").select(*own, F.sort_array("h").alias("h"))
+    # Sorted with the marks among them, a mark's place tells how many hashes are before it.
+    lines = lines.select(*own, F.concat("h", F.slice("h", 1, ROWS)).alias("h"), F.sort_array(F.concat("h", F.array(*map(F.lit, _MARKS)))).alias("m"))
+    keys = [F.xxhash64(F.lit(b), F.slice("h", (F.array_position("m", F.lit(_MARKS[b])) - b).cast("int"), ROWS)).alias(f"k{b}") for b in range(BANDS)]
+    return lines.select(*own, *keys)
 
 
 def distinct_lines(signed: DataFrame) -> DataFrame:

@@ -159,6 +159,37 @@ def test_line_dedup_is_brute_force(spark):
     assert all(got[i] == want.get(i, []) for i in range(500, 508))
 
 
+def every_run(rows, threshold=0.8):
+    """As plain_lines, by all runs of nine characters of a line."""
+    where = defaultdict(set)
+    for i, t in rows:
+        for k, line in enumerate((t or "").split("\n")):
+            if n := line.strip(" \t\r").lower():
+                where[n].add((i, k))
+    names = list(where)
+    sets = {k: frozenset(n[j : j + 9] for j in range(max(1, len(n) - 8))) for k, n in enumerate(names)}
+    groups = defaultdict(set)
+    for k, (root, _) in classes(sets, threshold).items():
+        groups[root] |= where[names[k]]
+    gone = defaultdict(list)
+    for g in groups.values():
+        for i, k in sorted(g)[1:]:
+            gone[i].append(k)
+    return {i: sorted(k) for i, k in gone.items()}
+
+
+def test_line_dedup_looks_at_every_run(spark):
+    long = "https://where.example/" + "".join(map(str, range(100, 160)))
+    texts = ["chapter 10", "chapter 11", "https://www.one.example/a", "https://www.two.example/b", "see table 12 below, page 7", "see table 12 below, page 9"]
+    texts += ["\u6211\u4eec\u4eca\u5929\u53bb\u516c\u56ed\u770b\u82b1\u548c\u6811", "\u6211\u4eec\u4eca\u5929\u53bb\u516c\u56ed\u770b\u82b1\u7684\u4eba\u5f88\u591a", "QmFzZTY0IHRleHQ=", "QmFzZTY0IG90aGVyIHRleHQ=", long, long + "!"]
+    rows = [*enumerate(texts), *((100 + i, t) for i, t in line_rows(3))]
+    got = {r["doc_id"]: r["removed"] for r in linededup.dedup_report(frame(spark, rows)).collect()}
+    want = every_run(rows)
+    assert [i for i in range(len(texts)) if got[i]] == [5, len(texts) - 1]  # page 7 and page 9 share 17 of 19 runs
+    assert all(got[i] == want.get(i, []) for i in range(len(texts)))
+    assert sum(got[i] == want.get(i, []) for i in got) >= 0.97 * len(rows)
+
+
 def test_line_dedup_with_salted_buckets(spark, monkeypatch):
     rows = line_rows(2)
     plain = sorted(map(str, linededup.dedup_report(frame(spark, rows)).collect()))
