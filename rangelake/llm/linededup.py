@@ -3,9 +3,10 @@
 A line (trimmed, lower case) is the set of its character shingles: all runs of ``SHINGLE`` characters, at every
 place.  The hashes of the runs lie on a ring; signatures of ``BANDS`` times the ``ROWS`` hashes that follow
 fixed marks on it put lines into bands' buckets; each line of a bucket is paired with the
-bucket's first line and with the ``NEIGHBOURS`` lines before it (linear in the bucket's size; bands
-order their buckets differently).  Pairs are verified by
-the exact Jaccard similarity of their sets, a distributed union-find joins what is verified, and of
+bucket's first line and with the ``NEIGHBOURS`` lines before it, all of them in small buckets.  Pairs are verified by
+the exact Jaccard similarity of their sets, and a distributed union-find joins what is verified.  Large buckets
+whose lines aren't all joined by then are searched in full for links between the components: by an exact
+prefix join on the rarest shingles in the bucket, which no pair that is similar enough escapes.  Of
 each component of lines the first occurrence (by document id, then place) stays.
 
 Equal lines are one node from the start.  Buckets that a sample shows to be large are salted, so no
@@ -29,6 +30,8 @@ from .components import components
 SHINGLE, BANDS, ROWS = 9, 6, 3
 #: In a bucket each line is paired with so many lines before it (all of them in small buckets) and with the first.
 NEIGHBOURS = 8
+#: Lines in a list of lines that share a shingle; longer lists are cut.
+LIST = 1024
 #: A bucket that is estimated, from one line in ``SAMPLED``, to hold more than ``HOT`` lines is salted.
 SAMPLED, HOT = 64, 4096
 #: Bits of the bitmap of lines to verify: at most 2048 rows of 4 KB, however many lines there are.
@@ -77,9 +80,13 @@ def distinct_lines(signed: DataFrame) -> DataFrame:
     return save(signed.groupBy("id64").agg(F.count("*").alias("n"), *keys), "distinct-lines")
 
 
+def _records(distinct: DataFrame) -> DataFrame:
+    return distinct.select("id64", F.explode(F.array(*[f"k{b}" for b in range(BANDS)])).alias("bucket"))
+
+
 def candidate_pairs(distinct: DataFrame) -> DataFrame:
-    """a, b: pairs of different lines (id64) that share a bucket, linear in the buckets' sizes."""
-    records = distinct.select("id64", F.explode(F.array(*[f"k{b}" for b in range(BANDS)])).alias("bucket"))
+    """a, b: pairs of different lines (id64) that share a bucket, linear in the buckets' sizes: all pairs of small buckets."""
+    records = _records(distinct)
     sampled = records.where(F.pmod("id64", F.lit(SAMPLED)) == 0).groupBy("bucket").count()
     hot = save(sampled.where(F.col("count") > HOT // SAMPLED).select("bucket", F.ceil(F.col("count") * SAMPLED / HOT).alias("salts")), "hot-buckets")
     if hot.take(1):
@@ -113,9 +120,8 @@ def _only_marked(rows: DataFrame, column: F.Column, marks: DataFrame) -> DataFra
     return met.where(F.pmod(F.floor(byte / F.pow(F.lit(2.0), place % 8)), F.lit(2)) == 1).select(*rows.columns)
 
 
-def verified_links(docs: DataFrame, signed: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """a, b (struct of id64 and id2, or id64 where it names each line) of the pairs whose shingle sets have at least this Jaccard similarity."""
-    pairs = save(pairs, "line-pairs")
+def line_sets(docs: DataFrame, signed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """id64, node (struct of id64 and id2, or id64 where it names each line), s (set of shingles) of the lines that a pair names."""
     named = pairs.select(F.col("a").alias("id64")).unionByName(pairs.select(F.col("b").alias("id64"))).distinct()
     marks = _marked(named, "id64")
     # Documents first: a text without such a line isn't cut into lines.
@@ -125,23 +131,69 @@ def verified_links(docs: DataFrame, signed: DataFrame, pairs: DataFrame, thresho
     lines = lines.dropDuplicates(["id64", "id2"])
     if (marks.agg(F.sum(F.bitmap_count("_bits"))).first()[0] or 0) > BITS // 16:  # a full bitmap tells little
         lines = lines.join(named, "id64", "left_semi")
-    lines = _with_shingles(lines, "s").select("id64", F.struct("id64", "id2").alias("node"), F.array_distinct("s").alias("s"))
-    lines = save(lines, "line-sets")
+    lines = save(_with_shingles(lines, "s").select("id64", F.struct("id64", "id2").alias("node"), "s"), "line-sets")
     if not lines.groupBy("id64").count().where("count > 1").take(1):
         lines = lines.withColumn("node", F.col("id64"))  # one number is cheaper to join than two
-    left = lines.select(F.col("id64").alias("a"), F.col("node").alias("x"), F.col("s").alias("s1"))
-    right = lines.select(F.col("id64").alias("b"), F.col("node").alias("y"), F.col("s").alias("s2"))
+    return lines
+
+
+def verified_links(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """a, b (nodes) of the pairs whose shingle sets have at least this Jaccard similarity."""
+    left = sets.select(F.col("id64").alias("a"), F.col("node").alias("x"), F.col("s").alias("s1"))
+    right = sets.select(F.col("id64").alias("b"), F.col("node").alias("y"), F.col("s").alias("s2"))
     common = F.size(F.array_intersect("s1", "s2"))
     # Sets of too unlike sizes can't be that similar, whatever they hold.
     fits = F.least(F.size("s1"), F.size("s2")) >= threshold * F.greatest(F.size("s1"), F.size("s2")) - 1e-9
     return pairs.join(left, "a").join(right, "b").where(fits).where(common >= threshold * (F.size("s1") + F.size("s2") - common) - 1e-9).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
+def parted_pairs(distinct: DataFrame, sets: DataFrame, roots: DataFrame, threshold: float) -> DataFrame | None:
+    """a, b: all pairs of lines of different components that share a large bucket and can be similar enough; None if there are none.
+
+    Of two sets of n and m shingles with an overlap of at least o = threshold / (1 + threshold) * (n + m), both have a
+    common shingle among their first n - o + 1 and m - o + 1, in any order that holds for both.  The rarest in
+    the bucket come first, so what all lines of a template share joins nothing.
+    """
+    records = _records(distinct)
+    large = records.groupBy("bucket").count().where(F.col("count") > NEIGHBOURS + 1).select("bucket")
+    known = sets.join(roots, "node", "left").select("id64", F.xxhash64(F.coalesce("root", "node")).alias("root"))
+    known = known.groupBy("id64").agg(F.min("root").alias("root"))
+    members = save(records.join(large, "bucket", "left_semi").join(known, "id64"), "large-buckets")
+    parted = members.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("bucket")
+    members = members.join(parted, "bucket", "left_semi")
+    if not members.take(1):
+        return None
+    of = members.join(sets.select("id64", "s"), "id64").select("bucket", "id64", "root", F.size("s").alias("n"), F.explode("s").alias("token"))
+    often = of.groupBy("bucket", "token").agg(F.count("*").alias("often"))
+    place = F.row_number().over(Window.partitionBy("bucket", "id64").orderBy("often", "token"))
+    ranked = of.join(often, ["bucket", "token"]).withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1)
+    lists = ranked.where("often > 1").groupBy("bucket", "token", "root", F.pmod(F.xxhash64("id64"), F.ceil(F.col("often") / LIST)).alias("part"))
+    lists = save(lists.agg(F.collect_list(F.struct("id64", "n", "place")).alias("own")), "line-lists")
+    some = lists.groupBy("bucket", "token").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("bucket", "token")
+    lists = lists.join(some, ["bucket", "token"], "left_semi")
+    # The smaller set (of equal ones, either) needs fewer of its shingles.
+    less = lists.select("bucket", "token", F.col("root").alias("r1"), F.filter("own", lambda e: e["place"] <= e["n"] - F.ceil(2 * threshold / (1 + threshold) * e["n"] - 1e-9) + 1).alias("l1")).where(F.size("l1") > 0)
+    more = lists.select("bucket", "token", F.col("root").alias("r2"), F.col("own").alias("l2"))
+    met = less.join(more, ["bucket", "token"]).where("r1 != r2").select(F.explode("l1").alias("x"), "l2").select("x", F.explode("l2").alias("y"))
+    n, m = F.col("x.n"), F.col("y.n")
+    overlap = F.ceil(threshold / (1 + threshold) * (n + m) - 1e-9)
+    met = met.where((n <= m) & (n >= threshold * m - 1e-9) & (F.col("x.place") <= n - overlap + 1) & (F.col("y.place") <= m - overlap + 1))
+    return met.select(F.greatest("x.id64", "y.id64").alias("a"), F.least("x.id64", "y.id64").alias("b")).distinct()
+
+
 def _duplicates(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """The signed lines, and doc_id, key, removed (sorted places) of the documents that lose a line."""
     signed = save(signed_lines(docs), "lines")
     distinct = distinct_lines(signed)
-    roots = components(verified_links(docs, signed, candidate_pairs(distinct), threshold))
+    pairs = save(candidate_pairs(distinct), "line-pairs")
+    sets = line_sets(docs, signed, pairs)
+    links = save(verified_links(sets, pairs, threshold), "line-links")
+    roots = components(links)
+    more = parted_pairs(distinct, sets, roots, threshold)
+    if more is not None:
+        found = save(verified_links(sets, more, threshold), "more-links")
+        if found.take(1):
+            roots = components(links.unionByName(found))
     if roots.schema["node"].dataType.simpleString() == "bigint":
         named = roots.select(F.col("node").alias("id64"), F.col("root").alias("_r1"), F.lit(0).cast("bigint").alias("_r2"))
         on = ["id64"]

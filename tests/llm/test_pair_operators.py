@@ -190,6 +190,26 @@ def test_line_dedup_looks_at_every_run(spark):
     assert sum(got[i] == want.get(i, []) for i in got) >= 0.97 * len(rows)
 
 
+def template_lines(n, seed=4):
+    """Lines of one template, mutually alike to 0.5-0.75, each tenth with a near copy."""
+    rng = random.Random(seed)
+    fixed = " ".join(words(rng, 40))
+    rows = []
+    for _ in range(n):
+        own = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
+        rows += [f"{fixed} {own}"] + ([f"{fixed} {own[:-2]}.."] if rng.random() < 0.1 else [])
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def test_line_dedup_of_one_template(spark):
+    rows = template_lines(300)
+    got = {r["doc_id"]: r["removed"] for r in linededup.dedup_report(frame(spark, rows)).collect()}
+    want = every_run(rows)
+    assert len(want) > 20 and {i for i in got if got[i]} <= set(want)
+    assert sum(bool(got[i]) for i in want) >= 0.95 * len(want)
+
+
 def test_line_dedup_with_salted_buckets(spark, monkeypatch):
     rows = line_rows(2)
     plain = sorted(map(str, linededup.dedup_report(frame(spark, rows)).collect()))
