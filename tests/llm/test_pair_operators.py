@@ -284,6 +284,15 @@ def test_search_is_brute_force(spark, monkeypatch, shard):
     assert {q: [b[k + 1] for k in range(len(b))] for q, b in got.items()} == plain_search(rows)
 
 
+def test_search_asks_for_every_term(spark):
+    common = " ".join(f"shared{i}" for i in range(40))
+    rows = [(0, " ".join(f"own{i}" for i in range(12)) + " " + common)] + [(1 + i, f"{common} other{i}") for i in range(15)]
+    docs = frame(spark, rows)
+    texts = docs.where("doc_id = 0").select(F.col("doc_id").alias("query_id"), "text")
+    got = [r["doc_id"] for r in search.search_like(docs, texts).orderBy("rank").collect()]
+    assert got == plain_search(rows, most=None)[0] and len(got) == 10
+
+
 def test_search_prunes():
     rng = random.Random(6)
     docs = [["common"] * rng.randrange(1, 4) + (["rare"] if i % 500 == 0 else []) + ["pad"] * rng.randrange(20) for i in range(4000)]
