@@ -293,6 +293,15 @@ def test_search_asks_for_every_term(spark):
     assert got == plain_search(rows, most=None)[0] and len(got) == 10
 
 
+def test_search_counts_a_repeated_id_once(spark):
+    rng = random.Random(12)
+    rows = [(0, "w1 w2 w3 w4")] + [(5, "w1 w2 w3 w4")] * 30 + [(1 + 10 * i, f"w1 w{i % 5} " + " ".join(words(rng, 5 + i))) for i in range(60)]
+    docs = frame(spark, rows, 1)
+    texts = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    got = [r["doc_id"] for r in search.search_like(docs, texts).orderBy("rank").collect()]
+    assert got == plain_search(rows)[0] and len(set(got)) == 10
+
+
 def test_search_prunes():
     rng = random.Random(6)
     docs = [["common"] * rng.randrange(1, 4) + (["rare"] if i % 500 == 0 else []) + ["pad"] * rng.randrange(20) for i in range(4000)]
