@@ -152,6 +152,9 @@ def _search_slab(qid, q, lut, ids, x, packed, k: int, rerank: int):
     _, first, inverse = np.unique(x.view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_index=True, return_inverse=True)
     inverse = inverse.ravel()
     member = np.argsort(inverse, kind="stable")  # by class, ids ascending
+    one = np.ones(len(member), bool)
+    one[1:] = (inverse[member[1:]] != inverse[member[:-1]]) | (ids[member[1:]] != ids[member[:-1]])
+    member = member[one]  # each id of a class once
     start = np.searchsorted(inverse[member], np.arange(len(first) + 1))
     distinct = x[first]
     half = (distinct**2).sum(1).astype(np.float32) / 2
@@ -166,7 +169,7 @@ def _search_slab(qid, q, lut, ids, x, packed, k: int, rerank: int):
             if len(got_id) >= k and dist[j] > got_d[k - 1]:
                 break
             c = best[i, j]
-            own = np.unique(ids[member[start[c] : min(start[c] + 4 * (k + 1), start[c + 1])]])
+            own = ids[member[start[c] : min(start[c] + k + 1, start[c + 1])]]
             own = own[own != qid[i]][:k]
             got_id += own.tolist()
             got_d += [dist[j]] * len(own)

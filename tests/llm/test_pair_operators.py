@@ -351,6 +351,16 @@ def test_neighbours(spark):
     assert set(got) == set(range(0, 3000, 100)) and hits >= 0.95 * 300
 
 
+def test_neighbours_of_a_row_repeated_often():
+    x = np.array([[1.0, 2.0]] * 75 + [[9.0, 9.0]] * 20)
+    ids = np.array([3] * 60 + list(range(10, 25)) + list(range(100, 120)))
+    q = np.array([[1.0, 2.0]])
+    centres = ann.fit(x.astype("f4"), 1.0)
+    packed = ann.pack_codes(ann.encode(x.astype("f4"), centres, 1.0))
+    ((_, got, dist),) = ann._search_slab(np.array([7]), q, ann.tables(q, centres), ids, x, packed, 10, 160)
+    assert got.tolist() == [3, *range(10, 19)] and not dist.any()
+
+
 def test_neighbours_of_few(spark):
     d = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 3.0]), (2, [1.0, 1.0])], "vec_id BIGINT, embedding ARRAY<FLOAT>")
     v, dim = ann.usable(d)
