@@ -3,7 +3,8 @@
 A tree builder with implied tags (unclosed paragraphs, list items, rows and cells; cells outside a
 row) and visibility rules (elements that never show, ``hidden``, ``display:none`` and
 ``visibility`` in style attributes and in simple style-sheet rules) feeds a renderer that keeps
-block spacing, list marks with indents, preformatted text and aligned table cells.
+block spacing, list marks with indents, preformatted text and aligned table cells.  What stands in
+a table outside its rows is shown before it; formulas and the texts of drawings are shown.
 
 Defined results: a null or empty page has an empty text; text without any tag is its own
 rendering; broken markup is read as far as it goes.
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import re
 from html import unescape
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +23,9 @@ from .common import columns, select, tune
 
 #: Fixed values of the HTML language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NEVER = frozenset("head script style template noscript iframe object svg math canvas audio video datalist title meta link param source track noembed noframes area base col".split())
+NEVER = frozenset("head script style template noscript iframe object canvas audio video datalist title meta link param source track noembed noframes area base col annotation annotation-xml".split())
+#: Elements of a drawing that aren't drawn themselves.
+UNDRAWN = frozenset("desc metadata defs symbol clippath mask marker pattern".split())
 RAW = frozenset("script style noscript iframe noembed noframes template title textarea xmp".split())
 MARGIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure fieldset hr article section".split())
 BLOCK = MARGIN | frozenset("html body div main header footer nav aside address li dt dd tr form details summary figcaption center dir menu legend option optgroup caption thead tbody tfoot td th xmp".split())
@@ -202,11 +206,41 @@ class _Lines:
         self.space = False
 
 
-def _rows(table: Node, rules: dict, visible: bool) -> tuple[list[Node], list[tuple[Node, bool]]]:
-    """Captions and visible rows of a table, in order; rows of inner tables aren't among them."""
-    captions, out, todo = [], [], [(c, visible) for c in reversed(table.children) if isinstance(c, Node)]
+def _holders(table: Node) -> set[int]:
+    """Elements of a table (by id()) that have a row or a cell of it inside."""
+    out, todo = set(), [(c, ()) for c in table.children if isinstance(c, Node)]
+    while todo:
+        n, up = todo.pop()
+        if n.tag in ("tr", "td", "th"):
+            while up and id(up[0]) not in out:
+                out.add(id(up[0]))
+                up = up[1]
+        elif n.tag != "table" and n.tag not in NEVER:
+            todo += [(c, (n, up)) for c in n.children if isinstance(c, Node)]
+    return out
+
+
+def _rows(table: Node, rules: dict, visible: bool) -> tuple[list[Node], list[tuple[Node, bool]], list[tuple]]:
+    """Captions and visible rows of a table, and what else stands in it, in order; rows of inner tables aren't among them.
+
+    Cells outside a row that follow one another are a row.
+    """
+    captions, out, stray, holders = [], [], [], _holders(table)
+    row: Node | None = None
+    todo = [(c, visible) for c in reversed(table.children)]
     while todo:
         n, v = todo.pop()
+        if isinstance(n, str):
+            stray.append((n, v))
+            row = row if not n.strip() else None
+            continue
+        if n.tag in ("td", "th"):
+            if row is None:
+                row = Node("tr", {})
+                out.append((row, v))
+            row.children.append(n)
+            continue
+        row = None
         style = _style(n, rules)
         if n.tag in NEVER or "hidden" in n.attributes or style.get("display") == "none":
             continue
@@ -215,9 +249,26 @@ def _rows(table: Node, rules: dict, visible: bool) -> tuple[list[Node], list[tup
             out.append((n, v))
         elif n.tag in ("caption",):
             captions.append(n)
-        elif n.tag in ("thead", "tbody", "tfoot", "form", "colgroup", "div"):
-            todo += [(c, v) for c in reversed(n.children) if isinstance(c, Node)]
-    return captions, out
+        elif n.tag in ("thead", "tbody", "tfoot", "colgroup") or id(n) in holders:
+            if n.tag in BLOCK:  # text around it isn't of one line with its own
+                stray.append((Node("div", {}), v))
+            todo += [(c, v) for c in reversed(n.children)]
+        else:
+            stray.append((n, v))
+    return captions, out, stray
+
+
+def _drawn(svg: Node) -> None:
+    """Take out what a drawing doesn't show; each of its texts stands for itself."""
+    todo = [svg]
+    while todo:
+        n = todo.pop()
+        n.children = [c for c in n.children if isinstance(c, str) or c.tag not in UNDRAWN]
+        for c in n.children:
+            if isinstance(c, Node):
+                if c.tag == "text":
+                    c.tag = "div"
+                todo.append(c)
 
 
 def _render(children: list, rules: dict, visible: bool = True, depth: int = 0) -> list[str]:
@@ -253,11 +304,19 @@ def _render(children: list, rules: dict, visible: bool = True, depth: int = 0) -
             if v:
                 w.end(force=True)
             continue
+        if tag == "svg":
+            _drawn(item)
         if tag == "table" and depth < 40:
-            captions, rows = _rows(item, rules, v)
+            captions, rows, stray = _rows(item, rules, v)
             if any(r for r, _ in rows):
                 w.end()
                 w.margin = True
+                for shown, run in groupby(stray, key=lambda s: s[1]):  # browsers show it before the table
+                    for line in _render([c for c, _ in run], rules, shown, depth + 1):
+                        w.margin = w.margin or not line
+                        w.text(line, True)
+                        w.end()
+                w.margin = True
                 lines = [line for c in captions for line in _render(c.children, rules, v, depth + 1)]
                 for line in lines + _aligned(rows, rules, depth):
                     w.text(line, True)

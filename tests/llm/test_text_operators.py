@@ -313,3 +313,16 @@ def test_html_of_awkward_rows(spark):
     d = spark.createDataFrame([(1, None, "u"), (None, "<p>a", "u"), (1, "<p>a", "u")], "page_id BIGINT, html STRING, text STRING")
     assert sorted((str(r[0]), r[1]) for r in html.extract_text(d).collect()) == [("1", ""), ("1", "a"), ("None", "a")]
     assert html.extract_text(d.limit(0)).count() == 0
+
+
+def test_html_text_that_stands_in_a_table_outside_its_rows():
+    assert html.extract("<table><tr><td>a</td><td>b</td></tr>note<p>text</p></table>end") == "note\n\ntext\n\na  b\n\nend"
+    assert html.extract("<table><center>mid</center><tr><td>a</td></tr></table>") == "mid\n\na"
+    assert html.extract("<table><tr><td>a</td></tr><form><td>b</td><td>c</td></form></table>") == "a\nb  c"
+    assert html.extract("<table><center><tr><td>a</td></tr></center></table>") == "a"
+    assert html.extract("<table><tr><td>a</td></tr><div hidden>no</div><script>no</script> </table>") == "a"
+
+
+def test_html_text_of_formulas_and_drawings():
+    assert html.extract("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math></p>") == "so x=1"
+    assert html.extract("<svg><title>no</title><defs><text>no</text></defs><text>one</text><text>two <tspan>three</tspan></text></svg>") == "one\ntwo three"
