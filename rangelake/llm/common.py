@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,32 +26,63 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own if unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; on one machine one of our own if unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="rangelake-")
         spark.sparkContext.setCheckpointDir(base)
     return base
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a lost executor costs no recomputation of its lineage.
 
-    The files go when the JVM ends.
+    The write's shuffle files go when it is done, for nothing reads them again; the table goes by ``drop`` or when the
+    JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
 
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``save`` returned and that nothing reads any more."""
+    for t in tables:
+        where = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(t.saved_at)
+        where.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
-def stable(df: DataFrame) -> DataFrame:
-    """A table whose partitions give the same rows in the same order each time: a plain scan as it is, else a copy."""
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    return save(df, "stable") if re.search("Exchange|RDD|InMemory|Python|Arrow|Pandas|Generate", plan) else df
+
+def join_skewed(big: DataFrame, small: DataFrame, on: list[str], weight: str, total: int | None = None) -> DataFrame:
+    """``big`` joined with ``small``, which has one row a key and, as ``weight``, the number of rows of ``big`` with it.
+
+    A key with more than 1/1024 of all rows is split over as many parts as it has 1024ths; there are fewer than 1024 such
+    keys, so their list may be broadcast whatever the size of the tables.
+    """
+    if total is None:
+        total = small.agg(F.sum(weight)).first()[0] or 0
+    hot = small.where(F.col(weight) * 1024 > total).select(*on, F.ceil(F.col(weight) * 1024 / max(total, 1)).cast("int").alias("_parts"))
+    if not hot.take(1):
+        return big.join(small, on)
+    hot = F.broadcast(hot)
+    part = F.pmod(F.xxhash64(*[f"`{c}`" for c in big.columns]), F.col("_parts")).cast("int")
+    left = big.join(hot, on, "left").withColumn("_part", F.coalesce(part, F.lit(0)))
+    right = small.join(hot, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
+    return left.drop("_parts").join(right.drop("_parts"), [*on, "_part"]).drop("_part")
 
 
 def columns(batch: pa.RecordBatch, *names: str) -> list[list]:

@@ -3,7 +3,7 @@
 Alternating large-star and small-star steps: every node learns the smallest node near it, until
 the edges are stars around the smallest node of each component.  Nothing is collected but counts;
 each round is written to the shared folder, so lineage stays short and lost executors cost little.
-Nodes are of any orderable type.
+A hub's edges are dealt over many tasks.  Nodes are of any orderable type.
 """
 
 from __future__ import annotations
@@ -11,15 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import drop, join_skewed, save
 
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
-    """One step on edges (a > b).  Minima are combined before the shuffle, so hubs do no harm."""
+def _star(edges: DataFrame, small: bool, total: int) -> DataFrame:
+    """One step on about ``total`` edges (a > b).  Minima are combined before the shuffle; a hub's edges are split."""
     both = edges if small else edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m"))
-    least = least if small else least.select("a", F.least("a", "m").alias("m"))
-    met = both.join(least, "a")
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree"))
+    least = least if small else least.select("a", F.least("a", "m").alias("m"), "degree")
+    met = join_skewed(both, least, ["a"], "degree", total if small else 2 * total)
     if small:  # each smaller neighbour, and the node itself, go to the smallest
         out = met.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
     else:  # each larger neighbour goes to the smallest
@@ -39,8 +39,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not before[0]:
             break
-        edges = save(_star(_star(edges, small=False), small=True), "edges")
-        after = _state(edges)
+        wide = save(_star(edges, small=False, total=before[0]), "edges")
+        new = save(_star(wide, small=True, total=before[0]), "edges")
+        drop(edges, wide)
+        edges, after = new, _state(new)
         if tuple(after) == tuple(before):
             break
         before = after

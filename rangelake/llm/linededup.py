@@ -1,22 +1,23 @@
 """Fuzzy line deduplication, by DataFrame functions alone.
 
-A line (trimmed, lower case) is the set of its character shingles: all runs of ``SHINGLE`` characters, at every
-place.  The hashes of the runs lie on a ring; signatures of ``BANDS`` times the ``ROWS`` hashes that follow
-fixed marks on it put lines into bands' buckets; each line of a bucket is paired with the
-bucket's first line and with the ``NEIGHBOURS`` lines before it, all of them in small buckets.  Pairs are verified by
-the exact Jaccard similarity of their sets, and a distributed union-find joins what is verified.  Large buckets
-whose lines aren't all joined by then are searched in full for links between the components: by an exact
-prefix join on the rarest shingles in the bucket, which no pair that is similar enough escapes.  Of
-each component of lines the first occurrence (by document id, then place) stays.
-
-Equal lines are one node from the start.  Buckets that a sample shows to be large are salted, so no
-task gets a bucket whole; only lines that some pair names are read again for the verification,
-found by a bitmap of fixed size (which lets a few more through, and none less).
-
-Defined results: blank lines (up to 32 spaces, tabs, a carriage return) are never removed and never compared;
-rows without an id take no part and stay as they are; null and empty texts have no lines; rows that
-repeat id and text count once and are treated alike, and rows of one id that hold a line at one
-place keep it each; a line without a whole shingle is one shingle.
+A line (trimmed of blanks, tabs and a carriage return, lower case) is the set of its character shingles: all runs of
+``SHINGLE`` characters (UTF-16 units), at every place.  The hashes of the runs lie on a ring; signatures of ``BANDS``
+times the ``ROWS`` hashes that follow fixed marks on it put lines into bands' buckets; each line of a bucket is paired
+with the bucket's first line and with the ``NEIGHBOURS`` lines before it, all of them in small buckets.  Pairs are
+verified by the exact Jaccard similarity of their sets of all runs, and a distributed union-find joins what is verified.
+
+A larger bucket whose lines are not all joined by then is searched for links between its components: in full up to
+``FULL`` lines; beyond that it is split again by bands at other marks, up to ``DEPTH`` times.  Parts that are still
+larger are searched by an exact prefix join on the rarest shingles in the part, which no pair that is similar enough
+escapes.  Of each component of lines the first occurrence (by document id, then place) stays.
+
+Equal lines are one node from the start.  Buckets that a sample shows to be large are salted, and keys that hold
+many rows are split in joins, so no task gets one whole.
+
+Defined results: blank lines are never removed and never compared; rows without an id take no part and stay as they
+are; null and empty texts have no lines; rows that repeat id and text count once and are treated alike, and rows of
+one id that hold a line at one place keep it each; a line without a whole shingle is one shingle; further columns of
+any name do no harm.
 """
 
 from __future__ import annotations
@@ -24,149 +25,189 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save, select
+from .common import drop, join_skewed, save, select
 from .components import components
 
 SHINGLE, BANDS, ROWS = 9, 6, 3
 #: In a bucket each line is paired with so many lines before it (all of them in small buckets) and with the first.
 NEIGHBOURS = 8
+#: Buckets of several components are searched in full up to so many lines; larger ones are split again, so many times.
+FULL, DEPTH = 128, 3
 #: Lines in a list of lines that share a shingle; longer lists are cut.
 LIST = 1024
 #: A bucket that is estimated, from one line in ``SAMPLED``, to hold more than ``HOT`` lines is salted.
 SAMPLED, HOT = 64, 4096
-#: Bits of the bitmap of lines to verify: at most 2048 rows of 4 KB, however many lines there are.
-BITS = 1 << 26
 
-#: Evenly spaced places on the ring of 64-bit hashes, one for each band.
-_MARKS = [-(1 << 63) + (b << 64) // BANDS + 1 for b in range(BANDS)]
+#: Of the hashes after a mark so many are looked at for ROWS different ones; with fewer, repeats are taken out first.
+_WIDTH = ROWS + BANDS + 4
+
+
+def _marks(level: int) -> list[int]:
+    """Evenly spaced places on the ring of 64-bit hashes, one for each band; those of other levels lie between them."""
+    shift = (0.0, 0.5, 0.25, 0.75)[level]
+    return [-(1 << 63) + int((b + shift) * (1 << 64) / BANDS) + 1 for b in range(BANDS)]
+
+
+def _norm(line: F.Column) -> F.Column:
+    return F.lower(F.btrim(line, F.lit(" \t\r")))
+
+
+def _place(docs: DataFrame) -> F.Column:
+    """A line's place among all: one number where ids are whole numbers, so that minima are taken by hash, not by sorting."""
+    if docs.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+        return F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos")
+    return F.struct("doc_id", "pos")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, key (of the text), pos, norm, id64, id2 (128 bits of the line) of each line that isn't blank."""
     d = docs.where("doc_id is not null and text is not null")
     out = d.select("doc_id", F.xxhash64("text").alias("key"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    whole = F.when(F.col("line").endswith("\r"), F.expr("left(line, length(line) - 1)")).otherwise(F.col("line"))
-    out = out.select("doc_id", "key", "pos", F.lower(F.trim(whole)).alias("norm"))
-    out = out.where((F.octet_length("norm") > 32) | (F.expr("trim(BOTH ' \\t' FROM norm)") != ""))
+    out = out.select("doc_id", "key", "pos", _norm(F.col("line")).alias("norm")).where("norm != ''")
     return out.select("*", F.xxhash64("norm").alias("id64"), F.xxhash64(F.lit("second"), "norm").alias("id2"))
 
 
-def _with_shingles(lines: DataFrame, name: str) -> DataFrame:
-    """Lines with the set of hashes of their shingles; the look-ahead takes them, the match itself is one character."""
-    found = F.expr(f"regexp_extract_all(norm, '(?s)(?=(.{{{SHINGLE}}})).', 1)")
-    # Of its own step, or the pattern would be run for the size and for the hashes.
-    cut = lines.withColumn("_found", found)
-    hashes = F.when(F.size("_found") > 0, F.transform("_found", lambda x: F.xxhash64(x))).otherwise(F.array(F.xxhash64("norm")))
-    return cut.withColumn(name, F.array_distinct(hashes)).drop("_found")
+def _shingles(norm: str) -> F.Column:
+    """Hashes of all runs of a line, repeats included.
+
+    The line is bound as the lambda's variable: in the inner lambda a column's bytes would be copied for each run.
+    """
+    run, step = 2 * SHINGLE, 2
+    return F.expr(f"element_at(transform(array(encode({norm}, 'UTF-16BE')), u -> transform(sequence(1, greatest(octet_length(u) - {run - 1}, 1), {step}), i -> xxhash64(substring(u, i, {run})))), 1)")
 
 
-def signed_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, key, pos, id64, id2, band keys k0.. of each line.
+def _after(ring: F.Column, mark: int, marks: F.Column) -> F.Column:
+    """The ROWS different hashes that follow a mark on the ring (sorted hashes and marks, its beginning repeated at its end)."""
+    place = F.array_position(ring, F.lit(mark)).cast("int")
+    return F.slice(F.array_except(F.slice(ring, place + 1, _WIDTH), marks), 1, ROWS)
+
+
+def with_bands(lines: DataFrame, norm: str = "norm", level: int = 0) -> DataFrame:
+    """The lines with band keys k0.. instead of their text.
 
     A band's key is of the ROWS hashes that come after its mark, going round: the least ones in an order that
     begins there.  The chance that they are all the same for two lines is the similarity to that power.
     """
-    own = ["doc_id", "key", "pos", "id64", "id2"]
-    lines = _with_shingles(_lines(docs), "h").select(*own, F.sort_array("h").alias("h"))
-    # Sorted with the marks among them, a mark's place tells how many hashes are before it.
-    lines = lines.select(*own, F.concat("h", F.slice("h", 1, ROWS)).alias("h"), F.sort_array(F.concat("h", F.array(*map(F.lit, _MARKS)))).alias("m"))
-    keys = [F.xxhash64(F.lit(b), F.slice("h", (F.array_position("m", F.lit(_MARKS[b])) - b).cast("int"), ROWS)).alias(f"k{b}") for b in range(BANDS)]
-    return lines.select(*own, *keys)
+    own, at = [c for c in lines.columns if c != norm], _marks(level)
+    marks = F.array(*map(F.lit, at))
+    round_ = lambda m: F.concat(m, F.slice(m, 1, _WIDTH))
+    cut = lines.select(*own, _shingles(norm).alias("h"))
+    ring = cut.select(*own, "h", F.sort_array(F.concat("h", marks)).alias("m")).select(*own, "h", round_(F.col("m")).alias("m"))
+    found = ring.select(*own, "h", *[_after(F.col("m"), mark, marks).alias(f"k{b}") for b, mark in enumerate(at)])
+    # Lines of few different shingles, many times each, are done once more without repeats.
+    thin = (F.size("h") > _WIDTH) & (F.least(*[F.size(f"k{b}") for b in range(BANDS)]) < ROWS)
+    again = F.transform(F.array(F.sort_array(F.concat(F.array_distinct("h"), marks))), lambda m: F.array(*[_after(round_(m), mark, marks) for mark in at]))
+    found = found.select(*own, *[f"k{b}" for b in range(BANDS)], F.when(thin, F.element_at(again, 1)).alias("again"))
+    return found.select(*own, *[F.xxhash64(F.lit(b + BANDS * level), F.coalesce(F.get("again", F.lit(b)), f"k{b}")).alias(f"k{b}") for b in range(BANDS)])
+
+
+def signed_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, key, pos, id64, id2, band keys k0.. of each line."""
+    return with_bands(_lines(docs))
 
 
 def distinct_lines(signed: DataFrame) -> DataFrame:
-    """id64, n (its occurrences), band keys of each different line, kept in the shared folder."""
+    """id64, id2, n (occurrences), at (the first one's place), doc_id, key, pos (of the first), band keys of each different line."""
     keys = [F.first(f"k{b}").alias(f"k{b}") for b in range(BANDS)]
-    return save(signed.groupBy("id64").agg(F.count("*").alias("n"), *keys), "distinct-lines")
+    at = _place(signed)
+    first = [F.min_by(c, at).alias(c) for c in ("doc_id", "key", "pos")]
+    return save(signed.groupBy("id64", "id2").agg(F.count("*").alias("n"), F.min(at).alias("at"), *first, *keys), "distinct-lines")
 
 
-def _records(distinct: DataFrame) -> DataFrame:
-    return distinct.select("id64", F.explode(F.array(*[f"k{b}" for b in range(BANDS)])).alias("bucket"))
+def _records(lines: DataFrame, *own: str) -> DataFrame:
+    return lines.select("id64", *own, F.explode(F.array(*[f"k{b}" for b in range(BANDS)])).alias("bucket"))
 
 
-def candidate_pairs(distinct: DataFrame) -> DataFrame:
-    """a, b: pairs of different lines (id64) that share a bucket, linear in the buckets' sizes: all pairs of small buckets."""
-    records = _records(distinct)
+def candidate_pairs(records: DataFrame) -> DataFrame:
+    """a, b: pairs of different lines (id64) of one bucket (bucket, id64), linear in the buckets' sizes: all pairs of small buckets."""
     sampled = records.where(F.pmod("id64", F.lit(SAMPLED)) == 0).groupBy("bucket").count()
     hot = save(sampled.where(F.col("count") > HOT // SAMPLED).select("bucket", F.ceil(F.col("count") * SAMPLED / HOT).alias("salts")), "hot-buckets")
-    if hot.take(1):
+    some = bool(hot.take(1))
+    if some:
         records = records.join(hot, "bucket", "left").select("id64", "bucket", F.coalesce(F.pmod(F.xxhash64("id64", "bucket"), "salts"), F.lit(0)).cast("int").alias("salt"))
     else:
-        records = records.withColumn("salt", F.lit(0))
-    own = Window.partitionBy("bucket", "salt").orderBy(F.col("id64").bitwiseXOR(F.col("bucket")), "id64")
+        records = records.select("id64", "bucket", F.lit(0).alias("salt"))
+    own = Window.partitionBy("bucket", "salt").orderBy("id64")
     before = [F.lag("id64", k).over(own).alias(f"p{k}") for k in range(1, NEIGHBOURS + 1)]
     placed = records.select("bucket", "id64", F.first("id64").over(own).alias("head"), *before)
     others = F.array_distinct(F.array_compact(F.array("head", *[f"p{k}" for k in range(1, NEIGHBOURS + 1)])))
     pairs = placed.where("p1 is not null").select("id64", F.explode(others).alias("other"))
-    if hot.take(1):
+    if some:
         heads = placed.where("p1 is null").join(hot, "bucket", "left_semi").select("bucket", "id64")
         first = heads.groupBy("bucket").agg(F.min("id64").alias("other"))
-        pairs = pairs.unionByName(heads.join(first, "bucket").where("id64 != other").select("id64", "other"))
+        pairs = pairs.unionByName(heads.join(first, "bucket").select("id64", "other"))
+    # Lines of one id64 and two id2 are one record each, and a pair of their own.
     return pairs.select(F.greatest("id64", "other").alias("a"), F.least("id64", "other").alias("b")).distinct()
 
 
-def _marked(ids: DataFrame, column: str) -> DataFrame:
-    """Numbers as a bitmap: bucket, bits."""
-    at = F.pmod(column, F.lit(BITS)) + 1
-    return save(ids.groupBy(F.bitmap_bucket_number(at).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_bits")), "line-marks")
+def named_lines(distinct: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The different lines that a pair names."""
+    named = pairs.select(F.col("a").alias("id64")).unionByName(pairs.select(F.col("b").alias("id64"))).distinct()
+    return save(distinct.join(named, "id64", "left_semi"), "named-lines")
+
+
+def line_texts(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """id64, node (struct of id64 and id2), norm of the named lines, cut from the documents that hold them first."""
+    held = named.groupBy("doc_id", "key").agg(F.collect_list(F.struct("pos", "id64", "id2")).alias("wanted"))
+    # Of one plan at every size: the documents are dealt by id and text.
+    met = docs.select("doc_id", F.xxhash64("text").alias("key"), "text").join(held.hint("shuffle_hash"), ["doc_id", "key"])
+    # The cut text is bound as a variable, for it is asked for each line.
+    cut = F.transform(F.array(F.split("text", "\n", -1)), lambda parts: F.transform("wanted", lambda w: F.struct(w["id64"].alias("id64"), w["id2"].alias("id2"), _norm(F.get(parts, w["pos"])).alias("norm"))))
+    found = met.select(F.explode(F.element_at(cut, 1)).alias("l")).select("l.id64", F.struct("l.id64", "l.id2").alias("node"), "l.norm")
+    return save(found.groupBy("id64", "node").agg(F.first("norm").alias("norm")), "line-texts")  # rows may repeat id and text
+
+
+def verified_links(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """a, b (nodes) of the pairs whose sets of all shingles have at least this Jaccard similarity."""
+    uses = pairs.groupBy("b").agg(F.count("*").alias("uses"))
+    right = texts.join(uses, texts["id64"] == uses["b"]).select("b", F.col("node").alias("y"), F.col("norm").alias("t2"), "uses")
+    left = texts.select(F.col("id64").alias("a"), F.col("node").alias("x"), F.col("norm").alias("t1"))
+    met = join_skewed(pairs.join(left, "a"), right, ["b"], "uses")  # a line is ``a`` few times, but the first of a bucket is ``b`` often
+    sets = met.select("x", "y", _shingles("t1").alias("h1"), _shingles("t2").alias("h2")).select("x", "y", F.array_distinct("h1").alias("s1"), F.array_distinct("h2").alias("s2"))
+    # Sets of too unlike sizes can't be that similar, whatever they hold.
+    fits = F.least(F.size("s1"), F.size("s2")) >= threshold * F.greatest(F.size("s1"), F.size("s2")) - 1e-9
+    common = F.size(F.array_intersect("s1", "s2"))
+    met = sets.where(fits).select("x", "y", common.alias("common"), (F.size("s1") + F.size("s2")).alias("both"))
+    return met.where(F.col("common") >= threshold * (F.col("both") - F.col("common")) - 1e-9).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
-def _only_marked(rows: DataFrame, column: F.Column, marks: DataFrame) -> DataFrame:
-    """The rows whose number may be among the marked ones."""
-    at = F.pmod(column, F.lit(BITS)) + 1
-    place = F.bitmap_bit_position(at)
-    byte = F.conv(F.hex(F.substring("_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    met = rows.withColumn("_bucket", F.bitmap_bucket_number(at)).join(F.broadcast(marks), "_bucket")  # at most BITS / 8 bytes
-    return met.where(F.pmod(F.floor(byte / F.pow(F.lit(2.0), place % 8)), F.lit(2)) == 1).select(*rows.columns)
+def parted_members(buckets: DataFrame, texts: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """bucket, n (lines), id64, root of the large buckets (bucket, id64) that hold lines of several components; None if there are none."""
+    large = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > NEIGHBOURS + 1)
+    known = texts.join(roots, "node", "left").select("id64", F.xxhash64(F.coalesce("root", "node")).alias("root"))
+    known = known.groupBy("id64").agg(F.min("root").alias("root"))
+    members = save(join_skewed(buckets, large, ["bucket"], "n").join(known, "id64").select("bucket", "n", "id64", "root"), "large-buckets")
+    parted = members.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.first("n").alias("n")).where("r1 != r2").select("bucket", F.col("n").alias("weight"))
+    out = save(join_skewed(members, parted, ["bucket"], "weight").drop("weight"), "parted-buckets")
+    drop(members)
+    return out if out.take(1) else None
 
 
-def line_sets(docs: DataFrame, signed: DataFrame, pairs: DataFrame) -> DataFrame:
-    """id64, node (struct of id64 and id2, or id64 where it names each line), s (set of shingles) of the lines that a pair names."""
-    named = pairs.select(F.col("a").alias("id64")).unionByName(pairs.select(F.col("b").alias("id64"))).distinct()
-    marks = _marked(named, "id64")
-    # Documents first: a text without such a line isn't cut into lines.
-    holders = _only_marked(signed.select("doc_id", "id64"), F.col("id64"), marks).select(F.xxhash64("doc_id").alias("doc")).distinct()
-    some = _only_marked(docs, F.xxhash64("doc_id"), _marked(holders, "doc"))
-    lines = _only_marked(_lines(some).select("id64", "id2", "norm"), F.col("id64"), marks)
-    lines = lines.dropDuplicates(["id64", "id2"])
-    if (marks.agg(F.sum(F.bitmap_count("_bits"))).first()[0] or 0) > BITS // 16:  # a full bitmap tells little
-        lines = lines.join(named, "id64", "left_semi")
-    lines = save(_with_shingles(lines, "s").select("id64", F.struct("id64", "id2").alias("node"), "s"), "line-sets")
-    if not lines.groupBy("id64").count().where("count > 1").take(1):
-        lines = lines.withColumn("node", F.col("id64"))  # one number is cheaper to join than two
-    return lines
-
-
-def verified_links(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """a, b (nodes) of the pairs whose shingle sets have at least this Jaccard similarity."""
-    left = sets.select(F.col("id64").alias("a"), F.col("node").alias("x"), F.col("s").alias("s1"))
-    right = sets.select(F.col("id64").alias("b"), F.col("node").alias("y"), F.col("s").alias("s2"))
-    common = F.size(F.array_intersect("s1", "s2"))
-    # Sets of too unlike sizes can't be that similar, whatever they hold.
-    fits = F.least(F.size("s1"), F.size("s2")) >= threshold * F.greatest(F.size("s1"), F.size("s2")) - 1e-9
-    return pairs.join(left, "a").join(right, "b").where(fits).where(common >= threshold * (F.size("s1") + F.size("s2") - common) - 1e-9).select(F.col("x").alias("a"), F.col("y").alias("b"))
+def full_pairs(members: DataFrame) -> DataFrame:
+    """a, b: all pairs of lines of different components that share a bucket of at most FULL lines."""
+    some = members.where(F.col("n") <= FULL)
+    met = some.select("bucket", F.col("id64").alias("a"), F.col("root").alias("r1")).join(some.select("bucket", F.col("id64").alias("b"), F.col("root").alias("r2")), "bucket")
+    return met.where("a > b and r1 != r2").select("a", "b").distinct()
+
+
+def split_again(members: DataFrame, texts: DataFrame, level: int) -> DataFrame:
+    """bucket, id64 of the parts into which bands at other marks split the members' buckets."""
+    keyed = with_bands(texts.join(members.select("id64").distinct(), "id64", "left_semi").groupBy("id64").agg(F.first("norm").alias("norm")), level=level)
+    return _records(members.select("id64", F.col("bucket").alias("of")).join(keyed, "id64"), "of").select(F.xxhash64("of", "bucket").alias("bucket"), "id64")
 
 
-def parted_pairs(distinct: DataFrame, sets: DataFrame, roots: DataFrame, threshold: float) -> DataFrame | None:
-    """a, b: all pairs of lines of different components that share a large bucket and can be similar enough; None if there are none.
+def prefix_pairs(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """a, b: all pairs of lines of different components that share a bucket and can be similar enough.
 
     Of two sets of n and m shingles with an overlap of at least o = threshold / (1 + threshold) * (n + m), both have a
     common shingle among their first n - o + 1 and m - o + 1, in any order that holds for both.  The rarest in
     the bucket come first, so what all lines of a template share joins nothing.
     """
-    records = _records(distinct)
-    large = records.groupBy("bucket").count().where(F.col("count") > NEIGHBOURS + 1).select("bucket")
-    known = sets.join(roots, "node", "left").select("id64", F.xxhash64(F.coalesce("root", "node")).alias("root"))
-    known = known.groupBy("id64").agg(F.min("root").alias("root"))
-    members = save(records.join(large, "bucket", "left_semi").join(known, "id64"), "large-buckets")
-    parted = members.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("bucket")
-    members = members.join(parted, "bucket", "left_semi")
-    if not members.take(1):
-        return None
-    of = members.join(sets.select("id64", "s"), "id64").select("bucket", "id64", "root", F.size("s").alias("n"), F.explode("s").alias("token"))
-    often = of.groupBy("bucket", "token").agg(F.count("*").alias("often"))
+    sets = texts.select("id64", _shingles("norm").alias("h")).select("id64", F.array_distinct("h").alias("s"))
+    of = members.join(sets, "id64").select("bucket", "id64", "root", F.size("s").alias("n"), F.explode("s").alias("token"))
+    often = save(of.groupBy("bucket", "token").agg(F.count("*").alias("often")), "shingle-counts")
     place = F.row_number().over(Window.partitionBy("bucket", "id64").orderBy("often", "token"))
-    ranked = of.join(often, ["bucket", "token"]).withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1)
+    ranked = join_skewed(of, often, ["bucket", "token"], "often").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1)
     lists = ranked.where("often > 1").groupBy("bucket", "token", "root", F.pmod(F.xxhash64("id64"), F.ceil(F.col("often") / LIST)).alias("part"))
     lists = save(lists.agg(F.collect_list(F.struct("id64", "n", "place")).alias("own")), "line-lists")
     some = lists.groupBy("bucket", "token").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("bucket", "token")
@@ -181,34 +222,58 @@ def parted_pairs(distinct: DataFrame, sets: DataFrame, roots: DataFrame, thresho
     return met.select(F.greatest("x.id64", "y.id64").alias("a"), F.least("x.id64", "y.id64").alias("b")).distinct()
 
 
+def line_roots(docs: DataFrame, distinct: DataFrame, threshold: float) -> DataFrame:
+    """node, root of the lines that are linked to another."""
+    pairs = save(candidate_pairs(_records(distinct)), "line-pairs")
+    named = named_lines(distinct, pairs)
+    texts = line_texts(docs, named)
+    links = save(verified_links(texts, pairs, threshold), "line-links")
+    roots = components(links)
+    buckets = _records(named)
+    for level in range(1, DEPTH + 2):
+        members = parted_members(buckets, texts, roots)
+        if members is None:
+            break
+        more, larger = full_pairs(members), members.where(F.col("n") > FULL)
+        last = not larger.take(1)
+        if not last and level > DEPTH:
+            more = more.unionByName(prefix_pairs(larger, texts, threshold))
+        found = save(verified_links(texts, save(more, "line-pairs"), threshold), "line-links")
+        if found.take(1):
+            links = save(links.unionByName(found), "line-links")
+            roots = components(links)
+        if last:
+            break
+        if level <= DEPTH:
+            buckets = save(split_again(larger, texts, level), "bucket-parts")
+            links, roots = linked_parts(buckets, larger, texts, links, roots, threshold)
+    return roots
+
+
+def linked_parts(buckets: DataFrame, members: DataFrame, texts: DataFrame, links: DataFrame, roots: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Links and roots after the lines of each part met the first of it and their neighbours."""
+    known = members.groupBy("id64").agg(F.min("root").alias("root"))
+    pairs = candidate_pairs(buckets).join(known.select(F.col("id64").alias("a"), F.col("root").alias("r1")), "a")
+    pairs = pairs.join(known.select(F.col("id64").alias("b"), F.col("root").alias("r2")), "b").where("r1 != r2").select("a", "b")
+    found = save(verified_links(texts, save(pairs, "line-pairs"), threshold), "line-links")
+    if found.take(1):
+        links = save(links.unionByName(found), "line-links")
+        roots = components(links)
+    return links, roots
+
+
 def _duplicates(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """The signed lines, and doc_id, key, removed (sorted places) of the documents that lose a line."""
+    """The lines (doc_id, key, pos, id64, id2), and doc_id, key, removed (sorted places) of the documents that lose a line."""
     signed = save(signed_lines(docs), "lines")
     distinct = distinct_lines(signed)
-    pairs = save(candidate_pairs(distinct), "line-pairs")
-    sets = line_sets(docs, signed, pairs)
-    links = save(verified_links(sets, pairs, threshold), "line-links")
-    roots = components(links)
-    more = parted_pairs(distinct, sets, roots, threshold)
-    if more is not None:
-        found = save(verified_links(sets, more, threshold), "more-links")
-        if found.take(1):
-            roots = components(links.unionByName(found))
-    if roots.schema["node"].dataType.simpleString() == "bigint":
-        named = roots.select(F.col("node").alias("id64"), F.col("root").alias("_r1"), F.lit(0).cast("bigint").alias("_r2"))
-        on = ["id64"]
-    else:
-        named = roots.select("node.*", F.col("root.id64").alias("_r1"), F.col("root.id2").alias("_r2"))
-        on = ["id64", "id2"]
-    roots = save(named, "line-roots")
+    roots = line_roots(docs, distinct, threshold).select("node.*", F.col("root.id64").alias("_r1"), F.col("root.id2").alias("_r2"))
     # Lines that occur once and are linked to none stay where they are.
-    some = _marked(distinct.where("n > 1").select("id64").unionByName(roots.select("id64")), "id64")
-    placed = _only_marked(signed.select("doc_id", "key", "pos", "id64", "id2"), F.col("id64"), some).join(roots, on, "left")
-    # A line's place among all: one number, so that the minimum is taken by hash and not by sorting.
-    at = F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos") if signed.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") else F.struct("doc_id", "pos")
-    placed = save(placed.select("doc_id", "key", "pos", F.coalesce("_r1", "id64").alias("r1"), F.coalesce("_r2", "id2").alias("r2"), at.alias("at")), "placed-lines")
-    first = placed.groupBy("r1", "r2").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").select("r1", "r2", "first")
-    gone = placed.join(first, ["r1", "r2"]).where("at != first")
+    known = distinct.select("id64", "id2", "n", "at").join(roots, ["id64", "id2"], "left").where("n > 1 or _r1 is not null")
+    known = save(known.select("id64", "id2", "n", "at", F.coalesce("_r1", "id64").alias("r1"), F.coalesce("_r2", "id2").alias("r2")), "repeated-lines")
+    first = known.groupBy("r1", "r2").agg(F.min("at").alias("first"), F.count("*").alias("members"))
+    known = save(join_skewed(known, first, ["r1", "r2"], "members").select("id64", "id2", "n", "first"), "line-roots")
+    placed = join_skewed(signed.select("doc_id", "key", "pos", "id64", "id2"), known, ["id64", "id2"], "n")
+    gone = placed.where(_place(signed) != F.col("first"))
     return signed, gone.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("pos")).alias("removed"))
 
 
@@ -239,17 +304,18 @@ def drop_duplicate_lines(docs: DataFrame, threshold: float = 0.8, chars_col: str
 
     A document goes if it had lines and keeps none.
     """
-    removed = duplicate_lines(docs, threshold).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("removed").alias("_gone"))
-    met = docs.join(removed, (docs["doc_id"] == removed["_id"]) & (F.xxhash64(docs["text"]) == removed["_key"]), "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_gone", i))
-    met = met.withColumn("_new", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-    met = met.where(F.col("_gone").isNull() | (F.expr("trim(BOTH ' \\t\\r\\n' FROM _new)") != ""))
+    removed = duplicate_lines(docs, threshold)
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # names of ours can't clash with its own
+    met = row.join(removed, (F.col("row.doc_id") == F.col("doc_id")) & (F.xxhash64("row.text") == F.col("key")), "left")
+    kept = F.filter(F.split("row.text", "\n", -1), lambda x, i: ~F.array_contains("removed", i))
+    met = met.select("row", "removed", F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n")).alias("new"))
+    met = met.where(F.col("removed").isNull() | (F.btrim("new", F.lit(" \t\r\n")) != ""))
     out = []
     for c in docs.columns:
+        own = F.col("row").getField(c)
         if c == "text":
-            out.append(F.col("_new").alias("text"))
+            own = F.col("new")
         elif c == chars_col:
-            out.append(F.when(F.col("_gone").isNull(), docs[c]).otherwise(F.length("_new")).cast(docs.schema[c].dataType).alias(c))
-        else:
-            out.append(docs[c])
+            own = F.when(F.col("removed").isNull(), own).otherwise(F.length("new")).cast(docs.schema[c].dataType)
+        out.append(own.alias(c))
     return met.select(*out)
