@@ -4,12 +4,14 @@
    *chunk* (about ``CHUNK`` characters of text).  The chunks' dictionaries are dealt by word.
 2. Each distinct word is encoded once, for all chunks that hold it, whatever number they are.
 3. The ids go back to the chunk and are joined to the documents' numbers by position; pieces of
-   the decoded text come from an id-to-piece table (bounded by the vocabulary).
+   the decoded text come from an id-to-piece table (bounded by the vocabulary), joined to each
+   distinct word of a chunk.  A vocabulary with a decoder of its own decodes whole texts by it.
 
-Texts are read twice (a table that isn't a plain scan is written down first) and never shuffled:
-documents move as numbers, about 1.5 bytes a word.
-A chunk is named by a digest of its dictionary, so a chunk that could not be read alike twice is
-an error and never a wrong result.
+Texts are read twice and never shuffled: documents move as numbers, about 1.5 bytes a word.  So
+the table has to give the same rows in the same partitions each time: files do (``stored``),
+any other table is written down first.  A chunk is named by its place (partition and number) and
+a digest of its dictionary, so chunks of one content are apart, and a chunk that was not read
+alike twice is an error and never a wrong result.
 
 Defined results: a null text is empty (no ids, empty decoded text); ids may be null or repeated.
 """
@@ -21,10 +23,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, select, stable, tune
+from .common import columns, save, select, tune
 from .wordbpe import WordBpe, load
 
 CHUNK = 24_000_000
@@ -65,25 +68,33 @@ def _chunks(batches, bpe: WordBpe, keep: bool):
     yield numbers, held
 
 
-def _name(numbers: dict) -> int:
-    return int.from_bytes(hashlib.blake2b("\n".join(numbers).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+def _name(numbers: dict, number: int) -> int:
+    """Of a task's chunk: its partition, its number there and its dictionary."""
+    task = TaskContext.get()
+    what = f"{task.partitionId() if task else 0} {number}\n" + "\n".join(numbers)
+    return int.from_bytes(hashlib.blake2b(what.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", emit: str = "digests") -> DataFrame:
-    """Per row: doc_id, n_tokens and, by ``emit``, either ids (array) and decoded (string), or their SHA-256 digests."""
+def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", emit: str = "digests", stored: bool = False) -> DataFrame:
+    """Per row: doc_id, n_tokens and, by ``emit``, either ids (array) and decoded (string), or their SHA-256 digests.
+
+    ``stored`` says that ``docs`` is read from files with nothing but columns chosen and rows filtered since.
+    """
     spark = docs.sparkSession
     tune(spark)
-    picked = stable(select(docs, doc_id=id_col, text=text_col))
+    picked = select(docs, doc_id=id_col, text=text_col)
+    if not stored:
+        picked = save(picked, "texts")
     kind = picked.schema["doc_id"].dataType.simpleString()
     # Each chunk holds a word at most once, some 60 words new to it for each document.
     buckets = max(64, picked.count() * 60 // 2_000_000)
 
     def dictionaries(batches):
         bpe = load(vocabulary)
-        for numbers, _ in _chunks(batches, bpe, keep=False):
+        for number, (numbers, _) in enumerate(_chunks(batches, bpe, keep=False)):
             if not numbers:
                 continue
-            name, parts = _name(numbers), {}
+            name, parts = _name(numbers, number), {}
             for unit, i in numbers.items():
                 raw = unit.encode("utf-8", "surrogatepass")
                 w, at = parts.setdefault(zlib.crc32(raw) % buckets, ([], []))
@@ -110,8 +121,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
 
     def numbered(batches):
         bpe = load(vocabulary)
-        for numbers, held in _chunks(batches, bpe, keep=True):
-            name = _name(numbers)
+        for number, (numbers, held) in enumerate(_chunks(batches, bpe, keep=True)):
+            name = _name(numbers, number)
             for keys, seqs in held:
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(seqs), pa.int64()), keys, pa.array([_planes(s) for s in seqs], pa.binary())], names=["chunk", "doc_id", "seq"])
 
@@ -125,7 +136,6 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
         for t, i in vocab.items():
             piece[i] = t.encode()
         number = [str(i).encode() for i in range(len(piece))]
-        # A chunk's dictionary may come twice, from two chunks of one content.
         n_units = max((int(_unplanes(raw.as_py()).astype(np.int64).sum()) + 1 for raw in words.column("at")), default=0)
         ids: list = [None] * n_units
         for at, lengths, values in zip(words.column("at"), words.column("lengths"), words.column("ids"), strict=True):
@@ -144,7 +154,10 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
                 raise RuntimeError("a chunk's dictionary is missing: its rows were not read alike twice")
             n.append(int(size[seq].sum()) if len(seq) else 0)
             seq = seq.tolist()
-            text = b" ".join([as_text[k] for k in seq])
+            if bpe.tok.decoder is None:
+                text = b" ".join([as_text[k] for k in seq])
+            else:
+                text = bpe.tok.decode([i for k in seq for i in ids[k]], skip_special_tokens=False).encode()
             if full:
                 first.append([i for k in seq for i in ids[k]])
                 second.append(text.decode())

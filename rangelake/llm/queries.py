@@ -53,7 +53,7 @@ def _scored(found: DataFrame, threshold: float) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(_table(spark, sf_dir, "documents"), vocabulary())
+    return bpe.encode_documents(_table(spark, sf_dir, "documents"), vocabulary(), stored=True)
 
 
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
