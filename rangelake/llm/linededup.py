@@ -7,9 +7,8 @@ with the bucket's first line and with the ``NEIGHBOURS`` lines before it, all of
 verified by the exact Jaccard similarity of their sets of all runs, and a distributed union-find joins what is verified.
 
 A larger bucket whose lines are not all joined by then is searched for links between its components: in full up to
-``FULL`` lines; beyond that it is split again by bands at other marks, up to ``DEPTH`` times.  Parts that are still
-larger are searched by an exact prefix join on the rarest shingles in the part, which no pair that is similar enough
-escapes.  Of each component of lines the first occurrence (by document id, then place) stays.
+``FULL`` lines, beyond that by an exact prefix join on the rarest shingles in the bucket, which no pair that is similar
+enough escapes.  Of each component of lines the first occurrence (by document id, then place) stays.
 
 Equal lines are one node from the start.  Buckets that a sample shows to be large are salted, and keys that hold
 many rows are split in joins, so no task gets one whole.
@@ -31,8 +30,8 @@ from .components import components
 SHINGLE, BANDS, ROWS = 9, 6, 3
 #: In a bucket each line is paired with so many lines before it (all of them in small buckets) and with the first.
 NEIGHBOURS = 8
-#: Buckets of several components are searched in full up to so many lines; larger ones are split again, so many times.
-FULL, DEPTH = 128, 3
+#: Buckets of several components are searched in full up to so many lines; larger ones by a prefix join.
+FULL = 128
 #: Lines in a list of lines that share a shingle; longer lists are cut.
 LIST = 1024
 #: A bucket that is estimated, from one line in ``SAMPLED``, to hold more than ``HOT`` lines is salted.
@@ -42,10 +41,8 @@ SAMPLED, HOT = 64, 4096
 _WIDTH = ROWS + BANDS + 4
 
 
-def _marks(level: int) -> list[int]:
-    """Evenly spaced places on the ring of 64-bit hashes, one for each band; those of other levels lie between them."""
-    shift = (0.0, 0.5, 0.25, 0.75)[level]
-    return [-(1 << 63) + int((b + shift) * (1 << 64) / BANDS) + 1 for b in range(BANDS)]
+#: Evenly spaced places on the ring of 64-bit hashes, one for each band.
+_MARKS = [-(1 << 63) + (b << 64) // BANDS + 1 for b in range(BANDS)]
 
 
 def _norm(line: F.Column) -> F.Column:
@@ -82,28 +79,22 @@ def _after(ring: F.Column, mark: int, marks: F.Column) -> F.Column:
     return F.slice(F.array_except(F.slice(ring, place + 1, _WIDTH), marks), 1, ROWS)
 
 
-def with_bands(lines: DataFrame, norm: str = "norm", level: int = 0) -> DataFrame:
-    """The lines with band keys k0.. instead of their text.
+def signed_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, key, pos, id64, id2, band keys k0.. of each line.
 
     A band's key is of the ROWS hashes that come after its mark, going round: the least ones in an order that
     begins there.  The chance that they are all the same for two lines is the similarity to that power.
     """
-    own, at = [c for c in lines.columns if c != norm], _marks(level)
-    marks = F.array(*map(F.lit, at))
+    own, marks = ["doc_id", "key", "pos", "id64", "id2"], F.array(*map(F.lit, _MARKS))
     round_ = lambda m: F.concat(m, F.slice(m, 1, _WIDTH))
-    cut = lines.select(*own, _shingles(norm).alias("h"))
+    cut = _lines(docs).select(*own, _shingles("norm").alias("h"))
     ring = cut.select(*own, "h", F.sort_array(F.concat("h", marks)).alias("m")).select(*own, "h", round_(F.col("m")).alias("m"))
-    found = ring.select(*own, "h", *[_after(F.col("m"), mark, marks).alias(f"k{b}") for b, mark in enumerate(at)])
+    found = ring.select(*own, "h", *[_after(F.col("m"), mark, marks).alias(f"k{b}") for b, mark in enumerate(_MARKS)])
     # Lines of few different shingles, many times each, are done once more without repeats.
     thin = (F.size("h") > _WIDTH) & (F.least(*[F.size(f"k{b}") for b in range(BANDS)]) < ROWS)
-    again = F.transform(F.array(F.sort_array(F.concat(F.array_distinct("h"), marks))), lambda m: F.array(*[_after(round_(m), mark, marks) for mark in at]))
+    again = F.transform(F.array(F.sort_array(F.concat(F.array_distinct("h"), marks))), lambda m: F.array(*[_after(round_(m), mark, marks) for mark in _MARKS]))
     found = found.select(*own, *[f"k{b}" for b in range(BANDS)], F.when(thin, F.element_at(again, 1)).alias("again"))
-    return found.select(*own, *[F.xxhash64(F.lit(b + BANDS * level), F.coalesce(F.get("again", F.lit(b)), f"k{b}")).alias(f"k{b}") for b in range(BANDS)])
-
-
-def signed_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, key, pos, id64, id2, band keys k0.. of each line."""
-    return with_bands(_lines(docs))
+    return found.select(*own, *[F.xxhash64(F.lit(b), F.coalesce(F.get("again", F.lit(b)), f"k{b}")).alias(f"k{b}") for b in range(BANDS)])
 
 
 def distinct_lines(signed: DataFrame) -> DataFrame:
@@ -114,8 +105,8 @@ def distinct_lines(signed: DataFrame) -> DataFrame:
     return save(signed.groupBy("id64", "id2").agg(F.count("*").alias("n"), F.min(at).alias("at"), *first, *keys), "distinct-lines")
 
 
-def _records(lines: DataFrame, *own: str) -> DataFrame:
-    return lines.select("id64", *own, F.explode(F.array(*[f"k{b}" for b in range(BANDS)])).alias("bucket"))
+def _records(lines: DataFrame) -> DataFrame:
+    return lines.select("id64", F.explode(F.array(*[f"k{b}" for b in range(BANDS)])).alias("bucket"))
 
 
 def candidate_pairs(records: DataFrame) -> DataFrame:
@@ -147,28 +138,47 @@ def named_lines(distinct: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def line_texts(docs: DataFrame, named: DataFrame) -> DataFrame:
-    """id64, node (struct of id64 and id2), norm of the named lines, cut from the documents that hold them first."""
+    """id64, node (struct of id64 and id2), norm, n, cells of the named lines, cut from the documents that hold them first.
+
+    n is the number of different shingles, cells are the different values of 16 bits of their hashes.
+    """
     held = named.groupBy("doc_id", "key").agg(F.collect_list(F.struct("pos", "id64", "id2")).alias("wanted"))
     # Of one plan at every size: the documents are dealt by id and text.
     met = docs.select("doc_id", F.xxhash64("text").alias("key"), "text").join(held.hint("shuffle_hash"), ["doc_id", "key"])
     # The cut text is bound as a variable, for it is asked for each line.
     cut = F.transform(F.array(F.split("text", "\n", -1)), lambda parts: F.transform("wanted", lambda w: F.struct(w["id64"].alias("id64"), w["id2"].alias("id2"), _norm(F.get(parts, w["pos"])).alias("norm"))))
     found = met.select(F.explode(F.element_at(cut, 1)).alias("l")).select("l.id64", F.struct("l.id64", "l.id2").alias("node"), "l.norm")
-    return save(found.groupBy("id64", "node").agg(F.first("norm").alias("norm")), "line-texts")  # rows may repeat id and text
+    found = found.groupBy("id64", "node").agg(F.first("norm").alias("norm"))  # rows may repeat id and text
+    found = found.select("*", _shingles("norm").alias("h")).select("id64", "node", "norm", F.size(F.array_distinct("h")).alias("n"), F.transform("h", lambda x: F.shiftright(x, 48).cast("smallint")).alias("cells"))
+    return save(found.withColumn("cells", F.array_distinct("cells")), "line-texts")
 
 
-def verified_links(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """a, b (nodes) of the pairs whose sets of all shingles have at least this Jaccard similarity."""
+def _met(texts: DataFrame, pairs: DataFrame, *own: str) -> DataFrame:
+    """a, b and columns own1, own2 of both lines.  A line is ``a`` few times, but the first of a bucket is ``b`` often."""
     uses = pairs.groupBy("b").agg(F.count("*").alias("uses"))
-    right = texts.join(uses, texts["id64"] == uses["b"]).select("b", F.col("node").alias("y"), F.col("norm").alias("t2"), "uses")
-    left = texts.select(F.col("id64").alias("a"), F.col("node").alias("x"), F.col("norm").alias("t1"))
-    met = join_skewed(pairs.join(left, "a"), right, ["b"], "uses")  # a line is ``a`` few times, but the first of a bucket is ``b`` often
-    sets = met.select("x", "y", _shingles("t1").alias("h1"), _shingles("t2").alias("h2")).select("x", "y", F.array_distinct("h1").alias("s1"), F.array_distinct("h2").alias("s2"))
-    # Sets of too unlike sizes can't be that similar, whatever they hold.
-    fits = F.least(F.size("s1"), F.size("s2")) >= threshold * F.greatest(F.size("s1"), F.size("s2")) - 1e-9
-    common = F.size(F.array_intersect("s1", "s2"))
-    met = sets.where(fits).select("x", "y", common.alias("common"), (F.size("s1") + F.size("s2")).alias("both"))
-    return met.where(F.col("common") >= threshold * (F.col("both") - F.col("common")) - 1e-9).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    right = texts.select(F.col("id64").alias("b"), *[F.col(c).alias(f"{c}2") for c in own]).join(uses, "b")
+    left = texts.select(F.col("id64").alias("a"), *[F.col(c).alias(f"{c}1") for c in own])
+    return join_skewed(pairs.join(left, "a"), right, ["b"], "uses")
+
+
+def likely_pairs(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """a, b: the pairs that can be similar enough by their numbers of shingles and by their cells.
+
+    A cell of one line that the other lacks holds at least one shingle that the other lacks.
+    """
+    met = _met(texts, pairs, "n", "cells").withColumn("overlap", F.ceil(threshold / (1 + threshold) * (F.col("n1") + F.col("n2")) - 1e-9))
+    met = met.where((F.least("n1", "n2") >= F.col("overlap")) & (F.col("n1") - F.size(F.array_except("cells1", "cells2")) >= F.col("overlap")))
+    return save(met.where(F.col("n2") - F.size(F.array_except("cells2", "cells1")) >= F.col("overlap")).select("a", "b").distinct(), "likely-pairs")
+
+
+def verified_links(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """a, b (nodes) of the pairs (id64) whose sets of all shingles have at least this Jaccard similarity."""
+    met = _met(texts, likely_pairs(texts, pairs, threshold), "node", "norm")
+    sets = met.select("node1", "node2", _shingles("norm1").alias("h1"), _shingles("norm2").alias("h2"))
+    sets = sets.select("node1", "node2", F.array_distinct("h1").alias("s1"), F.array_distinct("h2").alias("s2"))
+    met = sets.select("node1", "node2", F.size(F.array_intersect("s1", "s2")).alias("common"), (F.size("s1") + F.size("s2")).alias("both"))
+    met = met.where(F.col("common") >= threshold * (F.col("both") - F.col("common")) - 1e-9)
+    return save(met.select(F.col("node1").alias("a"), F.col("node2").alias("b")), "line-links")
 
 
 def parted_members(buckets: DataFrame, texts: DataFrame, roots: DataFrame) -> DataFrame | None:
@@ -190,12 +200,6 @@ def full_pairs(members: DataFrame) -> DataFrame:
     return met.where("a > b and r1 != r2").select("a", "b").distinct()
 
 
-def split_again(members: DataFrame, texts: DataFrame, level: int) -> DataFrame:
-    """bucket, id64 of the parts into which bands at other marks split the members' buckets."""
-    keyed = with_bands(texts.join(members.select("id64").distinct(), "id64", "left_semi").groupBy("id64").agg(F.first("norm").alias("norm")), level=level)
-    return _records(members.select("id64", F.col("bucket").alias("of")).join(keyed, "id64"), "of").select(F.xxhash64("of", "bucket").alias("bucket"), "id64")
-
-
 def prefix_pairs(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """a, b: all pairs of lines of different components that share a bucket and can be similar enough.
 
@@ -203,7 +207,7 @@ def prefix_pairs(members: DataFrame, texts: DataFrame, threshold: float) -> Data
     common shingle among their first n - o + 1 and m - o + 1, in any order that holds for both.  The rarest in
     the bucket come first, so what all lines of a template share joins nothing.
     """
-    sets = texts.select("id64", _shingles("norm").alias("h")).select("id64", F.array_distinct("h").alias("s"))
+    sets = texts.join(members.select("id64").distinct(), "id64", "left_semi").select("id64", _shingles("norm").alias("h")).select("id64", F.array_distinct("h").alias("s"))
     of = members.join(sets, "id64").select("bucket", "id64", "root", F.size("s").alias("n"), F.explode("s").alias("token"))
     often = save(of.groupBy("bucket", "token").agg(F.count("*").alias("often")), "shingle-counts")
     place = F.row_number().over(Window.partitionBy("bucket", "id64").orderBy("often", "token"))
@@ -227,39 +231,17 @@ def line_roots(docs: DataFrame, distinct: DataFrame, threshold: float) -> DataFr
     pairs = save(candidate_pairs(_records(distinct)), "line-pairs")
     named = named_lines(distinct, pairs)
     texts = line_texts(docs, named)
-    links = save(verified_links(texts, pairs, threshold), "line-links")
+    links = verified_links(texts, pairs, threshold)
     roots = components(links)
-    buckets = _records(named)
-    for level in range(1, DEPTH + 2):
-        members = parted_members(buckets, texts, roots)
-        if members is None:
-            break
-        more, larger = full_pairs(members), members.where(F.col("n") > FULL)
-        last = not larger.take(1)
-        if not last and level > DEPTH:
-            more = more.unionByName(prefix_pairs(larger, texts, threshold))
-        found = save(verified_links(texts, save(more, "line-pairs"), threshold), "line-links")
-        if found.take(1):
-            links = save(links.unionByName(found), "line-links")
-            roots = components(links)
-        if last:
-            break
-        if level <= DEPTH:
-            buckets = save(split_again(larger, texts, level), "bucket-parts")
-            links, roots = linked_parts(buckets, larger, texts, links, roots, threshold)
-    return roots
-
-
-def linked_parts(buckets: DataFrame, members: DataFrame, texts: DataFrame, links: DataFrame, roots: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Links and roots after the lines of each part met the first of it and their neighbours."""
-    known = members.groupBy("id64").agg(F.min("root").alias("root"))
-    pairs = candidate_pairs(buckets).join(known.select(F.col("id64").alias("a"), F.col("root").alias("r1")), "a")
-    pairs = pairs.join(known.select(F.col("id64").alias("b"), F.col("root").alias("r2")), "b").where("r1 != r2").select("a", "b")
-    found = save(verified_links(texts, save(pairs, "line-pairs"), threshold), "line-links")
-    if found.take(1):
-        links = save(links.unionByName(found), "line-links")
-        roots = components(links)
-    return links, roots
+    members = parted_members(_records(named), texts, roots)
+    if members is None:
+        return roots
+    more = full_pairs(members)
+    larger = members.where(F.col("n") > FULL)
+    if larger.take(1):
+        more = more.unionByName(prefix_pairs(larger, texts, threshold)).distinct()
+    found = verified_links(texts, save(more, "line-pairs"), threshold)
+    return components(links.unionByName(found)) if found.take(1) else roots
 
 
 def _duplicates(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
