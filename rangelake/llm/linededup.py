@@ -201,25 +201,30 @@ def full_pairs(members: DataFrame) -> DataFrame:
 
 
 def prefix_pairs(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """a, b: all pairs of lines of different components that share a bucket and can be similar enough.
+    """a, b: all pairs of lines of different components among the members that can be similar enough.
 
     Of two sets of n and m shingles with an overlap of at least o = threshold / (1 + threshold) * (n + m), both have a
-    common shingle among their first n - o + 1 and m - o + 1, in any order that holds for both.  The rarest in
-    the bucket come first, so what all lines of a template share joins nothing.
+    common shingle among their first n - o + 1 and m - o + 1, in any order that holds for both.  First come those of
+    one component alone, which join nothing and are only counted; then the rarest, so what all lines of a template
+    share joins nothing either.  A line is taken once, however many of its buckets are large.
     """
-    sets = texts.join(members.select("id64").distinct(), "id64", "left_semi").select("id64", _shingles("norm").alias("h")).select("id64", F.array_distinct("h").alias("s"))
-    of = members.join(sets, "id64").select("bucket", "id64", "root", F.size("s").alias("n"), F.explode("s").alias("token"))
-    often = save(of.groupBy("bucket", "token").agg(F.count("*").alias("often")), "shingle-counts")
-    place = F.row_number().over(Window.partitionBy("bucket", "id64").orderBy("often", "token"))
-    ranked = join_skewed(of, often, ["bucket", "token"], "often").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1)
-    lists = ranked.where("often > 1").groupBy("bucket", "token", "root", F.pmod(F.xxhash64("id64"), F.ceil(F.col("often") / LIST)).alias("part"))
+    lines = members.groupBy("id64").agg(F.min("root").alias("root"))
+    of = lines.join(texts.groupBy("id64").agg(F.first("norm").alias("norm")), "id64").select("id64", "root", _shingles("norm").alias("h"))
+    of = of.select("id64", "root", F.array_distinct("h").alias("s")).select("id64", "root", F.size("s").alias("n"), F.explode("s").alias("token"))
+    often = of.groupBy("token").agg(F.count("*").alias("often"), F.min("root").alias("r1"), F.max("root").alias("r2"))
+    often = save(often.where("r1 != r2").select("token", "often"), "shingle-counts")
+    own = Window.partitionBy("id64")
+    # The last of a line's shared shingles has place n.
+    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("often", "token"))
+    ranked = join_skewed(of, often, ["token"], "often").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1)
+    lists = ranked.groupBy("token", "root", F.pmod(F.xxhash64("id64"), F.ceil(F.col("often") / LIST)).alias("part"))
     lists = save(lists.agg(F.collect_list(F.struct("id64", "n", "place")).alias("own")), "line-lists")
-    some = lists.groupBy("bucket", "token").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("bucket", "token")
-    lists = lists.join(some, ["bucket", "token"], "left_semi")
+    some = lists.groupBy("token").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("token")
+    lists = lists.join(some, "token", "left_semi")
     # The smaller set (of equal ones, either) needs fewer of its shingles.
-    less = lists.select("bucket", "token", F.col("root").alias("r1"), F.filter("own", lambda e: e["place"] <= e["n"] - F.ceil(2 * threshold / (1 + threshold) * e["n"] - 1e-9) + 1).alias("l1")).where(F.size("l1") > 0)
-    more = lists.select("bucket", "token", F.col("root").alias("r2"), F.col("own").alias("l2"))
-    met = less.join(more, ["bucket", "token"]).where("r1 != r2").select(F.explode("l1").alias("x"), "l2").select("x", F.explode("l2").alias("y"))
+    less = lists.select("token", F.col("root").alias("r1"), F.filter("own", lambda e: e["place"] <= e["n"] - F.ceil(2 * threshold / (1 + threshold) * e["n"] - 1e-9) + 1).alias("l1")).where(F.size("l1") > 0)
+    more = lists.select("token", F.col("root").alias("r2"), F.col("own").alias("l2"))
+    met = less.join(more, "token").where("r1 != r2").select(F.explode("l1").alias("x"), "l2").select("x", F.explode("l2").alias("y"))
     n, m = F.col("x.n"), F.col("y.n")
     overlap = F.ceil(threshold / (1 + threshold) * (n + m) - 1e-9)
     met = met.where((n <= m) & (n >= threshold * m - 1e-9) & (F.col("x.place") <= n - overlap + 1) & (F.col("y.place") <= m - overlap + 1))

@@ -118,13 +118,14 @@ def test_components(spark):
 
 
 def plain_lines(rows, threshold=0.8):
+    """By all runs of nine characters of a line, each pair of lines compared."""
     where = defaultdict(set)
     for i, t in rows:
         for k, line in enumerate((t or "").split("\n")):
             if n := line.strip(" \t\r").lower():
                 where[n].add((i, k))
     names = list(where)
-    sets = {k: frozenset(re.findall(r"(?s)(?=(.{9}))\S+", n) or [n]) for k, n in enumerate(names)}
+    sets = {k: frozenset(n[j : j + 9] for j in range(max(1, len(n) - 8))) for k, n in enumerate(names)}
     groups = defaultdict(set)
     for k, (root, _) in classes(sets, threshold).items():
         groups[root] |= where[names[k]]
@@ -159,32 +160,13 @@ def test_line_dedup_is_brute_force(spark):
     assert all(got[i] == want.get(i, []) for i in range(500, 508))
 
 
-def every_run(rows, threshold=0.8):
-    """As plain_lines, by all runs of nine characters of a line."""
-    where = defaultdict(set)
-    for i, t in rows:
-        for k, line in enumerate((t or "").split("\n")):
-            if n := line.strip(" \t\r").lower():
-                where[n].add((i, k))
-    names = list(where)
-    sets = {k: frozenset(n[j : j + 9] for j in range(max(1, len(n) - 8))) for k, n in enumerate(names)}
-    groups = defaultdict(set)
-    for k, (root, _) in classes(sets, threshold).items():
-        groups[root] |= where[names[k]]
-    gone = defaultdict(list)
-    for g in groups.values():
-        for i, k in sorted(g)[1:]:
-            gone[i].append(k)
-    return {i: sorted(k) for i, k in gone.items()}
-
-
 def test_line_dedup_looks_at_every_run(spark):
     long = "https://where.example/" + "".join(map(str, range(100, 160)))
     texts = ["chapter 10", "chapter 11", "https://www.one.example/a", "https://www.two.example/b", "see table 12 below, page 7", "see table 12 below, page 9"]
     texts += ["\u6211\u4eec\u4eca\u5929\u53bb\u516c\u56ed\u770b\u82b1\u548c\u6811", "\u6211\u4eec\u4eca\u5929\u53bb\u516c\u56ed\u770b\u82b1\u7684\u4eba\u5f88\u591a", "QmFzZTY0IHRleHQ=", "QmFzZTY0IG90aGVyIHRleHQ=", long, long + "!"]
     rows = [*enumerate(texts), *((100 + i, t) for i, t in line_rows(3))]
     got = {r["doc_id"]: r["removed"] for r in linededup.dedup_report(frame(spark, rows)).collect()}
-    want = every_run(rows)
+    want = plain_lines(rows)
     assert [i for i in range(len(texts)) if got[i]] == [5, len(texts) - 1]  # page 7 and page 9 share 17 of 19 runs
     assert all(got[i] == want.get(i, []) for i in range(len(texts)))
     assert sum(got[i] == want.get(i, []) for i in got) >= 0.97 * len(rows)
@@ -205,11 +187,46 @@ def template_lines(n, seed=4):
 def test_line_dedup_of_one_template(spark):
     rows = template_lines(300)
     got = {r["doc_id"]: r["removed"] for r in linededup.dedup_report(frame(spark, rows)).collect()}
-    want = every_run(rows)
+    want = plain_lines(rows)
     assert len(want) > 20 and {i for i in got if got[i]} <= set(want)
     assert sum(bool(got[i]) for i in want) >= 0.95 * len(want)
 
 
+def test_line_dedup_of_large_buckets_in_full_and_by_prefixes(spark, monkeypatch):
+    rows = template_lines(150, seed=9)
+    want = plain_lines(rows)
+    monkeypatch.setattr(linededup, "NEIGHBOURS", 1)
+    for full in (4, 1000):  # nearly all by prefixes, all in full
+        monkeypatch.setattr(linededup, "FULL", full)
+        got = {r["doc_id"]: r["removed"] for r in linededup.dedup_report(frame(spark, rows)).collect()}
+        assert {i for i in got if got[i]} <= set(want) and sum(bool(got[i]) for i in want) >= 0.95 * len(want)
+
+
+def test_line_dedup_removes_no_unlike_lines(spark):
+    texts = [
+        "https://example.com/a\nhttps://example.org/b\nhttps://elsewhere.net/zzz",
+        "\u673a\u5668\u5b66\u4e60\u662f\u4eba\u5de5\u667a\u80fd\u7684\u4e00\u4e2a\u5206\u652f\n\u673a\u5668\u5b66\u4e60\u662f\u4eba\u5de5\u667a\u80fd\u6211\u4eec\u4eca\u5929\u4e0d\u8c08",
+        "Invoice number 12345\nInvoice number 12999", "the price is 10\nthe price is 99", "\t" * 40 + "\n" + " " * 50, "\U0001f600\U0001f601\n\U0001f600\U0001f602",
+    ]
+    got = linededup.dedup_report(frame(spark, enumerate(texts))).collect()
+    assert len(got) == len(texts) and not any(r["removed"] for r in got)
+    assert {r["doc_id"]: r["n_lines"] for r in got}[4] == 0
+
+
+def test_line_dedup_of_few_shingles_many_times(spark):
+    texts = ["=" * 200, "=" * 90 + "\nab" + "ab" * 300, "ab" * 40, "ab" * 40 + "c"]
+    got = {r["doc_id"]: r["removed"] for r in linededup.dedup_report(frame(spark, enumerate(texts))).collect()}
+    assert got == {0: [], 1: [0], 2: [0], 3: []}  # two shingles against three
+
+
+def test_line_dedup_beside_clashing_columns(spark):
+    names = ["doc_id", "text", "n_chars", "_gone", "_new", "_key", "_id", "key", "removed", "row", "new"]
+    d = spark.createDataFrame([(1, "one line of some text here", 1, *"abcdefgh"), (2, "One line of some text here\nmore of it all", 2, *"abcdefgh"), (None, None, None, *"abcdefgh")], "doc_id long, text string, n_chars int, " + ", ".join(f"{n} string" for n in names[3:]))
+    out = linededup.drop_duplicate_lines(d)
+    assert out.columns == names
+    assert {(r["doc_id"], r["text"], r["n_chars"], r["new"]) for r in out.collect()} == {(1, "one line of some text here", 1, "h"), (2, "more of it all", 14, "h"), (None, None, None, "h")}
+
+
 def test_line_dedup_with_salted_buckets(spark, monkeypatch):
     rows = line_rows(2)
     plain = sorted(map(str, linededup.dedup_report(frame(spark, rows)).collect()))
