@@ -288,7 +288,6 @@ def plain_search(rows, k=10, most=search.TERMS):
 @pytest.mark.parametrize("shard", [24_000_000, 4000])
 def test_search_is_brute_force(spark, monkeypatch, shard):
     monkeypatch.setattr(search, "SHARD", shard)
-    monkeypatch.setattr(search, "BLOCK", 4)
     monkeypatch.setattr(search, "WINDOW", 8)
     rng = random.Random(5)
     rows = [(i * 7, " ".join(words(rng, rng.randrange(1, 80), 150))) for i in range(300)]
@@ -326,10 +325,10 @@ def test_search_prunes():
     found = [np.unique(np.array([numbers[t] for t in d]), return_counts=True) for d in docs]
     row = search._shard(list(range(4000)), found, [len(d) for d in docs], numbers).to_pylist()[0]
     p, seen = search.Postings(row, 10.0), []
-    plain = p.add_scores
-    p.add_scores = lambda k, idf, live, scores: (seen.append(live.sum()), plain(k, idf, live, scores))
-    assert len(search.top_k(p, [("common", 0.1), ("rare", 6.0)], 4)) == 4
-    assert sum(seen) / 2 < 0.5 * 4000 / search.WINDOW
+    plain = p.scores
+    p.scores = lambda blocks, weight: (seen.append(len(blocks)), plain(blocks, weight))[1]
+    assert len(search.top_k(p, p.numbers(["common", "rare", "absent"]), np.array([0.1, 6.0, 1.0]), 4)) == 4
+    assert sum(seen) < 0.5 * len(p.window)  # of all blocks
 
 
 def test_search_of_nothing(spark):
