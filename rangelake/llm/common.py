@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..runtime import ship
 
 #: Rows and bytes of an Arrow batch.  Texts may be long, so a batch is kept small.
-BATCH_ROWS, BATCH_BYTES = 1024, "32m"
+BATCH_ROWS, BATCH_BYTES = 1024, "8m"
 
 
 def tune(spark: SparkSession) -> None:

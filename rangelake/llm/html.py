@@ -13,6 +13,7 @@ rendering; broken markup is read as far as it goes.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 from itertools import groupby
 
@@ -51,16 +52,16 @@ _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_SELECTOR = re.compile(r"([a-zA-Z][\w-]*)?(?:([.#])([\w-]+))?\Z")
+_BRACE = re.compile(r"[{};]")
+_COMPOUND = re.compile(r"(\*|[a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)\Z")
 _SPACE = " \t\n\r\f"
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children")
+    __slots__ = ("tag", "attributes", "children", "up")
 
-    def __init__(self, tag: str, attributes: dict[str, str]):
-        self.tag, self.attributes, self.children = tag, attributes, []
+    def __init__(self, tag: str, attributes: dict[str, str], up: Node | None = None):
+        self.tag, self.attributes, self.children, self.up = tag, attributes, [], up
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -75,34 +76,115 @@ def _declarations(style: str) -> dict[str, str]:
     return {k.strip(): v.replace("!important", "").strip() for k, v in pairs}
 
 
-def parse(html: str) -> tuple[Node, dict[tuple, dict[str, str]]]:
-    """The tree, and style-sheet rules on display and visibility by (tag, sign, name)."""
+def _screen_rules(css: str):
+    """(selector, declarations) of a style sheet in order; of conditional groups those for screens."""
+    css = re.sub(r"/\*.*?(?:\*/|\Z)", " ", css, flags=re.S)
+    shown, at, head = [True], 0, None  # one entry for each open group
+    for m in _BRACE.finditer(css):
+        text, at = css[at : m.start()].strip(), m.end()
+        if m[0] == "{":
+            if text.startswith("@"):
+                word, _, condition = text.lower().partition(" ")
+                media = word != "@media" or not condition.strip() or any(re.match(r"(?:only\s+)?(?:screen|all)\b|\(|not\s+print\b", c.strip()) for c in condition.split(","))
+                shown.append(shown[-1] and media and word in ("@media", "@supports", "@layer", "@container"))
+                head = None
+            else:
+                head, body = text, m.end()
+                shown.append(shown[-1])
+        elif m[0] == "}":
+            if head is not None and shown[-1]:
+                yield head, css[body : m.start()]
+            head = None
+            if len(shown) > 1:
+                shown.pop()
+
+
+def _selector(one: str):
+    """Compounds (sign: ' ' or '>', tag, classes, ids), the last one first; None for what isn't read (states, attributes, siblings)."""
+    parts = re.sub(r"\s*>\s*", " >", one.strip()).split()
+    out = []
+    for p in parts:
+        sign = ">" if p.startswith(">") else " "
+        m = _COMPOUND.match(p.lstrip(">"))
+        if not m or not m[0]:
+            return None
+        names = re.findall(r"([.#])([\w-]+)", m[2])
+        out.append((sign, m[1].lower() if m[1] and m[1] != "*" else None, frozenset(n for c, n in names if c == "."), frozenset(n for c, n in names if c == "#")))
+    return tuple(reversed(out)) or None
+
+
+def _add_rules(css: str, rules: dict) -> None:
+    """Put a sheet's rules on display and visibility under a name that an element has to have for each."""
+    for heads, text in _screen_rules(css):
+        d = {k: v for k, v in _declarations(text).items() if k in ("display", "visibility")}
+        for one in heads.split(",") if d else []:
+            if s := _selector(one):
+                _, tag, classes, ids = s[0]
+                key = "#" + min(ids) if ids else "." + min(classes) if classes else tag or "*"
+                weight = (sum(len(c[3]) for c in s), sum(len(c[2]) for c in s), sum(c[1] is not None for c in s), rules.setdefault("", 0))
+                rules[""] += 1
+                rules.setdefault(key, []).append((weight, s, d))
+
+
+def _fits(node: Node, compound: tuple) -> bool:
+    _, tag, classes, ids = compound
+    a = node.attributes
+    return (tag is None or tag == node.tag) and (not ids or ids == {a.get("id")}) and (not classes or classes <= set(a.get("class", "").split()))
+
+
+def _applies(node: Node, selector: tuple) -> bool:
+    """Whether the selector's compounds fit the element and those around it, the nearest that will do each time."""
+    if not _fits(node, selector[0]):
+        return False
+    sign = selector[0][0]
+    for compound in selector[1:]:
+        node = node.up
+        while node is not None and sign == " " and not _fits(node, compound):
+            node = node.up
+        if node is None or not _fits(node, compound):
+            return False
+        sign = compound[0]
+    return True
+
+
+def parse(html: str) -> tuple[Node, dict]:
+    """The tree, and style-sheet rules on display and visibility."""
     root = Node("#root", {})
-    stack, rules, at = [root], {}, 0
+    stack, rules, at, open_now = [root], {}, 0, Counter()
+
+    def push(node: Node) -> None:
+        stack.append(node)
+        open_now[node.tag] += 1
+
+    def cut(i: int) -> None:
+        open_now.subtract(n.tag for n in stack[i:])
+        del stack[i:]
 
     def close(names: set[str], bounds: set[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in bounds:
-                return
-            if stack[i].tag in names:
-                del stack[i:]
-                names = names if any(n.tag in names for n in stack) else set()
-                if not names:
+        while any(open_now[t] for t in names):
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag in bounds:
                     return
+                if stack[i].tag in names:
+                    cut(i)
+                    break
 
-    low = None
-    while m := _MARKUP.search(html, at):
+    low, last = None, html.rfind(">") + 1  # no tag ends after that
+    while m := _MARKUP.search(html, at, last):
         if m.start() > at:
             stack[-1].children.append(unescape(html[at : m.start()]))
         at = m.end()
+        if m[0].startswith("<!--") and not m[0].endswith("-->"):  # never closed
+            at = len(html)
+            break
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
         if m[1] or m[4]:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in () if not open_now[tag] else range(len(stack) - 1, 0, -1):
                 open_ = stack[i].tag
                 if open_ == tag:
-                    del stack[i:]
+                    cut(i)
                     break
                 # An inline end tag doesn't reach beyond a block; nothing reaches out of a cell but the table's own tags.
                 if (open_ in BLOCK and tag not in BLOCK) or (open_ in ("td", "th") and tag not in ("tr", "table", "tbody", "thead", "tfoot")):
@@ -110,16 +192,16 @@ def parse(html: str) -> tuple[Node, dict[tuple, dict[str, str]]]:
             continue
         raw = m[3] if m[2] else m[6]
         if stack[-1].tag == "head" and tag not in HEAD_ONLY:
-            stack.pop()
+            cut(len(stack) - 1)
         if tag in IMPLIED:
             close(*IMPLIED[tag])
         elif tag in CLOSES_P:
             close({"p"}, {"td", "th", "table", "button", "caption", "li", "blockquote", "div", "section", "article", "#root"})
-        if tag in ("td", "th") and stack[-1].tag not in ("tr",) and any(n.tag == "table" for n in stack) and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
-            row = Node("tr", {})
+        if tag in ("td", "th") and stack[-1].tag not in ("tr",) and open_now["table"] and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
+            row = Node("tr", {}, stack[-1])
             stack[-1].children.append(row)
-            stack.append(row)
-        node = Node(tag, _attributes(raw) if raw.strip(" /") else {})
+            push(row)
+        node = Node(tag, _attributes(raw) if raw.strip(" /") else {}, stack[-1])
         stack[-1].children.append(node)
         if tag in RAW:
             low = low or html.lower()
@@ -128,18 +210,15 @@ def parse(html: str) -> tuple[Node, dict[tuple, dict[str, str]]]:
             end = low.find(f"</{tag}", at)
             body = html[at : end if end >= 0 else len(html)]
             if tag == "style":
-                for sel, decl in _RULE.findall(body):
-                    d = {k: v for k, v in _declarations(decl).items() if k in ("display", "visibility")}
-                    for one in sel.split(",") if d else []:
-                        if s := _SELECTOR.match(one.strip()):
-                            rules.setdefault((s[1] and s[1].lower(), s[2], s[3]), {}).update(d)
+                _add_rules(body, rules)
             elif tag in ("textarea", "xmp"):
                 node.children.append(unescape(body) if tag == "textarea" else body)
             at = len(html) if end < 0 else (html.find(">", end) + 1 or len(html))
         elif tag not in VOID and not raw.endswith("/"):
-            stack.append(node)
-    if at < len(html):
-        stack[-1].children.append(unescape(html[at:]))
+            push(node)
+    rest = html[at:].partition("<!--")[0]  # what begins there is never closed
+    if rest:
+        stack[-1].children.append(unescape(rest))
     return root, rules
 
 
@@ -147,9 +226,9 @@ def _style(node: Node, rules: dict) -> dict[str, str]:
     out: dict[str, str] = {}
     a = node.attributes
     if rules:
-        classes = a.get("class", "").split()
-        for key in ((node.tag, None, None), *((t, ".", c) for c in classes for t in (None, node.tag)), *((t, "#", a["id"]) for t in (None, node.tag) if "id" in a)):
-            out |= rules.get(key, {})
+        names = [*("." + c for c in set(a.get("class", "").split())), node.tag, "*"] + (["#" + a["id"]] if "id" in a else [])
+        for _, _, d in sorted((r for n in names for r in rules.get(n, ()) if _applies(node, r[1])), key=lambda r: r[0]):
+            out |= d
     return out | _declarations(a["style"]) if "style" in a else out
 
 
@@ -350,9 +429,13 @@ def _render(children: list, rules: dict, visible: bool = True, depth: int = 0) -
 def _aligned(rows: list[tuple[Node, bool]], rules: dict, depth: int) -> list[str]:
     """Each row one line, its cells padded to the widest of their column; a cell's own lines are joined."""
     grid = []
+    held: dict[int, int] = {}  # column -> rows for which a cell from above still fills it
     for row, v in rows:
-        cells = []
+        cells: list[str] = []
         for c in row.children:
+            while isinstance(c, Node) and held.get(len(cells), 0):
+                held[len(cells)] -= 1
+                cells.append("")
             if not isinstance(c, Node):
                 if v and c.strip():
                     cells.append(" ".join(c.split()))
@@ -363,8 +446,13 @@ def _aligned(rows: list[tuple[Node, bool]], rules: dict, depth: int) -> list[str
             shown = style.get("visibility", "visible" if v else "hidden") not in ("hidden", "collapse")
             inner = c.children if c.tag in ("td", "th") else [c]
             cells.append(" ".join(" ".join(_render(inner, rules, shown, depth + 1)).split()))
-            span = c.attributes.get("colspan", "")
-            cells += [""] * (min(int(span), 1000) - 1 if span.isdigit() and len(span) < 5 else 0)
+            across, down = (int(n) if n.isdecimal() and n.isascii() and len(n) < 6 else 1 for n in (c.attributes.get("colspan", ""), c.attributes.get("rowspan", "")))
+            across = max(1, min(across, 1000))  # as the language has it
+            if down > 1:
+                held.update(dict.fromkeys(range(len(cells) - 1, len(cells) - 1 + across), min(down, 65534) - 1))
+            cells += [""] * (across - 1)
+        for k in [k for k in held if k >= len(cells)]:
+            held[k] = max(0, held[k] - 1)
         grid.append(cells)
     widths = [0] * max(map(len, grid), default=0)
     for cells in grid:

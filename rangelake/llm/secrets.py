@@ -5,6 +5,9 @@ The lexer reads source and configuration syntax (``name = literal``, ``"name": l
 propagates constants through later uses (``b = a``, ``"x" + a``, ``"${a}"``) and scores each
 literal by how sensitive the name is that it reaches and by how random it looks.
 
+A constant is put in where it is used while the value has at most ``LONGEST`` characters; beyond that its use is an
+unknown name, so values that grow by themselves cost no more than others.
+
 Defined results: a null or empty text has no span; offsets are in code points, end exclusive;
 repeated rows are scanned each by itself; a null id is kept.
 """
@@ -21,6 +24,8 @@ from pyspark.sql import DataFrame
 
 from .common import columns, select, tune
 
+#: Characters of a value up to which constants are put in.
+LONGEST = 4096
 #: The kinds in the order of a report; the first three are base patterns.
 KINDS = ("assign", "access", "hex", "literal")
 
@@ -33,7 +38,9 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _HINTS = ("password", "passwd", "secret", "token", "api")
 
 _OPERATOR = re.compile(r":=|=>|[=:]")
-_NAME = re.compile(r"""([A-Za-z_$][\w$.\-]{0,127})(?:["']?\])?["']?[ \t]*\Z""", re.ASCII)
+# Read backwards from the operator: blanks, the end of a quoted or bracketed name, the name.
+_NAME = re.compile(r"""[ \t]*["']?(?:\]["']?)?([\w$.\-]+)""", re.ASCII)
+_NAME_START = re.compile(r"[A-Za-z_$]", re.ASCII)
 _TERM = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([^\s"'`,;#(){}\[\]<>+]+))""")
 _PLUS = re.compile(r"[ \t]*(?:\+|\.\.)(?=[ \t]*[\"'`\w$])")
 _REFERENCE = re.compile(r"\$\{([A-Za-z_][\w.\-]*)\}|\$([A-Za-z_]\w*)|\{([A-Za-z_]\w*)\}", re.ASCII)
@@ -76,6 +83,22 @@ def base_spans(text: str) -> Iterator[tuple[str, int, int, int]]:
             yield kind, m.start(), m.end(), m.start()
 
 
+def _name_before(text: str, end: int) -> str | None:
+    """The name that stands before a place of the text, whatever its length."""
+    width = 128
+    while True:
+        left = max(0, end - width)
+        found = _NAME.match(text[left:end][::-1])
+        if left and (found.end() == end - left if found else not text[left:end].strip(" \t\"']")):
+            width *= 2  # it may go on before
+            continue
+        if not found:
+            return None
+        name = found[1][::-1]
+        first = _NAME_START.search(name)
+        return name[first.start() :] if first else None
+
+
 def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
     """(name, value, places of the value's literals) of each assignment, constants put in where they are used."""
     known: dict[str, tuple[str, list[tuple[int, int]]]] = {}
@@ -83,8 +106,7 @@ def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
     for op in _OPERATOR.finditer(text):
         if op.start() < at or text[op.end() : op.end() + 1] in ("=", "/") or text[op.start() - 1 : op.start()] in ("!", "<", ">", "="):
             continue
-        left = text.rfind("\n", max(0, op.start() - 140), op.start()) + 1 or max(0, op.start() - 140)
-        name = _NAME.search(text, left, op.start())
+        name = _name_before(text, op.start())
         if not name:
             continue
         value, places, pos = "", [], op.end()
@@ -92,11 +114,14 @@ def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
             k = term.lastindex
             part, start = term[k], term.start(k)
             if k == 4 and part in known:
-                value, places = value + known[part][0], places + known[part][1]
+                if len(value) + len(known[part][0]) <= LONGEST:
+                    value, places = value + known[part][0], list(dict.fromkeys(places + known[part][1]))
             elif part and not (k == 4 and part.isalpha()):  # a bare word of letters is a name or a keyword
                 refs = [r for r in _REFERENCE.finditer(part) if (r[1] or r[2] or r[3]) in known] if "{" in part or "$" in part else []
                 for r in reversed(refs):
                     put = known[r[1] or r[2] or r[3]]
+                    if len(part) + len(put[0]) > LONGEST:
+                        continue
                     part, places = part[: r.start()] + put[0] + part[r.end() :], put[1] + places
                 value += part
                 if not refs:
@@ -107,8 +132,8 @@ def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
             pos = plus.end()
         if places:
             at = pos if text[pos - 1 : pos] in "\"'`" else op.end()
-            known[name[1]] = (value, places)
-            yield name[1], value, places
+            known[name] = (value, places)
+            yield name, value, places
 
 
 def scan(text: str | None, threshold: float = 0.5) -> list[tuple[str, int, int, int, float]]:

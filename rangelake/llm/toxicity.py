@@ -6,7 +6,8 @@ the hits that no exception covers are normalised by length and turned into a pro
 
 The lexicon's weights are log odds learned from labelled rows: of words and word beginnings in
 toxic against other documents, near copies counted once.  ``SAMPLE`` bounds the labelled rows used
-(the ones of lowest hash, whatever the size of the table); everything else covers all rows.
+(the ones of lowest hash, whatever the size of the table) and ``MOST_STEMS`` the entries of the lexicon learned from
+them; everything else covers all rows.
 
 Defined results: null and empty texts have no hit and get the score of such; repeated rows are
 scored each by itself; without usable labels the seed lexicon and fixed coefficients are used.
@@ -18,8 +19,10 @@ import math
 import re
 import unicodedata
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -117,7 +120,10 @@ class Lexicon:
                     skip.append((start, end))
                 elif start not in found or self.stems[stem] > self.stems[found[start][1]]:
                     found[start] = (end, stem)
-            kept = [(s, e, w) for s, (e, w) in found.items() if not any(a <= s and s + 1 < b for a, b in skip)]
+            skip.sort()
+            begins, reach = [a for a, _ in skip], list(accumulate((b for _, b in skip), max))
+            covered = lambda s: (k := bisect_right(begins, s)) and s + 1 < reach[k - 1]  # noqa: E731, B023
+            kept = [(s, e, w) for s, (e, w) in found.items() if not covered(s)]
             if weight(kept) > weight(best):
                 best = kept
         return best
