@@ -326,9 +326,9 @@ def test_search_prunes():
     row = search._shard(list(range(4000)), found, [len(d) for d in docs], numbers).to_pylist()[0]
     p, seen = search.Postings(row, 10.0), []
     plain = p.scores
-    p.scores = lambda blocks, weight: (seen.append(len(blocks)), plain(blocks, weight))[1]
+    p.scores = lambda first, end, weight: (seen.append((end - first).sum()), plain(first, end, weight))[1]
     assert len(search.top_k(p, p.numbers(["common", "rare", "absent"]), np.array([0.1, 6.0, 1.0]), 4)) == 4
-    assert sum(seen) < 0.5 * len(p.window)  # of all blocks
+    assert sum(seen) < 0.5 * len(p.at)  # of all postings
 
 
 def test_search_of_nothing(spark):
