@@ -42,7 +42,7 @@ def probe_grid(lo: float, hi: float) -> list[float]:
         end = min(np.float32(end), np.float32(hi))
         while p < end:
             out.append(float(p))
-            p = np.float32(p + step)
+            p = max(np.float32(p + step), np.nextafter(p, np.float32(np.inf)))  # where the step is lost in rounding
     return sorted(out)
 
 

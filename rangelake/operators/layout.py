@@ -11,6 +11,10 @@ from ..functions.predicates import valid_key
 FILE_RECORDS, BLOCK_RECORDS = 83_000_000, 1 << 16
 
 
+#: Records of a part of an epoch, so that a task sorts some hundred MB whatever the size of the epoch.
+PART_RECORDS = 4_000_000
+
+
 def cluster_epoch(records: DataFrame, epoch: int, parts: int | None = None) -> DataFrame:
     """One epoch in key order: a range shuffle by sampled bounds, then a sort of each part (which spills, if it must)."""
     own = records.where((F.col("epoch") == epoch) & valid_key(F.col("key")))
@@ -31,19 +35,24 @@ def write_records(records: DataFrame, path: str, mode: str = "errorifexists", ma
     records.write.mode(mode).option("maxRecordsPerFile", max_records).partitionBy("epoch").parquet(path)
 
 
-def compact(records: DataFrame, path: str, epochs: list[int] | None = None, parts_per_epoch: int = 8, mode: str = "errorifexists", max_records: int = FILE_RECORDS) -> None:
+def compact(records: DataFrame, path: str, epochs: list[int] | None = None, parts_per_epoch: int | None = None, mode: str = "errorifexists", max_records: int = FILE_RECORDS) -> None:
     """All epochs (or some) in key order, in one job: every epoch is cut into key ranges of its own.
 
     One global range shuffle by (epoch, key) would give files that span epochs; here a file holds a
-    narrow range of keys of one epoch, so its statistics prune.
+    narrow range of keys of one epoch, so its statistics prune.  Without ``parts_per_epoch`` the
+    largest epoch is cut into parts of about ``PART_RECORDS``, at least 8.
     """
     own = records.where(valid_key(F.col("key")))
     own = own if epochs is None else own.where(F.col("epoch").isin(*epochs))
-    cuts = own.groupBy("epoch").agg(F.percentile_approx("key", [k / parts_per_epoch for k in range(1, parts_per_epoch)], 10_000).alias("_cuts"))
+    if parts_per_epoch is None:
+        most = own.groupBy("epoch").count().agg(F.max("count")).first()[0] or 0
+        parts_per_epoch = max(8, -(-most // PART_RECORDS))
+    shares = [k / parts_per_epoch for k in range(1, parts_per_epoch)]
+    cuts = own.groupBy("epoch").agg(F.percentile_approx("key", shares, max(10_000, 20 * parts_per_epoch)).alias("_cuts"))
     met = own.join(cuts, "epoch")
     met = met.withColumn("_part", F.size(F.filter("_cuts", lambda c: c <= F.col("key")))).drop("_cuts")
-    n = own.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ordered = met.repartition(int(n), "epoch", "_part").sortWithinPartitions("epoch", "_part", "key").drop("_part")
+    n = max(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts_per_epoch)
+    ordered = met.repartition(n, "epoch", "_part").sortWithinPartitions("epoch", "_part", "key").drop("_part")
     write_records(ordered, path, mode, max_records)
 
 

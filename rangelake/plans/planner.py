@@ -28,6 +28,11 @@ def _ranges(manifest: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.n
     return {int(e): (g["obs_min"].to_numpy(np.float32), g["obs_max"].to_numpy(np.float32), g["item_count"].to_numpy(np.int64)) for e, g in pdf.sort_values("epoch").groupby("epoch")}
 
 
+def _after(x: np.float32, step: float) -> np.float32:
+    """The 32-bit float a step on; the next one where the step is lost in rounding, so each walk ends."""
+    return max(np.float32(float(x) + step), np.nextafter(x, np.float32(np.inf)))
+
+
 def query_plan(manifest: DataFrame, min_mass: int = MIN_MASS, max_overlap: float = MAX_OVERLAP, min_distance: float = MIN_DISTANCE, near_count: int = NEAR_COUNT) -> DataFrame:
     """epoch, lo, hi: ranges whose block selectivities are small and spread out.
 
@@ -44,7 +49,7 @@ def query_plan(manifest: DataFrame, min_mass: int = MIN_MASS, max_overlap: float
         if mass < min_mass:
             continue
         end, begin = hi.max(), lo.min()
-        top = f32(begin + f32(FIRST_WIDTH))
+        top = max(f32(begin + f32(FIRST_WIDTH)), np.nextafter(begin, f32(np.inf)))
         while top < end:
             share = f32(count[(lo <= top) & (hi >= begin)].sum() / mass)
             useful = share < f32(max_overlap)
@@ -52,10 +57,10 @@ def query_plan(manifest: DataFrame, min_mass: int = MIN_MASS, max_overlap: float
             if wanted and useful:
                 taken.append(share)
                 out.append((epoch, float(begin), float(top)))
-            top = f32(float(top) + STEP)
+            top = _after(top, STEP)
             if wanted or not useful:
-                begin = f32(float(top) + STEP)
-                top = f32(float(begin) + FIRST_WIDTH)
+                begin = _after(top, STEP)
+                top = _after(begin, FIRST_WIDTH)
     return manifest.sparkSession.createDataFrame(out, "epoch INT, lo FLOAT, hi FLOAT")
 
 

@@ -135,3 +135,12 @@ def test_timer_and_query_log(spark, tmp_path):
     for k in range(2):
         log_query(spark, str(tmp_path / "log"), ("p", k, 0.0, 1.0, 0.5, 0.25, 10, 20))
     assert query_log(spark, str(tmp_path / "log")).orderBy("epoch").collect()[1][1] == 1
+
+
+def test_walks_end_where_steps_are_lost_in_rounding(spark):
+    from rangelake.operators import analytics
+
+    far = 3e9  # a step of 0.1 is lost
+    m = spark.createDataFrame([(0, far, far + 2048.0, 2000)], "epoch int, obs_min float, obs_max float, item_count long")
+    assert PL.query_plan(m).count() <= 1
+    assert len(analytics.probe_grid(far, far + 2048.0)) < 1_000_000
