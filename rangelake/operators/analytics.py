@@ -19,6 +19,10 @@ GRID_STEPS = (0.1, 0.2, 0.5, 1.0, 2.0, 5.0, 10.0)
 READ_GAP = 1 << 20
 
 
+#: Points of one run of a probe grid at most.
+MOST_POINTS = 5_000_000
+
+
 def summary_probes() -> list[float]:
     """32-bit floats; each step is added in double precision and rounded."""
     at, below, step = SUMMARY_PROBES
@@ -40,6 +44,8 @@ def probe_grid(lo: float, hi: float) -> list[float]:
     for start, end, step in zip(starts, ends, GRID_STEPS, strict=True):
         p, step = np.float32(start), np.float32(step)
         end = min(np.float32(end), np.float32(hi))
+        if (float(end) - float(p)) / float(step) > MOST_POINTS:
+            raise ValueError(f"keys up to {hi} would take more than {MOST_POINTS} probes")
         while p < end:
             out.append(float(p))
             p = max(np.float32(p + step), np.nextafter(p, np.float32(np.inf)))  # where the step is lost in rounding
