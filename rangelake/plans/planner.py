@@ -98,7 +98,7 @@ def merge_runs(manifest: DataFrame, epoch: int, value_size: int, budget: int = M
     m = manifest.where(F.col("epoch") == epoch)
     if m.count() > MOST_BLOCKS:
         raise ValueError("too many blocks for a walk on the driver")
-    rows = [(r["obs_min"], r["item_count"]) for r in m.select("obs_min", "obs_max", "item_count").orderBy("obs_min", "obs_max").collect()]
+    rows = [(r["obs_min"], r["item_count"]) for r in m.select("obs_min", "obs_max", "item_count").orderBy("obs_min", "obs_max", "item_count").collect()]
     runs = plan_runs(rows, value_size, budget)
     return spark.createDataFrame([(k, r.first, r.last, r.cut, sum(n for _, n in rows[r.first : r.last + 1])) for k, r in enumerate(runs)], "run INT, sst_first INT, sst_last INT, cut FLOAT, records BIGINT")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import views as V
@@ -17,6 +17,7 @@ from .operators import pivots as PV
 from .operators import query as Q
 from .operators import validate as C
 from .plans import planner as PL
+from .runtime import scratch
 from .schemas import flt
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -273,9 +274,9 @@ def overlap_max(spark, d):
     return A.max_overlap(A.overlap_curve(V.event_manifest(spark, d)))
 
 
-@_query(f"{_REC}, t AS (SELECT *, row_number() OVER (PARTITION BY rank ORDER BY epoch, \"offset\", sst) AS rn FROM man WHERE epoch < 3) SELECT epoch, rank, sst, row_number() OVER (ORDER BY rn > 1, rank, rn) - 1 AS slot FROM t")
+@_query(f"{_REC}, t AS (SELECT *, row_number() OVER (PARTITION BY rank ORDER BY epoch, \"offset\", sst) AS rn FROM man) SELECT epoch, rank, sst, row_number() OVER (ORDER BY rn > 1, rank, rn) - 1 AS slot FROM t")
 def read_schedule(spark, d):
-    return A.schedule(V.event_manifest(spark, d).where("epoch < 3")).select("epoch", "rank", "sst", "slot")
+    return A.schedule(V.event_manifest(spark, d)).select("epoch", "rank", "sst", "slot")
 
 
 _ISLANDS = """, g AS (SELECT *, "offset" - lag("offset" + item_count * 12) OVER (PARTITION BY epoch, rank ORDER BY "offset", sst) AS gap FROM man WHERE obs_min <= CAST(0.5 AS FLOAT)),
@@ -321,13 +322,34 @@ def distinct_epochs(spark, d):
 
 # Planners
 
-
-@_query()
+_LINES = f"""lk AS (SELECT CAST(year(l_shipdate) - 1995 AS INTEGER) AS epoch, CAST(CAST(CAST(l_extendedprice AS FLOAT) AS DOUBLE) / 1000 AS FLOAT) AS key FROM lineitem),
+lp AS (SELECT *, row_number() OVER (PARTITION BY epoch ORDER BY key) AS pos FROM lk),
+lm AS (SELECT epoch, min(key) AS lo, max(key) AS hi, count(*) AS n FROM lp GROUP BY epoch, (pos - 1) // {V.LINE_BLOCK})"""
+_NEXT = lambda x, step: f"greatest(CAST(CAST({x} AS DOUBLE) + {step}::DOUBLE AS FLOAT), nextafter({x}, CAST('infinity' AS FLOAT)))"
+
+
+@_query(f"""WITH RECURSIVE {_LINES},
+e AS (SELECT row_number() OVER (ORDER BY epoch) AS k, epoch, sum(n) AS mass, min(lo) AS lo, max(hi) AS hi, list({{'lo': lo, 'hi': hi, 'n': n}}) AS blocks FROM lm GROUP BY epoch HAVING sum(n) >= {PL.MIN_MASS}),
+f AS (SELECT *, greatest(CAST(lo + {_F(PL.FIRST_WIDTH)} AS FLOAT), nextafter(lo, CAST('infinity' AS FLOAT))) AS first_top FROM e),
+w AS (SELECT k, lo AS low, first_top AS top, CAST([] AS FLOAT[]) AS taken, CAST(NULL AS INTEGER) AS epoch, CAST(NULL AS FLOAT) AS out_lo, CAST(NULL AS FLOAT) AS out_hi FROM f WHERE k = 1
+ UNION ALL SELECT CASE WHEN done THEN k + 1 ELSE k END, CASE WHEN done THEN next_lo WHEN wanted OR NOT useful THEN {_NEXT("on_", PL.STEP)} ELSE low END,
+  CASE WHEN done THEN next_top WHEN wanted OR NOT useful THEN {_NEXT(_NEXT("on_", PL.STEP), PL.FIRST_WIDTH)} ELSE on_ END,
+  CASE WHEN wanted AND useful AND NOT done THEN list_append(taken, share) ELSE taken END, CASE WHEN wanted AND useful AND NOT done THEN own END, low, top
+ FROM (SELECT *, share < {_F(PL.MAX_OVERLAP)} AS useful, len([s FOR s IN taken IF abs(s - share) < {_F(PL.MIN_DISTANCE)}]) < {PL.NEAR_COUNT} AS wanted FROM (
+  SELECT w.k, low, top, taken, f.epoch AS own, top >= f.hi AS done, g.lo AS next_lo, g.first_top AS next_top, {_NEXT("top", PL.STEP)} AS on_,
+   CAST(coalesce(list_sum([b.n FOR b IN f.blocks IF b.lo <= top AND b.hi >= low]), 0)::DOUBLE / f.mass AS FLOAT) AS share
+  FROM w JOIN f ON f.k = w.k LEFT JOIN f g ON g.k = w.k + 1)) WHERE NOT done OR next_lo IS NOT NULL)
+SELECT epoch, out_lo AS lo, out_hi AS hi FROM w WHERE epoch IS NOT NULL""")
 def query_plan(spark, d):
     return PL.query_plan(V.line_clustered_manifest(spark, d))
 
 
-@_query()
+@_query(f"""{_REC.replace("WITH rec", "WITH RECURSIVE rec")}, o AS (SELECT CAST(row_number() OVER (ORDER BY obs_min, obs_max, item_count) - 1 AS INTEGER) AS i, obs_min AS least, item_count AS n FROM man WHERE epoch = 5),
+w AS (SELECT i, 0 AS run, n AS held, CAST('-infinity' AS FLOAT) AS last_cut FROM o WHERE i = 0
+ UNION ALL SELECT i, run + CAST(cut AS INTEGER), CASE WHEN cut THEN n ELSE held + n END, CASE WHEN cut THEN least ELSE last_cut END
+ FROM (SELECT o.i, o.n, o.least, w.run, w.held, w.last_cut, o.least > w.last_cut AND w.held * 8 > 1000 AS cut FROM w JOIN o ON o.i = w.i + 1)),
+r AS (SELECT run, min(i) AS sst_first, max(i) AS sst_last, CAST(sum(n) AS BIGINT) AS records FROM w JOIN o USING (i) GROUP BY run)
+SELECT run, sst_first, sst_last, least AS cut, records FROM r LEFT JOIN o ON o.i = sst_last + 1""")
 def merge_runs(spark, d):
     return PL.merge_runs(V.event_manifest(spark, d), 5, 8, budget=1000)
 
@@ -341,6 +363,47 @@ def zipf_workload(spark, d):
     return PL.zipf_workload(V.event_manifest(spark, d), z, 5, 2)
 
 
+# Block files and compacted epochs
+
+
+@_query(f"{_REC} SELECT epoch, rank, sst, pos, key, event_id FROM rec")
+def block_records(spark, d):
+    r = spark.read.format("rdb").load(V.event_files(spark, d))
+    return r.select("epoch", "rank", "sst", "pos", "key", F.conv(F.hex("value"), 16, 10).cast("bigint").alias("event_id"))
+
+
+@_query(f"""{_REC}, b AS (SELECT *, sum(item_count * 12) OVER (PARTITION BY rank ORDER BY epoch, sst) - item_count * 12 AS began FROM man)
+SELECT rec.epoch, rec.rank, rec.sst, pos, key, CAST(began + item_count * 4 + 8 * (pos - 1 - rec.sst * 16) AS BIGINT) AS value_offset FROM rec JOIN b USING (epoch, rank, sst) WHERE epoch = 5 AND rank = 3 AND key BETWEEN {_F(10)} AND {_F(500)}""")
+def block_keys(spark, d):
+    k = spark.read.format("rdb_keys").load(V.event_files(spark, d))
+    return k.where((F.col("epoch") == 5) & (F.col("rank") == 3) & F.col("key").between(flt(10), flt(500)))
+
+
+@_query(f"""{_REC} SELECT epoch, rank, sst, CAST(sum(item_count * 12) OVER (PARTITION BY rank ORDER BY epoch, sst) - item_count * 12 AS BIGINT) AS "offset", obs_min, obs_max, obs_min AS exp_min, obs_max AS exp_max,
+ item_count, oob_count, 0 AS upd_round, CAST(4 AS BIGINT) AS key_sz, CAST(8 AS BIGINT) AS val_sz FROM man""")
+def block_manifest(spark, d):
+    return spark.read.format("rdb_manifest").load(V.event_files(spark, d))
+
+
+def _compacted(spark, d):
+    path = scratch(spark, "compacted")
+    L.compact(V.event_records(spark, d), path)
+    return L.read_epochs(spark, path)
+
+
+@_query(f"{_REC} SELECT epoch, rank, sst, pos, key, event_id FROM rec")
+def compact_epochs(spark, d):
+    return _compacted(spark, d).select("epoch", "rank", "sst", "pos", "key", "event_id")
+
+
+@_query(f"{_REC} SELECT epoch, count(*) AS records, min(key) AS least, max(key) AS greatest, CAST(0 AS BIGINT) AS disordered FROM rec GROUP BY epoch")
+def compact_order(spark, d):
+    """Records and key range of each compacted epoch, and the keys that are less than the one before them in their file."""
+    r = _compacted(spark, d).select("epoch", "key", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    before = F.lag("key").over(Window.partitionBy("epoch", "file").orderBy("row"))
+    return r.withColumn("down", (F.col("key") < before).cast("bigint")).groupBy("epoch").agg(F.count("*").alias("records"), F.min("key").alias("least"), F.max("key").alias("greatest"), F.coalesce(F.sum("down"), F.lit(0)).alias("disordered"))
+
+
 # Layout and validation
 
 
@@ -495,15 +558,49 @@ def tracer_positions(spark, d):
     return m.select("vec_id", F.round(P.to_global(F.col("vec_id") % 10, F.col("ux").cast("double"), 2.0, 1.0), 6).alias("x"))
 
 
+_D = lambda k: f"least(1.0::DOUBLE, greatest(-1.0::DOUBLE, embedding[{k}]::DOUBLE))"
+_TRACERS = f"""{_CELLS}, tr AS (SELECT vec_id AS id, 0 AS t, CAST(vec_id % 3 AS INTEGER) AS ix, CAST(vec_id % 5 % 3 AS INTEGER) AS iy, CAST(vec_id % 7 % 3 AS INTEGER) AS iz, CAST(vec_id % 64 AS INTEGER) AS ii,
+ {_D(1)} AS dx, {_D(2)} AS dy, {_D(3)} AS dz FROM embeddings)"""
+#: Coefficients of a cell's fields, of the sums that a fluid cell has.
+_COEFFICIENTS = {"ex0": "px", "dexdy": "jy", "dexdz": "jz", "d2exdydz": "rho", "ey0": "py", "deydz": "jy", "deydx": "jz", "d2eydzdx": "rho", "ez0": "pz", "dezdx": "jy", "dezdy": "jz", "d2ezdxdy": "rho", "cbx": "jx", "dcbxdx": "jy", "cby": "jy", "dcbydy": "jz", "cbz": "jz", "dcbzdz": "rho"}
+
+
+@_query(f"""{_TRACERS} SELECT id, round(px + dy * jy + dz * (jz + dy * rho) + {_NUDGE}, 4) AS ex, round(py + dz * jy + dx * (jz + dz * rho) + {_NUDGE}, 4) AS ey, round(pz + dx * jy + dy * (jz + dx * rho) + {_NUDGE}, 4) AS ez,
+ round(jx + dx * jy + {_NUDGE}, 4) AS bx, round(jy + dy * jz + {_NUDGE}, 4) AS "by", round(jz + dz * rho + {_NUDGE}, 4) AS bz FROM tr JOIN ion ON ion.ix = tr.ii""")
+def tracer_fields(spark, d):
+    fields = V.cells(spark, d, _ION).select("t", F.col("ix").alias("ii"), *[F.col(c).alias(n) for n, c in _COEFFICIENTS.items()])
+    return _rounded(P.fields_at(V.tracers(spark, d), fields).select("id", "ex", "ey", "ez", "bx", "by", "bz"))
+
+
+@_query(f"""{_TRACERS}, nodes AS (SELECT ix % 4 AS ix, ix // 4 % 4 AS iy, ix // 16 AS iz, jy AS vx, jz AS vy, rho AS vz FROM ion),
+o AS (SELECT CAST(a.g AS INTEGER) AS i, CAST(b.g AS INTEGER) AS j, CAST(c.g AS INTEGER) AS k FROM generate_series(0, 1) a(g), generate_series(0, 1) b(g), generate_series(0, 1) c(g)),
+q AS (SELECT id, t, tr.ix + i AS ix, tr.iy + j AS iy, tr.iz + k AS iz, 0.125::DOUBLE * (1 + (2 * i - 1) * dx) * (1 + (2 * j - 1) * dy) * (1 + (2 * k - 1) * dz) AS w FROM tr, o)
+SELECT id, t, round(sum(w * vx) + {_NUDGE}, 4) AS vx, round(sum(w * vy) + {_NUDGE}, 4) AS vy, round(sum(w * vz) + {_NUDGE}, 4) AS vz FROM q JOIN nodes USING (ix, iy, iz) GROUP BY id, t""")
+def tracer_velocity(spark, d):
+    return _rounded(P.velocity_at(V.tracers(spark, d), V.nodes(spark, d, _ION)))
+
+
+@_query("WITH p AS (SELECT event_id, CAST((user_id % 8 << 19) | (event_id & 524287) AS BIGINT) * CAST(event_id % 10 = 0 AS INTEGER) AS tag FROM events) SELECT event_id, CAST(tag AS BIGINT) AS tag FROM p WHERE tag != 0")
+def tagged_tracers(spark, d):
+    tag = P.tracer_tag((F.col("user_id") % 8).cast("int"), F.col("event_id")) * (F.col("event_id") % 10 == 0).cast("int")
+    return P.tagged(V.table(spark, d, "events").select("event_id", tag.cast("bigint").alias("tag")))
+
+
+@_query("SELECT vec_id, CAST(floor((x - 1.0::DOUBLE) / 2.0::DOUBLE) + 1 AS INTEGER) AS cell, round(((x - 1.0::DOUBLE) / 2.0::DOUBLE - floor((x - 1.0::DOUBLE) / 2.0::DOUBLE)) * 2 - 1, 6) AS place FROM (SELECT vec_id, embedding[1]::DOUBLE * 100 AS x FROM embeddings)")
+def tracer_cells(spark, d):
+    cell, place = P.to_local(F.col("ux").cast("double") * 100, 2.0, 1.0)
+    return V.momentum(spark, d).select("vec_id", cell.alias("cell"), F.round(place, 6).alias("place"))
+
+
 @_query(f"{_CELLS} SELECT t, ix, iy, iz, round(rho, 4) AS rho FROM ion WHERE ix % 4 = 0")
 def downsampled_cells(spark, d):
     return P.downsample(V.cells(spark, d, _ION), ["rho"], (4, 1, 1))
 
 
-@_query("""WITH s AS (SELECT DISTINCT CAST(event_id % 97 AS INTEGER) * 10 AS step FROM events WHERE event_id % 97 < 40), n AS (SELECT a.step, min(b.step) AS next FROM s a LEFT JOIN s b ON b.step > a.step AND b.step <= a.step + 15 GROUP BY a.step)
+@_query("""WITH s AS (SELECT DISTINCT CAST(event_id % 97 AS INTEGER) * 10 AS step FROM events), n AS (SELECT a.step, min(b.step) AS next FROM s a LEFT JOIN s b ON b.step > a.step AND b.step <= a.step + 15 GROUP BY a.step)
 SELECT step, next, step AS reads FROM n""")
 def time_slices(spark, d):
-    s = V.table(spark, d, "events").where("event_id % 97 < 40").select(((F.col("event_id") % 97).cast("int") * 10).alias("step")).distinct()
+    s = V.table(spark, d, "events").select(((F.col("event_id") % 97).cast("int") * 10).alias("step")).distinct()
     return P.next_slice(s, 15)
 
 

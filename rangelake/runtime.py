@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -22,3 +23,17 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(home.parent).as_posix())
     sc.addPyFile(to)
     sc._rangelake_shipped = True
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in ``spark.checkpoint.dir``, which driver and executors share; it goes when the JVM ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="rangelake-")
+        spark.sparkContext.setCheckpointDir(base)
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path

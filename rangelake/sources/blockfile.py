@@ -13,12 +13,14 @@ from __future__ import annotations
 
 import itertools
 import struct
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceReader,
@@ -33,6 +35,7 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import LongType, StructType
 
+from ..functions.predicates import valid_key
 from ..runtime import ship
 from ..schemas import MANIFEST, RECORD
 
@@ -107,23 +110,85 @@ def read_footer(path: str, rank: int, size: int, guess: int = TAIL) -> Footer:
     return Footer(rank, key_size, value_size, np.concatenate(items) if items else np.empty(0, ITEM), np.concatenate(epochs) if epochs else np.empty(0, np.int32))
 
 
+class Writer:
+    """One rank's file, block by block.  It takes its name when it is closed, so a task that is lost leaves none behind."""
+
+    def __init__(self, path: str, rank: int, value_size: int, oob: int = 0):
+        self.system, root = _open(path)
+        self.system.create_dir(root, recursive=True)
+        self.name, self.value_size, self.oob = f"{root}/{file_name(rank)}", value_size, oob
+        self.draft = f"{self.name}.{uuid.uuid4().hex}"
+        self.file, self.at = self.system.open_output_stream(self.draft), 0
+        self.items: dict[int, list[np.void]] = {}
+
+    def block(self, epoch: int, keys: np.ndarray, values: np.ndarray) -> None:
+        keys, own = np.ascontiguousarray(keys, "<f4"), self.items.setdefault(epoch, [])
+        raw = keys.tobytes() + np.ascontiguousarray(values, np.uint8).reshape(len(keys), self.value_size).tobytes()
+        ends = (keys.min(), keys.max()) if len(keys) else (0, 0)
+        own.append((len(own), self.at, *ends, *ends, 0, len(keys), self.oob))
+        self.file.write(raw)
+        self.at += len(raw)
+
+    def close(self) -> None:
+        manifest = b""
+        for epoch, own in sorted(self.items.items()):
+            raw = np.array(own, ITEM).tobytes()
+            manifest += EPOCH.pack(epoch, len(raw)) + raw
+        self.file.write(manifest + FOOTER.pack(len(self.items), len(manifest), 4, self.value_size))
+        self.file.close()
+        self.system.move(self.draft, self.name)
+
+
 def write_file(path: str, rank: int, epochs: dict[int, list[tuple[np.ndarray, np.ndarray]]], value_size: int, oob: int = 0) -> None:
     """One rank's file from blocks (keys, values as n x value_size bytes) of each epoch."""
-    system, root = _open(path)
-    system.create_dir(root, recursive=True)
-    with system.open_output_stream(f"{root}/{file_name(rank)}") as f:
-        at, manifest = 0, b""
-        for epoch, blocks in sorted(epochs.items()):
-            items = np.zeros(len(blocks), ITEM)
-            for i, (keys, values) in enumerate(blocks):
-                keys = np.ascontiguousarray(keys, "<f4")
-                raw = keys.tobytes() + np.ascontiguousarray(values, np.uint8).reshape(len(keys), value_size).tobytes()
-                ends = (keys.min(), keys.max()) if len(keys) else (0, 0)
-                items[i] = (i, at, *ends, *ends, 0, len(keys), oob)
-                f.write(raw)
-                at += len(raw)
-            manifest += EPOCH.pack(epoch, items.nbytes) + items.tobytes()
-        f.write(manifest + FOOTER.pack(len(epochs), len(manifest), 4, value_size))
+    out = Writer(path, rank, value_size, oob)
+    for epoch, blocks in sorted(epochs.items()):
+        out.items[epoch] = []
+        for keys, values in blocks:
+            out.block(epoch, keys, values)
+    out.close()
+
+
+def write_blocks(records: DataFrame, path: str, value_size: int) -> None:
+    """Records (epoch, rank, sst, pos, key, value of ``value_size`` bytes) as block files, a file for each rank.
+
+    A rank's records go to one task, for they go to one file, sorted (which spills, if it must); the task holds one
+    block of records at a time.  Records without a key go nowhere.
+    """
+    ship(records.sparkSession)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, rank, key, held = None, None, None, []
+
+        def flush() -> None:
+            if held:
+                out.block(key[1], np.concatenate([k for k, _ in held]), np.concatenate([v for _, v in held]))
+                held.clear()
+
+        for batch in batches:
+            ids = np.stack([batch.column(c).to_numpy() for c in range(3)])
+            keys, values = batch.column(3).to_numpy(), np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, value_size)
+            cuts = np.flatnonzero((np.diff(ids) != 0).any(axis=0)) + 1
+            for lo, hi in itertools.pairwise([0, *cuts.tolist(), len(keys)]):
+                if lo == hi:
+                    continue
+                now = tuple(ids[:, lo].tolist())
+                if now != key:
+                    flush()
+                    key = now
+                if now[0] != rank:
+                    if out:
+                        out.close()
+                    rank = now[0]
+                    out = Writer(path, rank, value_size)
+                held.append((keys[lo:hi], values[lo:hi]))
+        flush()
+        if out:
+            out.close()
+        yield from ()
+
+    own = records.where(valid_key(F.col("key"))).repartition("rank").sortWithinPartitions("rank", "epoch", "sst", "pos")
+    own.select("rank", "epoch", "sst", "key", "value").mapInArrow(write, "rank INT").write.format("noop").mode("overwrite").save()
 
 
 @dataclass

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rangelake.functions import physics as P
 from rangelake.operators import manifest as M
+from rangelake.schemas import RECORD
 from rangelake.sources import blockfile as B
 from rangelake.sources import dumps as D
 from rangelake.sources import sinks as K
@@ -240,3 +241,16 @@ def test_positions_and_fields_at_tracers(spark):
 def test_random_payload_is_seeded(spark):
     a = P.random_payload(spark.range(10, numPartitions=2), 3).collect()
     assert a == P.random_payload(spark.range(10, numPartitions=2), 3).collect() and all(0 <= r["pi"] < 689 for r in a)
+
+
+def test_write_blocks_from_records(spark, tmp_path):
+    rows = [(e, r, s, 4 * s + k + 1, float(10 * e + k), bytes([e, r, k])) for e in (0, 3) for r in (0, 1) for s in (0, 1) for k in range(4)]
+    odd = [(0, 0, 0, 9, None, b"abc"), (0, 0, 0, 10, float("nan"), b"abc")]
+    records = spark.createDataFrame(rows + odd, RECORD)
+    B.write_blocks(records.repartition(5), str(tmp_path / "x"), 3)
+    assert sorted(p.name for p in (tmp_path / "x").iterdir()) == [B.file_name(0), B.file_name(1)]
+    B.register(spark)
+    assert sorted(map(tuple, spark.read.format("rdb").load(str(tmp_path / "x")).collect())) == sorted(rows)
+    assert {r["item_count"] for r in spark.read.format("rdb_manifest").load(str(tmp_path / "x")).collect()} == {4}
+    B.write_blocks(records.where("epoch > 9"), str(tmp_path / "none"), 3)
+    assert spark.read.format("rdb").load(str(tmp_path / "none")).count() == 0
