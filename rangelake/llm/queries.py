@@ -90,5 +90,19 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_bm25_search, op2_secret_scan, op3_toxicity, op4_bpe, op5_nearest_neighbours, op6_best_fit_packing, op7_line_dedup, op8_quality, op9_ngram_jaccard_join, op10_html_text)}
 
 
+#: All pairs of documents that share a run of five words, by their exact similarity; classes by closure.
+_JACCARD_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents WHERE text IS NOT NULL),
+g AS MATERIALIZED (SELECT doc_id, unnest(list_distinct([hash(array_to_string(w[k : k + 4], ' ')) FOR k IN range(1, greatest(1, len(w) - 4) + 1)])) AS t FROM w WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(CAST(t AS VARCHAR), ' ' ORDER BY t)) AS own FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.t = b.t AND a.doc_id != b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b, x.own AS own, y.own AS other FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8::DOUBLE * (x.n + y.n - c) - 1e-9::DOUBLE),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT a, least(a, min(b)) AS class_id FROM r GROUP BY a),
+k AS (SELECT a, count(*) AS n_links, count(DISTINCT other) FILTER (WHERE other != own) AS n_text_links FROM l GROUP BY a)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(n_links, 0) AS n_links, coalesce(n_text_links, 0) AS n_text_links
+FROM documents LEFT JOIN c ON c.a = doc_id LEFT JOIN k ON k.a = doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the join; the others have no SQL form (or none of exactly their sums), and tests hold them against plain versions."""
+    return {"op9_ngram_jaccard_join": _JACCARD_SQL}
