@@ -1,7 +1,8 @@
 """Connected components of a graph of any size, as DataFrame operations.
 
 Alternating large-star and small-star steps: every node learns the smallest node near it, until
-the edges are stars around the smallest node of each component.  Nothing is collected but counts;
+the edges are stars around the smallest node of each component, which is looked at after each round.  Nothing is
+collected but counts;
 each round is written to the shared folder, so lineage stays short and lost executors cost little.
 A hub's edges are dealt over many tasks.  Nodes are of any orderable type.
 """
@@ -27,25 +28,27 @@ def _star(edges: DataFrame, small: bool, total: int) -> DataFrame:
     return out.where(F.col("a") != F.col("b")).distinct()
 
 
-def _state(edges: DataFrame):
-    return edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+def _state(edges: DataFrame) -> tuple[int, int]:
+    """Number of edges (a > b), and of nodes that keep them from being stars: of several edges up, or of edges up and down."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up")))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.min("up").alias("least"))
+    found = nodes.agg(F.sum("up"), F.expr("count_if(up > 1 or (up > 0 and least = 0))")).first()
+    return found[0] or 0, found[1]
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, root (the smallest node) of every node that has an edge (a, b); edges to itself and nulls count for nothing."""
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.col("a").isNotNull().alias("_x"), F.col("b").isNotNull().alias("_y"))
     edges = save(edges.where("_x and _y and a != b").select("a", "b").distinct(), "edges")
-    before = _state(edges)
+    total, loose = _state(edges)
     for _ in range(rounds):
-        if not before[0]:
+        if not loose:  # stars stay as they are
             break
-        wide = save(_star(edges, small=False, total=before[0]), "edges")
-        new = save(_star(wide, small=True, total=before[0]), "edges")
+        wide = save(_star(edges, small=False, total=total), "edges")
+        new = save(_star(wide, small=True, total=total), "edges")
         drop(edges, wide)
-        edges, after = new, _state(new)
-        if tuple(after) == tuple(before):
-            break
-        before = after
+        edges = new
+        total, loose = _state(edges)
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
