@@ -89,6 +89,11 @@ def columns(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
 
 
+def raw_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
+    """The texts of a batch as UTF-8, without decoding them."""
+    return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
+
+
 def select(df: DataFrame, **named: str) -> DataFrame:
     """Only the named columns, under our own names: further columns of any name do no harm."""
     return df.select(*[F.col(f"`{c}`").alias(n) for n, c in named.items()])
