@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, save, select, tune
+from .common import columns, join_skewed, save, select, tune
 from .components import components
 
 N, T, RUNS, LIMIT, DEPTH, PAIRS, NEAR = 5, 64, 10, 128, 5, 512, 0.6
@@ -127,20 +127,20 @@ def _groups(batches, key_columns: int):
 
 
 def nodes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, node (of the set; null without words), size, sketch of each row."""
+    """doc_id, key (a hash of the text), node (of the set; null without words), size, sketch of each row."""
     tune(docs.sparkSession)
-    picked = select(docs, doc_id=id_col, text=text_col)
+    picked = select(docs, doc_id=id_col, text=text_col).withColumn("key", F.xxhash64("text"))
 
     def work(batches):
         hashes = _Hashes()
         for b in batches:
             sets = [shingles(t, hashes) for t in columns(b, "text")[0]]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([set_id(s) if len(s) else None for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.binary())],
-                names=["doc_id", "node", "size", "sketch"],
+                [b.column(0), b.column(2), pa.array([set_id(s) if len(s) else None for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.binary())],
+                names=["doc_id", "key", "node", "size", "sketch"],
             )
 
-    return picked.mapInArrow(work, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, node binary, size bigint, sketch binary")
+    return picked.mapInArrow(work, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, key bigint, node binary, size bigint, sketch binary")
 
 
 def candidate_links(sets: DataFrame, threshold: float, runs: int = RUNS, limit: int = LIMIT, depth: int = DEPTH) -> DataFrame:
@@ -283,10 +283,8 @@ def verify(docs: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
     return dealt.mapInArrow(compare, "node binary, root binary, n_text_links bigint, n_links bigint")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", runs: int = RUNS) -> DataFrame:
-    """doc_id, class_id (least id among documents joined by links), n_links (documents of Jaccard >= threshold,
-    equal ones among them), n_text_links (different sets of five-grams so linked) of each row."""
-    docs = select(docs, doc_id=id_col, text=text_col)
+def _judged(docs: DataFrame, threshold: float, runs: int) -> DataFrame:
+    """doc_id, key, root (null for rows in no class), class_id, n_links, n_text_links of each row of doc_id and text."""
     rows = save(nodes_of(docs), "nodes")
     named = rows.where("node is not null and doc_id is not null")
     sets = save(named.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("sketch").alias("sketch")), "sets")
@@ -299,19 +297,30 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     known = sets.select("node", "copies").join(links, "node", "left").join(roots, "node", "left").select(
         "node", F.coalesce("root", "node").alias("root"), F.coalesce("n_text_links", F.lit(0)).cast("bigint").alias("n_text_links"), (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     least = known.join(sets.select("node", "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    known = known.join(least, "root").select("node", "class_id", "n_links", "n_text_links")
-    return rows.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(known, "node", "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("n_text_links", F.lit(0)).cast("bigint").alias("n_text_links"))
+    known = known.join(least, "root").select("node", "root", "class_id", "n_links", "n_text_links")
+    return rows.select("doc_id", "key", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(known, "node", "left").select(
+        "doc_id", "key", "root", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("n_text_links", F.lit(0)).cast("bigint").alias("n_text_links"))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", runs: int = RUNS) -> DataFrame:
+    """doc_id, class_id (least id among documents joined by links), n_links (documents of Jaccard >= threshold,
+    equal ones among them), n_text_links (different sets of five-grams so linked) of each row."""
+    return _judged(select(docs, doc_id=id_col, text=text_col), threshold, runs).select("doc_id", "class_id", "n_links", "n_text_links")
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The documents (doc_id, text and any columns) of which no linked one has a smaller id; rows without an id stay.
+    """One row (doc_id, text and any columns) of each class: that of the smallest id, and of its texts in the class the
+    one with the least hash.  Rows without an id stay, as do those linked to none, whatever other texts their id has.
 
     Of rows that repeat both id and text one stays.
     """
-    found = save(near_duplicates(docs, threshold).select("doc_id", "class_id"), "classes")
-    kept = docs.join(found.where("doc_id != class_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    found = save(_judged(select(docs, doc_id="doc_id", text="text"), threshold, RUNS).select("doc_id", "key", "root"), "classes")
+    own = F.struct("doc_id", "key")
+    first = found.where("root is not null").groupBy("root").agg(F.min(own).alias("first"), F.count("*").alias("n")).where("n > 1")
+    gone = join_skewed(found, first, ["root"], "n").where(own != F.col("first")).select("doc_id", "key").distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id"), F.xxhash64("text").alias("key"))
+    kept = rows.join(gone, ["doc_id", "key"], "left_anti")
+    again = found.where("doc_id is not null").groupBy("doc_id", "key").count().where("count > 1").select("doc_id", "key")
     if again.take(1):
-        kept = kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
-    return kept
+        kept = kept.join(again, ["doc_id", "key"], "left_anti").select("row").unionByName(kept.join(again, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"]).select("row"))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -292,17 +292,20 @@ def drop_duplicate_lines(docs: DataFrame, threshold: float = 0.8, chars_col: str
     A document goes if it had lines and keeps none.
     """
     removed = duplicate_lines(docs, threshold)
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # names of ours can't clash with its own
-    met = row.join(removed, (F.col("row.doc_id") == F.col("doc_id")) & (F.xxhash64("row.text") == F.col("key")), "left")
-    kept = F.filter(F.split("row.text", "\n", -1), lambda x, i: ~F.array_contains("removed", i))
-    met = met.select("row", "removed", F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n")).alias("new"))
+    # Lines are cut before the join and looked up by place after it, so a text's work grows with its lines alone.
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    parts = docs.select(F.col("doc_id").alias("id"), F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`") for c in others]).alias("row"), F.xxhash64("text").alias("own"), F.split("text", "\n", -1).alias("lines"))
+    met = parts.join(removed, (F.col("id") == F.col("doc_id")) & (F.col("own") == F.col("key")), "left")
+    places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("removed", F.array().cast("array<int>")))
+    met = met.select("id", "row", "removed", F.when(F.col("lines").isNotNull(), F.array_join(F.transform(places, lambda i: F.get("lines", i)), "\n")).alias("new"))
     met = met.where(F.col("removed").isNull() | (F.btrim("new", F.lit(" \t\r\n")) != ""))
     out = []
     for c in docs.columns:
-        own = F.col("row").getField(c)
-        if c == "text":
-            own = F.col("new")
-        elif c == chars_col:
-            own = F.when(F.col("removed").isNull(), own).otherwise(F.length("new")).cast(docs.schema[c].dataType)
+        if c in ("doc_id", "text"):
+            own = F.col("id" if c == "doc_id" else "new")
+        else:
+            own = F.col("row").getField(c)
+            if c == chars_col:
+                own = F.when(F.col("removed").isNull(), own).otherwise(F.length("new")).cast(docs.schema[c].dataType)
         out.append(own.alias(c))
     return met.select(*out)

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -87,6 +88,17 @@ def test_jaccard_of_odd_tables(spark):
     assert jaccard.near_duplicates(d.limit(0)).count() == 0 and jaccard.keep_one(d.limit(0)).count() == 0
 
 
+def test_one_of_each_class_stays_by_row(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (7, c), (7, c + " more"), (8, None), (8, ""), (8, None)]
+    d = spark.createDataFrame([(i, t, i, 2) for i, t in rows], "doc_id BIGINT, text STRING, `a.b` BIGINT, root INT")
+    kept = jaccard.keep_one(d)
+    assert kept.columns == d.columns
+    got = sorted((r["doc_id"], str(r["text"]), r["a.b"]) for r in kept.collect())
+    assert [g for g in got if g[0] != 7] == [(1, a, 1), (5, b, 5), (8, "", 8), (8, "None", 8)]
+    assert len([g for g in got if g[0] == 7]) == 1
+
+
 def test_overlaps_in_columns_and_blocks():
     rng = np.random.default_rng(1)
     x = [np.unique(rng.integers(0, 9000, rng.integers(1, 6000)).astype(np.uint64)) for _ in range(7)]
@@ -245,6 +257,20 @@ def test_line_dedup_returns_documents(spark):
     assert linededup.drop_duplicate_lines(d.limit(0)).count() == 0 and linededup.dedup_report(d.limit(0)).count() == 0
 
 
+def test_texts_of_many_lines_lose_lines_in_linear_time(spark):
+    lines = [f"line number {k} of a very long document" if k % 2 else "the same again and again" for k in range(100_000)]
+    removed = spark.createDataFrame([(1, list(range(2, 100_000, 2)))], "doc_id BIGINT, removed ARRAY<INT>").withColumn("key", F.xxhash64(F.lit("\n".join(lines))))
+    d = spark.createDataFrame([(1, "\n".join(lines), 4, 5), (2, None, 4, 5), (3, "a\n\nb\n", 4, 5)], "doc_id BIGINT, text STRING, `a.b` INT, lines INT")
+    whole, linededup.duplicate_lines = linededup.duplicate_lines, lambda docs, threshold: removed
+    try:
+        began = time.time()
+        got = {r["doc_id"]: r["text"] for r in linededup.drop_duplicate_lines(d).collect()}
+        assert time.time() - began < 15
+    finally:
+        linededup.duplicate_lines = whole
+    assert got == {1: "\n".join([lines[0], *lines[1::2]]), 2: None, 3: "a\n\nb\n"}
+
+
 def test_line_dedup_of_repeated_rows(spark):
     d = frame(spark, [(1, "some line here\nx y"), (1, "some line here\nx y"), (2, "x y\nsome line here")])
     got = sorted((r["doc_id"], r["n_lines"], r["removed"]) for r in linededup.dedup_report(d).collect())
