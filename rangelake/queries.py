@@ -19,6 +19,7 @@ from .operators import validate as C
 from .plans import planner as PL
 from .runtime import scratch
 from .schemas import flt
+from .streaming import layouts as S
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -363,6 +364,48 @@ def zipf_workload(spark, d):
     return PL.zipf_workload(V.event_manifest(spark, d), z, 5, 2)
 
 
+# A stream that lays out anew
+
+_HELD, _LEVELS = 8, 6
+
+
+def _layout_sql() -> str:
+    """Each version from the one before: the record at which as many as are held back lie outside its range."""
+    of = "PARTITION BY epoch, rank ORDER BY pos"
+    sql = f"""{_REC}, v1 AS (SELECT epoch, rank, pos, lo, hi, CAST({_HELD} AS BIGINT) AS n_left, CAST(0 AS BIGINT) AS n_right
+ FROM (SELECT epoch, rank, pos, min(key) OVER ({of}) AS lo, max(key) OVER ({of}) AS hi FROM rec) WHERE pos = {_HELD})"""
+    for k in range(2, _LEVELS + 1):
+        sql += f""", o{k} AS (SELECT epoch, rank, pos, lo, hi, row_number() OVER w AS o, min(key) OVER w AS least, max(key) OVER w AS most, CAST(count(*) FILTER (key < lo) OVER w AS BIGINT) AS n_left
+ FROM (SELECT r.epoch, r.rank, r.pos, r.key, v.lo, v.hi FROM rec r JOIN v{k - 1} v ON v.epoch = r.epoch AND v.rank = r.rank WHERE r.pos > v.pos AND (r.key < v.lo OR r.key > v.hi)) WINDOW w AS ({of})),
+v{k} AS (SELECT epoch, rank, pos, least(lo, least) AS lo, greatest(hi, most, {_F(0)}) AS hi, n_left, CAST({_HELD} - n_left AS BIGINT) AS n_right FROM o{k} WHERE o = {_HELD})"""
+    return sql + ", vs AS (" + " UNION ALL ".join(f"SELECT {k} AS version, * FROM v{k}" for k in range(1, _LEVELS + 1)) + ")"
+
+
+def _streamed(spark, d):
+    """The events' records through the stream in two goes, the second of which starts from the first one's checkpoint."""
+    path, to, checkpoint = scratch(spark, "arrivals"), scratch(spark, "laid-out"), scratch(spark, "checkpoint")
+    own = Window.partitionBy("epoch", "rank")
+    all_ = V.event_records(spark, d).select("epoch", "rank", "pos", "key", F.max("pos").over(own).alias("n"))
+    for half in (F.col("pos") * 2 <= F.col("n"), F.col("pos") * 2 > F.col("n")):
+        all_.where(half).select("epoch", "rank", "pos", "key", (F.col("pos") == F.col("n")).alias("last")).write.mode("append").parquet(path)
+        stream = spark.readStream.schema("epoch INT, rank INT, pos BIGINT, key FLOAT, last BOOLEAN").parquet(path)
+        S.write_events(S.lay_out(stream, _HELD, 4, last_pos="last"), to, checkpoint).awaitTermination()
+    return spark.read.schema(f"{S.EVENTS}, batch INT").parquet(to)
+
+
+@_query(f"""{_layout_sql()}, c AS (SELECT r.epoch, r.rank, r.pos, r.key, coalesce(max(v.version), 0) AS now, arg_max(v.lo, v.version) AS lo, arg_max(v.hi, v.version) AS hi
+ FROM rec r LEFT JOIN vs v ON v.epoch = r.epoch AND v.rank = r.rank AND v.pos < r.pos GROUP BY r.epoch, r.rank, r.pos, r.key)
+SELECT c.epoch, c.rank, c.pos, key, CAST(CASE WHEN now > 0 AND key >= c.lo AND key <= c.hi THEN now ELSE coalesce(n.version, 0) END AS INTEGER) AS version
+FROM c LEFT JOIN vs n ON n.epoch = c.epoch AND n.rank = c.rank AND n.version = now + 1""")
+def stream_deliveries(spark, d):
+    return S.delivered(_streamed(spark, d)).drop("bucket")
+
+
+@_query(f"{_layout_sql()} SELECT epoch, rank, version, pos, CAST(lo AS DOUBLE) AS lo, CAST(hi AS DOUBLE) AS hi, n_left, n_right FROM vs")
+def stream_layouts(spark, d):
+    return S.layouts(_streamed(spark, d))
+
+
 # Block files and compacted epochs
 
 
