@@ -13,6 +13,7 @@ from .functions import predicates as R
 from .operators import analytics as A
 from .operators import layout as L
 from .operators import manifest as M
+from .operators import masses as MS
 from .operators import pivots as PV
 from .operators import query as Q
 from .operators import validate as C
@@ -509,6 +510,63 @@ def sample_pivots(spark, d):
     return PV.sample_pivots(V.event_keys(spark, d), _N).select("epoch", F.col("idx").cast("int").alias("idx"), F.round("pivot", 6).alias("pivot"))
 
 
+#: Layouts in force at first, one with bins (epochs of even number), one of a single bin; epoch 7 has none.
+_LAID, _WIDE, _BARE = (5.0, 20.0, 60.0, 100.0, 250.0), (20.0, 80.0), 7
+_SLACK = f"mass * {MS.SLACK}::DOUBLE"
+_MASSES = f"""WITH rec AS (SELECT CAST(dayofmonth(ts) - 1 AS INTEGER) AS epoch, CAST(user_id % 8 AS INTEGER) AS rank, CAST(CAST(value AS FLOAT) AS DOUBLE) AS key FROM events),
+lay AS (SELECT epoch, CASE WHEN epoch % 2 = 0 THEN {list(_LAID)}::DOUBLE[] ELSE {list(_WIDE)}::DOUBLE[] END AS bins FROM (SELECT DISTINCT epoch FROM rec) WHERE epoch != {_BARE}),
+k AS (SELECT rec.*, bins, bins[1] AS low, bins[len(bins)] AS high FROM rec LEFT JOIN lay USING (epoch)),
+b AS (SELECT epoch, rank, bins, least(len([c FOR c IN bins IF c <= key]), len(bins) - 1) AS bin, count(*) AS n FROM k WHERE key BETWEEN low AND high GROUP BY ALL),
+seg AS (SELECT epoch, rank, bins[bin] AS lo, bins[bin + 1] AS hi, CAST(n AS DOUBLE) AS mass FROM b
+ UNION ALL SELECT epoch, rank, key, coalesce(lead(key) OVER w, low), 1 FROM k WHERE key < low WINDOW w AS (PARTITION BY epoch, rank ORDER BY key)
+ UNION ALL SELECT epoch, rank, coalesce(lag(key) OVER w, high), key, 1 FROM k WHERE key > high WINDOW w AS (PARTITION BY epoch, rank ORDER BY key)
+ UNION ALL SELECT epoch, rank, key, coalesce(lead(key) OVER w, key), 1 FROM k WHERE bins IS NULL WINDOW w AS (PARTITION BY epoch, rank ORDER BY key)),
+s AS (SELECT epoch, rank, lo, hi, mass AS own, sum(mass) OVER w - mass AS before, sum(mass) OVER w AS upto FROM seg WINDOW w AS (PARTITION BY epoch, rank ORDER BY lo, hi ROWS UNBOUNDED PRECEDING)),
+t AS (SELECT epoch, rank, CASE WHEN bins IS NULL THEN min(lo) ELSE least(min(lo), bins[1]) END AS lo, CASE WHEN bins IS NULL THEN max(hi) ELSE greatest(max(hi), bins[len(bins)], 0) END AS hi, sum(mass) AS mass
+ FROM seg LEFT JOIN lay USING (epoch) GROUP BY epoch, rank, bins),
+rp AS (SELECT t.epoch, t.rank, t.mass, CAST(idx AS INTEGER) AS idx, idx * mass / {_N - 1} AS aim, CASE idx WHEN 0 THEN t.lo WHEN {_N - 1} THEN t.hi ELSE s.lo + least(1, greatest(0, (aim - before) / own)) * (s.hi - s.lo) END AS pv
+ FROM t, (SELECT generate_series AS idx FROM generate_series(0, {_N - 1})) LEFT JOIN s ON s.epoch = t.epoch AND s.rank = t.rank AND before < aim - {_SLACK} AND aim - {_SLACK} <= upto)"""
+_MASSES = _MASSES.replace("(aim - before)", f"(idx * mass / {_N - 1} - before)").replace("before < aim", f"before < idx * mass / {_N - 1}").replace("AND aim -", f"AND idx * mass / {_N - 1} -")
+_MERGED = f"""{_MASSES}, x AS (SELECT DISTINCT epoch, pv AS x FROM rp),
+f AS (SELECT x.epoch, x, rank, any_value(mass) AS mass, max(idx) FILTER (pv <= x) AS k, min(idx) FILTER (pv >= x) AS j FROM x JOIN rp USING (epoch) GROUP BY x.epoch, x, rank),
+g AS (SELECT f.*, f.mass / {_N - 1} AS step, p.pv AS pk, q.pv AS pn, o.pv AS pj FROM f LEFT JOIN rp p ON p.epoch = f.epoch AND p.rank = f.rank AND p.idx = k
+ LEFT JOIN rp q ON q.epoch = f.epoch AND q.rank = f.rank AND q.idx = k + 1 LEFT JOIN rp o ON o.epoch = f.epoch AND o.rank = f.rank AND o.idx = j),
+h AS (SELECT *, CASE WHEN k IS NULL THEN 0 WHEN k = {_N - 1} THEN mass ELSE step * (k + (x - pk) / (pn - pk)) END AS high FROM g),
+c AS (SELECT epoch, x, sum(CASE WHEN j IS NULL THEN mass WHEN pj = x THEN step * j ELSE high END) AS low, sum(high) AS high FROM h GROUP BY epoch, x),
+y AS (SELECT epoch, x, side, y, lag(x) OVER w AS x0, lag(y) OVER w AS y0, row_number() OVER w AS j FROM (SELECT epoch, x, 0 AS side, low AS y FROM c UNION ALL SELECT epoch, x, 1, high FROM c) WINDOW w AS (PARTITION BY epoch ORDER BY x, side)),
+m AS (SELECT epoch, sum(mass) AS mass FROM t GROUP BY epoch), e AS (SELECT epoch, min(x) AS least, max(x) AS most FROM x GROUP BY epoch),
+a AS (SELECT m.epoch, m.mass, CAST(idx AS INTEGER) AS idx, idx * mass / {_N - 1} AS aim FROM m, (SELECT generate_series AS idx FROM generate_series(0, {_N - 1}))),
+z AS (SELECT a.epoch, a.idx, min(j) AS j FROM a JOIN y ON y.epoch = a.epoch AND y >= aim - {_SLACK} WHERE y.j > 1 GROUP BY a.epoch, a.idx),
+mp AS (SELECT a.epoch, a.idx, CASE a.idx WHEN 0 THEN least WHEN {_N - 1} THEN most ELSE x0 + least(1, greatest(0, (aim - y0) / CASE WHEN y > y0 THEN y - y0 ELSE 1 END)) * (x - x0) END AS pv
+ FROM a JOIN e USING (epoch) LEFT JOIN z ON z.epoch = a.epoch AND z.idx = a.idx LEFT JOIN y ON y.epoch = z.epoch AND y.j = z.j)"""
+
+
+def _rank_pivots(spark, d):
+    keys = V.event_keys(spark, d).select("epoch", "rank", "key")
+    bins = F.when(F.col("epoch") % 2 == 0, F.lit(list(_LAID))).otherwise(F.lit(list(_WIDE)))
+    layouts = keys.select("epoch").distinct().where(F.col("epoch") != _BARE).select("epoch", bins.alias("bins"))
+    return keys, MS.rank_pivots(MS.rank_segments(keys, layouts), _N, layouts)
+
+
+@_query(f"{_MASSES} SELECT epoch, rank, mass, idx, round(pv, 6) AS pivot FROM rp")
+def rank_pivots(spark, d):
+    _, found = _rank_pivots(spark, d)
+    return found.select("epoch", "rank", "mass", F.posexplode("pivots").alias("idx", "pivot")).withColumn("pivot", F.round("pivot", 6))
+
+
+@_query(f"{_MERGED} SELECT epoch, idx, round(pv, 5) AS pivot FROM mp")
+def merged_pivots(spark, d):
+    _, found = _rank_pivots(spark, d)
+    return MS.merge_pivots(found, _N).select("epoch", F.posexplode("pivots").alias("idx", "pivot")).withColumn("pivot", F.round("pivot", 5))
+
+
+@_query(f"{_MERGED} SELECT mp.epoch, idx, count(rec.key) AS below FROM mp LEFT JOIN rec ON rec.epoch = mp.epoch AND rec.key < round(pv, 3) GROUP BY mp.epoch, idx")
+def merged_pivot_masses(spark, d):
+    keys, found = _rank_pivots(spark, d)
+    made = MS.merge_pivots(found, _N).select("epoch", F.transform("pivots", lambda p: F.round(p, 3)).alias("pivots"))
+    return MS.masses_below(keys, made).drop("pivot")
+
+
 _CUTS = (0.0, 1.0, 5.0, 20.0, 50.0, 100.0, 1000.0)
 
 
