@@ -20,6 +20,7 @@ from .operators import validate as C
 from .plans import planner as PL
 from .runtime import scratch
 from .schemas import flt
+from .sources import blockfile as B
 from .streaming import layouts as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -429,6 +430,40 @@ def block_manifest(spark, d):
     return spark.read.format("rdb_manifest").load(V.event_files(spark, d))
 
 
+def _fetched(spark, d, gap):
+    """Keys of a range in epoch 5 first, then their values alone."""
+    path = V.event_files(spark, d)
+    keys = spark.read.format("rdb_keys").load(path).where((F.col("epoch") == 5) & F.col("key").between(flt(10), flt(100)))
+    return path, B.fetch_values(keys.select("epoch", "rank", "sst", "pos", "key", "value_offset"), path, gap=gap)
+
+
+@_query(f"{_REC} SELECT epoch, rank, sst, pos, key, event_id FROM rec WHERE epoch = 5 AND key BETWEEN {_F(10)} AND {_F(100)}")
+def block_values(spark, d):
+    _, got = _fetched(spark, d, B.FETCH_GAP)
+    return got.select("epoch", "rank", "sst", "pos", "key", F.conv(F.hex("value"), 16, 10).cast("bigint").alias("event_id"))
+
+
+@_query(f"""{_REC}, k AS (SELECT rank, sst, pos - lag(pos) OVER (PARTITION BY rank, sst ORDER BY pos) AS step FROM rec WHERE epoch = 5 AND key BETWEEN {_F(10)} AND {_F(100)}),
+b AS (SELECT rank, CAST(sum(item_count) * 8 AS BIGINT) AS block_bytes FROM man WHERE epoch = 5 AND obs_min <= {_F(100)} AND obs_max >= {_F(10)} GROUP BY rank)
+SELECT rank, count(*) AS n_values, count(*) * 8 AS bytes_read, count(*) - count(*) FILTER (step = 1) AS reads, block_bytes FROM k JOIN b USING (rank) GROUP BY rank, block_bytes""")
+def block_value_reads(spark, d):
+    """What a fetch without gaps reads of each rank, and what reading its matching blocks' values would."""
+    path, got = _fetched(spark, d, 0)
+    per = got.groupBy("rank").agg(F.count("*").alias("n_values"), F.sum("bytes_read").alias("bytes_read"), F.count_if(F.col("bytes_read") > 0).alias("reads"))
+    blocks = M.overlapping(spark.read.format("rdb_manifest").load(path), 5, 10, 100)
+    return per.join(blocks.groupBy("rank").agg(F.sum(F.col("item_count") * F.col("val_sz")).alias("block_bytes")), "rank")
+
+
+@_query(f"{_REC} SELECT epoch, key, event_id FROM rec")
+def rolled_records(spark, d):
+    path = scratch(spark, "rolled")
+    B.register(spark)
+    value = F.unhex(F.lpad(F.hex("event_id"), 16, "0")).alias("value")
+    V.event_keys(spark, d).select("epoch", "key", value).write.format("rdb").mode("append").option("file_records", 700).option("block_records", 64).save(path)
+    r = spark.read.format("rdb").load(path)
+    return r.select("epoch", "key", F.conv(F.hex("value"), 16, 10).cast("bigint").alias("event_id"))
+
+
 def _compacted(spark, d):
     path = scratch(spark, "compacted")
     L.compact(V.event_records(spark, d), path)

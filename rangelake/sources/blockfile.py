@@ -5,7 +5,9 @@ values), then for each epoch ``u32 epoch, u64 bytes`` and items of 44 bytes, the
 
 Three Spark data sources read a directory: ``rdb_manifest`` (no block is touched), ``rdb_keys``
 (key blocks only) and ``rdb`` (keys and values).  Filters on epoch, rank and key that Spark pushes
-down choose files and blocks by the manifest before anything is read.  Files are opened through
+down choose files and blocks by the manifest before anything is read.  ``fetch_values`` is the second
+phase of a read of keys: of the values only the wanted ones are read.  ``rdb`` writes as well: each task
+rolls files of its own, which get their names when all tasks are done.  Files are opened through
 pyarrow's file systems, so the directory may be local or remote.
 """
 
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource,
+    DataSourceArrowWriter,
     DataSourceReader,
     EqualTo,
     Filter,
@@ -32,8 +35,9 @@ from pyspark.sql.datasource import (
     InputPartition,
     LessThan,
     LessThanOrEqual,
+    WriterCommitMessage,
 )
-from pyspark.sql.types import LongType, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from ..functions.predicates import valid_key
 from ..runtime import ship
@@ -44,6 +48,10 @@ EPOCH, FOOTER = struct.Struct("<IQ"), struct.Struct("<IQQQ")
 TAIL = 4096
 #: Bytes of neighbouring blocks that one task reads.
 SPLIT = 64 << 20
+#: Values less than so many bytes apart are fetched by one read, of at most so many bytes.
+FETCH_GAP, FETCH_BYTES = 64 << 10, 8 << 20
+#: Records of a file, and of a block, that is written.
+FILE_RECORDS, BLOCK_RECORDS = 83_000_000, 1 << 16
 
 
 def file_name(rank: int) -> str:
@@ -113,10 +121,10 @@ def read_footer(path: str, rank: int, size: int, guess: int = TAIL) -> Footer:
 class Writer:
     """One rank's file, block by block.  It takes its name when it is closed, so a task that is lost leaves none behind."""
 
-    def __init__(self, path: str, rank: int, value_size: int, oob: int = 0):
+    def __init__(self, path: str, name: str | int, value_size: int, oob: int = 0):
         self.system, root = _open(path)
         self.system.create_dir(root, recursive=True)
-        self.name, self.value_size, self.oob = f"{root}/{file_name(rank)}", value_size, oob
+        self.name, self.value_size, self.oob = f"{root}/{file_name(name) if isinstance(name, int) else name}", value_size, oob
         self.draft = f"{self.name}.{uuid.uuid4().hex}"
         self.file, self.at = self.system.open_output_stream(self.draft), 0
         self.items: dict[int, list[np.void]] = {}
@@ -191,6 +199,162 @@ def write_blocks(records: DataFrame, path: str, value_size: int) -> None:
     own.select("rank", "epoch", "sst", "key", "value").mapInArrow(write, "rank INT").write.format("noop").mode("overwrite").save()
 
 
+def fetch_values(pointers: DataFrame, path: str, value_size: int | None = None, gap: int = FETCH_GAP, split: int = SPLIT) -> DataFrame:
+    """``pointers`` (rank, value_offset and any columns, as ``rdb_keys`` gives them) with value and bytes_read.
+
+    A rank's file is cut into stripes of ``split`` bytes, and a stripe's pointers go to one task, in order; values less
+    than ``gap`` bytes apart are fetched by one read.  ``bytes_read`` is the read's length in the first row it serves and
+    0 in the others.  Pointers that repeat are read once; a pointer out of the file is an error, a null one has no value.
+    """
+    ship(pointers.sparkSession)
+    if value_size is None:
+        ranks = list_ranks(path)
+        value_size = read_footer(path, *ranks[0]).value_size if ranks else 0
+    names = pointers.columns
+    if {"value", "bytes_read"} & set(names):
+        raise ValueError("pointers have a column named value or bytes_read")
+    rank_at, offset_at = names.index("rank"), names.index("value_offset")
+    plain = [f"c{k}" for k in range(len(names))]
+
+    def runs(at: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(first, end) of offsets in order that one read serves."""
+        first = 0
+        for i in range(1, len(at)):
+            if at[i] - at[i - 1] - value_size >= max(gap, 1) or at[i] + value_size - at[first] > FETCH_BYTES:
+                yield first, i
+                first = i
+        if len(at):
+            yield first, len(at)
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = _open(path)
+        rank, f = None, None
+        for b in batches:
+            values, lengths = [None] * len(b), np.zeros(len(b), np.int64)
+            ranks, offsets = b.column(rank_at), b.column(offset_at)
+            known = np.flatnonzero(~(ranks.is_null().to_numpy(zero_copy_only=False) | offsets.is_null().to_numpy(zero_copy_only=False)))
+            own, at = (c.take(pa.array(known)).to_numpy(zero_copy_only=False) for c in (ranks, offsets))
+            cuts = np.flatnonzero(np.diff(own)) + 1
+            for lo, hi in itertools.pairwise([0, *cuts.tolist(), len(own)]):
+                if lo == hi:
+                    continue
+                if own[lo] != rank:
+                    rank, f = int(own[lo]), system.open_input_file(f"{root}/{file_name(int(own[lo]))}")
+                for first, end in runs(at[lo:hi]):
+                    start, length = int(at[lo + first]), int(at[lo + end - 1] - at[lo + first]) + value_size
+                    f.seek(start)
+                    raw = f.read(length)
+                    if start < 0 or len(raw) != length:
+                        raise ValueError(f"rank {rank}: no value of {value_size} bytes at {start + length - value_size}")
+                    lengths[known[lo + first]] = length
+                    for k in range(lo + first, lo + end):
+                        values[known[k]] = raw[at[k] - start : at[k] - start + value_size]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(values, pa.binary()), pa.array(lengths)], names=[*names, "value", "bytes_read"])
+
+    rank, offset = F.col(plain[rank_at]), F.col(plain[offset_at])
+    dealt = pointers.toDF(*plain).repartition(rank, F.floor(offset / split)).sortWithinPartitions(rank, offset)
+    schema = StructType([*pointers.schema.fields, StructField("value", BinaryType()), StructField("bytes_read", LongType())])
+    return dealt.mapInArrow(fetch, schema)
+
+
+@dataclass
+class Files(WriterCommitMessage):
+    """Drafts that a task closed, in order."""
+
+    drafts: list[str]
+
+
+class BlockWriter(DataSourceArrowWriter):
+    """Block files of a table (epoch, key, value): a task closes a file at its record limit and begins another.
+
+    Drafts lie in a folder of the job's own and get the next free ranks when all tasks are done, so a task that fails or
+    is killed, or a job that is ended, leaves no file behind.  A block is of one epoch; records of several epochs may come
+    mixed.  Records without a key go nowhere.
+    """
+
+    def __init__(self, options, schema: StructType, overwrite: bool):
+        missing = {"epoch", "key", "value"} - set(schema.names)
+        if missing:
+            raise ValueError(f"no column {', '.join(sorted(missing))}")
+        self.path, self.overwrite = options["path"], overwrite
+        self.columns = [schema.names.index(c) for c in ("epoch", "key", "value")]
+        self.value_size = int(options["value_size"]) if "value_size" in options else None
+        self.file_records, self.block_records = int(options.get("file_records", FILE_RECORDS)), int(options.get("block_records", BLOCK_RECORDS))
+        if min(self.file_records, self.block_records) < 1:
+            raise ValueError("files and blocks are of at least one record")
+        self.drafts = f"_drafts-{uuid.uuid4().hex}"
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Files:
+        made: list[str] = []
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        size, out, n = self.value_size, None, 0
+
+        def block(epoch: int) -> None:
+            """Writes what is held of an epoch, up to the file's limit at a time."""
+            nonlocal out, n
+            parts = held.pop(epoch)
+            keys, values = np.concatenate([k for k, _ in parts]), np.concatenate([v for _, v in parts])
+            while len(keys):
+                if out is None:
+                    out, n = Writer(f"{self.path}/{self.drafts}", uuid.uuid4().hex, size), 0
+                take = min(len(keys), self.block_records, self.file_records - n)
+                out.block(epoch, keys[:take], values[:take])
+                keys, values, n = keys[take:], values[take:], n + take
+                if n == self.file_records:
+                    close()
+
+        def close() -> None:
+            nonlocal out
+            out.close()
+            made.append(out.name.rpartition("/")[2])
+            out = None
+
+        for b in iterator:
+            epoch, key, value = (b.column(c) for c in self.columns)
+            good = np.flatnonzero(~(key.is_null().to_numpy(zero_copy_only=False) | epoch.is_null().to_numpy(zero_copy_only=False) | np.isnan(key.to_numpy(zero_copy_only=False))))
+            if not len(good):
+                continue
+            epochs, keys = epoch.to_numpy(zero_copy_only=False)[good], key.to_numpy(zero_copy_only=False)[good].astype("<f4")
+            raw = [v or b"" for v in value.take(pa.array(good)).to_pylist()]
+            size = len(raw[0]) if size is None else size
+            if any(len(v) != size for v in raw):
+                raise ValueError(f"values of other than {size} bytes")
+            values = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), size)
+            for e in np.unique(epochs).tolist():
+                own = epochs == e
+                held.setdefault(int(e), []).append((keys[own], values[own]))
+                if sum(len(k) for k, _ in held[e]) >= self.block_records:
+                    block(e)
+            while sum(len(k) for parts in held.values() for k, _ in parts) > 4 * self.block_records:  # many epochs mixed
+                block(max(held, key=lambda e: sum(len(k) for k, _ in held[e])))
+        for e in sorted(held):
+            block(e)
+        if out is not None:
+            close()
+        return Files(made)
+
+    def commit(self, messages: list[Files | None]) -> None:
+        from pyarrow import fs
+
+        system, root = _open(self.path)
+        system.create_dir(root, recursive=True)
+        if self.overwrite:
+            for rank, _ in list_ranks(self.path):
+                system.delete_file(f"{root}/{file_name(rank)}")
+        first = len(list_ranks(self.path))
+        for k, draft in enumerate(d for m in messages if m for d in m.drafts):
+            system.move(f"{root}/{self.drafts}/{draft}", f"{root}/{file_name(first + k)}")
+        if system.get_file_info(f"{root}/{self.drafts}").type != fs.FileType.NotFound:
+            system.delete_dir(f"{root}/{self.drafts}")
+
+    def abort(self, messages: list[Files | None]) -> None:
+        from pyarrow import fs
+
+        system, root = _open(self.path)
+        if system.get_file_info(f"{root}/{self.drafts}").type != fs.FileType.NotFound:
+            system.delete_dir(f"{root}/{self.drafts}")
+
+
 @dataclass
 class Wanted:
     """What pushed filters leave: closed bounds of epoch, rank and key, and sets of values for the first two."""
@@ -347,6 +511,9 @@ class RecordSource(KeySource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(self.options, values=True)
 
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
+        return BlockWriter(self.options, schema, overwrite)
+
 
 @dataclass
 class Rank(InputPartition):
