@@ -1,16 +1,19 @@
 """Catalog analytics: summaries, overlap curves, read schedules, coalesced reads, scans, timing statistics.
 
-None of these touches records: they are filters, interval joins and windows over the manifest.
+None of these touches records: they are filters, sweeps and windows over the manifest.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import check_range, overlaps
+from ..runtime import ship
 from ..schemas import OVERLAP
+from .sweep import stabbed
 
 #: Probe points of a summary (from, below, step) and the probe grid's cut-offs and steps.
 SUMMARY_PROBES = (0.01, 2.0, 0.25)
@@ -52,10 +55,6 @@ def probe_grid(lo: float, hi: float) -> list[float]:
     return sorted(out)
 
 
-def _points(spark: SparkSession, points: list[float]) -> DataFrame:
-    return spark.createDataFrame([(p,) for p in points], "point FLOAT")
-
-
 def summarize(manifest: DataFrame) -> DataFrame:
     """epoch, range_min, range_max, mass, point, match_mass, match_count, selectivity for each epoch with mass and each probe."""
     stats = manifest.groupBy("epoch").agg(F.min("obs_min").alias("range_min"), F.max("obs_max").alias("range_max"), F.sum("item_count").alias("mass")).where("mass > 0")
@@ -65,16 +64,27 @@ def summarize(manifest: DataFrame) -> DataFrame:
 
 def _curve(probed: DataFrame, manifest: DataFrame) -> DataFrame:
     """probed (epoch, point, ...) with the mass and number of blocks that cover each point."""
-    m = manifest.select(F.col("epoch").alias("_e"), "obs_min", "obs_max", "item_count")
-    on = (F.col("epoch") == F.col("_e")) & (F.col("obs_min") <= F.col("point")) & (F.col("obs_max") >= F.col("point"))
-    return probed.join(m, on, "left").groupBy(*probed.columns).agg(F.coalesce(F.sum("item_count"), F.lit(0)).cast("bigint").alias("match_mass"), F.count("item_count").alias("match_count"))
+    blocks = manifest.select(F.col("epoch").cast("bigint").alias("g"), F.col("obs_min").alias("lo"), F.col("obs_max").alias("hi"), F.col("item_count").cast("bigint").alias("mass"))
+    found = stabbed(blocks.where("lo IS NOT NULL AND hi IS NOT NULL"), probed.select(F.col("epoch").cast("bigint").alias("g"), F.col("point").alias("x")))
+    met = probed.join(found.select(F.col("g").alias("epoch"), F.col("x").alias("point"), F.col("mass").alias("match_mass"), F.col("n").alias("match_count")), ["epoch", "point"])
+    return met.select(*probed.columns, "match_mass", "match_count")
 
 
 def overlap_curve(manifest: DataFrame) -> DataFrame:
     """Epoch, Point, MatchMass, TotalMass, MatchCount over each epoch's probe grid."""
     stats = manifest.groupBy("epoch").agg(F.min("obs_min").alias("lo"), F.max("obs_max").alias("hi"), F.sum("item_count").alias("TotalMass"))
-    grid = [(r["epoch"], p, r["TotalMass"]) for r in stats.collect() for p in probe_grid(r["lo"], r["hi"])]  # one row per epoch
-    probed = manifest.sparkSession.createDataFrame(grid, "epoch INT, point FLOAT, TotalMass BIGINT")
+    ship(manifest.sparkSession)
+
+    def grid(batches):
+        """The points of each epoch, some at a time."""
+        for batch in batches:
+            for epoch, lo, hi, mass in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                points = probe_grid(lo, hi)
+                for k in range(0, len(points), 100_000):
+                    some = np.array(points[k : k + 100_000], np.float32)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), epoch, np.int32)), pa.array(some), pa.array(np.full(len(some), mass, np.int64))], names=["epoch", "point", "TotalMass"])
+
+    probed = stats.where("lo IS NOT NULL").mapInArrow(grid, "epoch INT, point FLOAT, TotalMass BIGINT").distinct()
     got = _curve(probed, manifest)
     return got.select(F.col("epoch").alias("Epoch"), F.col("point").alias("Point"), F.col("match_mass").alias("MatchMass"), "TotalMass", F.col("match_count").alias("MatchCount")).to(OVERLAP)
 

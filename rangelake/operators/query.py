@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.predicates import check_range, in_range
 from ..schemas import flt
 from . import manifest as M
+from .intervals import interval_join
+from .sweep import numbered, overlapped
 
-#: A batch of at most this many queries is sent to every task; a larger one is joined by epoch.
-BROADCAST_QUERIES = 100_000
+#: A batch of at most this many queries is sent to every task; a larger one is joined by key bins.
+BROADCAST_QUERIES = 64
 
 
 def range_query(records: DataFrame, epoch: int, lo: float, hi: float, rank: int | None = None, closed: str = "both", ordered: bool = True) -> DataFrame:
@@ -45,11 +47,12 @@ def full_scan(records: DataFrame, epoch: int, lo: float, hi: float) -> DataFrame
 def batch_query(records: DataFrame, queries: DataFrame, closed: str = "both") -> DataFrame:
     """qid, epoch, rank, key, pos of the matches of every query (qid, epoch, qbegin, qend, rank), in one job.
 
-    Small batches go to the records; the epoch is an equality, so no pair of different epochs meets.
+    A few queries go to the records; many are dealt over key bins (``intervals``).
     """
+    if queries.limit(BROADCAST_QUERIES + 1).count() > BROADCAST_QUERIES:
+        return interval_join(records, queries, closed)
     q = queries.select("qid", F.col("epoch").alias("_e"), "qbegin", "qend", F.col("rank").alias("_r"))
-    if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
-        q = F.broadcast(q)  # its size was looked at
+    q = F.broadcast(q)  # its size was looked at
     on = (F.col("epoch") == F.col("_e")) & in_range(F.col("key"), F.col("qbegin"), F.col("qend"), closed) & (F.coalesce("_r", F.lit(-1)).isin(-1) | (F.col("rank") == F.col("_r")))
     return records.join(q, on).select("qid", "epoch", "rank", "key", "pos")
 
@@ -57,9 +60,11 @@ def batch_query(records: DataFrame, queries: DataFrame, closed: str = "both") ->
 def batch_report(records: DataFrame, manifest: DataFrame, queries: DataFrame) -> DataFrame:
     """Per query: matched keys, candidate mass, epoch mass, block and key selectivity; queries without a match too."""
     hits = batch_query(records, queries).groupBy("qid").agg(F.count("*").alias("keys"))
-    m = manifest.select(F.col("epoch").alias("_e"), F.col("rank").alias("_r"), "obs_min", "obs_max", "item_count")
-    on = (F.col("epoch") == F.col("_e")) & (F.col("obs_min") <= F.col("qend")) & (F.col("obs_max") >= F.col("qbegin")) & ((F.coalesce("rank", F.lit(-1)) == -1) | (F.col("rank") == F.col("_r")))
-    mass = queries.join(m, on).groupBy("qid").agg(F.sum("item_count").alias("match_mass"), F.count("*").alias("match_count"))
+    # Blocks of all ranks of an epoch are one group, those of each rank another.
+    group = lambda rank: (F.shiftleft(F.col("epoch").cast("bigint"), 32) + rank + 1)
+    m = manifest.select(F.explode(F.array(group(F.lit(-1)), group(F.col("rank")))).alias("g"), F.col("obs_min").alias("lo"), F.col("obs_max").alias("hi"), F.col("item_count").cast("bigint").alias("mass"))
+    q = queries.where("qbegin <= qend").select("qid", group(F.coalesce("rank", F.lit(-1))).alias("g"), F.col("qbegin").alias("lo"), F.col("qend").alias("hi"))
+    mass = overlapped(m.where("lo IS NOT NULL AND hi IS NOT NULL"), q).select("qid", F.col("mass").alias("match_mass"), F.col("n").alias("match_count"))
     total = manifest.groupBy("epoch").agg(F.sum("item_count").alias("epoch_mass"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
     out = queries.select("qid", "epoch").join(hits, "qid", "left").join(mass, "qid", "left").join(total, "epoch", "left")
@@ -84,26 +89,14 @@ def selectivity(records: DataFrame, manifest: DataFrame, epoch: int, lo: float,
 def preview(keys: DataFrame, percents: tuple[int, ...] = (0, 10, 50, 100)) -> DataFrame:
     """percent, key: of n keys in order the one at index floor(percent * (n - 1) / 100).
 
-    Distributed: partition counts of a range sort place each row, so no task holds all keys.
+    Keys are numbered in order once (``sweep``), so no task holds them all.
     """
-    spark = keys.sparkSession
-    kept = keys.select(F.col("key").alias("key")).orderBy("key")
-    placed = kept.withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
-    counts = placed.groupBy("_part").agg(F.count("*").alias("n")).collect()  # a row per partition
-    n = sum(r["n"] for r in counts)
-    if not n:
-        return spark.createDataFrame([], "percent INT, key FLOAT")
-    before, first = {}, 0
-    for r in sorted(counts, key=lambda r: r["_part"]):
-        before[r["_part"]] = first
-        first += r["n"]
-    wanted = []
-    for p in percents:
-        i = p * (n - 1) // 100
-        part = max((k for k in before if before[k] <= i), key=lambda k: before[k])
-        wanted.append((p, (part << 33) + i - before[part]))
-    want = spark.createDataFrame(wanted, "percent INT, _id BIGINT")
-    return placed.join(F.broadcast(want), "_id").select("percent", "key")  # as many rows as percents
+    placed = numbered(keys.select(F.lit(0).cast("bigint").alias("g"), "key"), "g", ["key"])
+    n = placed.count()
+    wanted = {p: p * (n - 1) // 100 for p in percents} if n else {}
+    asked = F.explode(F.array(*[F.lit(p) for p in percents])).alias("percent")
+    at = F.floor(F.col("percent") * (n - 1) / 100)
+    return placed.where(F.col("i").isin(list(wanted.values()))).select("key", "i", asked).where(F.col("i") == at).select("percent", "key")
 
 
 def raw_count(trace: DataFrame, lo: float, hi: float, closed: str = "both") -> DataFrame:

@@ -1,17 +1,18 @@
-"""Planners that walk a manifest in order.
+"""Planners over a manifest: query plans, merge runs, workloads.
 
-Greedy walks are sequential by nature; they run on the driver over the manifest's ranges and counts
-(a few numbers per block, as numpy arrays), never over records.
+Merge runs of all epochs are one job: where a run that starts at a block ends follows from running sums, and the runs
+are found by doubling steps.  The query plan is a walk in which each step depends on all before it, in any epoch; it
+runs on the driver over the manifest's ranges and counts (a few numbers per block, as numpy arrays), never over records.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.sweep import cumulative, keep, numbered, running_sums
+
 #: Fixed values of query-plan generation and of run planning.
 MIN_MASS, MAX_OVERLAP, MIN_DISTANCE, NEAR_COUNT = 1000, 0.02, 0.002, 3
 FIRST_WIDTH, STEP = 0.001, 0.1
@@ -69,38 +70,49 @@ def closest_distance(values: list[float], x: float) -> float:
     return min((abs(v - x) for v in values), default=float("inf"))
 
 
-@dataclass(frozen=True)
-class Run:
-    """Blocks (numbers in key order) to load before all keys below ``cut`` can be written; no cut for the last."""
-
-    first: int
-    last: int
-    cut: float | None
+def run_plan(manifest: DataFrame, value_size: int, budget: int = MEMORY_BUDGET) -> DataFrame:
+    """epoch, run, sst_first, sst_last, cut, records: the runs that would merge each epoch within a memory budget.
 
-
-def plan_runs(ranges: list[tuple[float, int]], value_size: int, budget: int = MEMORY_BUDGET) -> list[Run]:
-    """Runs of blocks (least key, records), sorted by least key: cut before a block where the records held
-    exceed the budget, but not at the key of the last cut."""
-    runs, first, held, last_cut = [], 0, 0, float("-inf")
-    for i, (least, n) in enumerate(ranges):
-        if least > last_cut and held * value_size > budget:
-            runs.append(Run(first, i - 1, least))
-            first, held, last_cut = i, 0, least
-        held += n
-    if ranges:
-        runs.append(Run(first, len(ranges) - 1, None))
-    return runs
+    Blocks of an epoch are taken in order of their least key.  A run ends before the first block at which the records it
+    holds exceed the budget and whose least key is beyond that of the run's first block (the first run of an epoch may
+    end at its own); that key is the run's cut, below which all keys can be written.  The last run has no cut.
+    """
+    blocks = manifest.select(F.col("epoch").cast("bigint").alias("g"), "obs_min", "obs_max", F.col("item_count").cast("bigint").alias("n"), F.lit(1).cast("bigint").alias("one"))
+    placed = running_sums(blocks.where("obs_min IS NOT NULL"), "g", ["obs_min", "obs_max", "n"], ["n", "one"])
+    placed = keep(placed.select("g", (F.col("one_upto") - 1).alias("i"), "obs_min", "n", (F.col("n_upto") - F.col("n")).alias("before")), "blocks")
+    # The first block past the budget: as many as have a sum before them that isn't beyond it.
+    room = budget // value_size if value_size > 0 else (1 << 62)
+    sums = placed.select("g", F.col("before").alias("lo"), F.col("before").alias("hi"), F.lit(0).cast("bigint").alias("mass"))
+    asked = placed.select("g", (F.col("before") + room).alias("x"))
+    full = cumulative(sums, asked).select("g", (F.col("x") - room).alias("before"), F.col("begun").alias("full"))
+    beyond = placed.groupBy("g", "obs_min").agg((F.max("i") + 1).alias("beyond"))
+    size = placed.groupBy("g").agg(F.count("*").alias("blocks"), F.sum("n").alias("mass"))
+    step = placed.join(full, ["g", "before"]).join(beyond, ["g", "obs_min"]).join(size, "g")
+    step = step.withColumn("to", F.when(F.col("i") == 0, F.col("full")).otherwise(F.greatest("full", "beyond")))
+    step = keep(step.select("g", "i", "before", "blocks", "mass", F.when(F.col("to") < F.col("blocks"), F.col("to")).alias("to")), "steps")
+
+    # Blocks that begin a run: those that steps lead to from the first, in rounds of steps twice as long.
+    jump = step.where("to IS NOT NULL").select("g", "i", "to")
+    begun = keep(size.select("g", F.lit(0).cast("bigint").alias("i")), "begun")
+    while True:
+        more = keep(begun.join(jump, ["g", "i"]).select("g", F.col("to").alias("i")), "begun")
+        if not more.take(1):
+            break
+        begun = begun.unionByName(more)
+        jump = keep(jump.join(jump.select("g", F.col("i").alias("to"), F.col("to").alias("further")), ["g", "to"]).select("g", "i", F.col("further").alias("to")), "jumps")
+
+    runs = numbered(begun.join(step, ["g", "i"]), "g", ["i"], "run")
+    after = placed.select("g", F.col("i").alias("to"), F.col("obs_min").alias("cut"), F.col("before").alias("end"))
+    met = runs.join(after, ["g", "to"], "left")
+    return met.select(
+        F.col("g").cast("int").alias("epoch"), F.col("run").cast("int").alias("run"), F.col("i").cast("int").alias("sst_first"), (F.coalesce("to", "blocks") - 1).cast("int").alias("sst_last"),
+        "cut", (F.coalesce("end", "mass") - F.col("before")).alias("records"),
+    )
 
 
 def merge_runs(manifest: DataFrame, epoch: int, value_size: int, budget: int = MEMORY_BUDGET) -> DataFrame:
-    """run, sst_first, sst_last, cut, records of the runs that would merge an epoch within a memory budget."""
-    spark: SparkSession = manifest.sparkSession
-    m = manifest.where(F.col("epoch") == epoch)
-    if m.count() > MOST_BLOCKS:
-        raise ValueError("too many blocks for a walk on the driver")
-    rows = [(r["obs_min"], r["item_count"]) for r in m.select("obs_min", "obs_max", "item_count").orderBy("obs_min", "obs_max", "item_count").collect()]
-    runs = plan_runs(rows, value_size, budget)
-    return spark.createDataFrame([(k, r.first, r.last, r.cut, sum(n for _, n in rows[r.first : r.last + 1])) for k, r in enumerate(runs)], "run INT, sst_first INT, sst_last INT, cut FLOAT, records BIGINT")
+    """run, sst_first, sst_last, cut, records of one epoch's runs."""
+    return run_plan(manifest.where(F.col("epoch") == epoch), value_size, budget).drop("epoch")
 
 
 def zipf_workload(manifest: DataFrame, indexes: DataFrame, width: int, epoch_shift: int = 0) -> DataFrame:

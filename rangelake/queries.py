@@ -11,6 +11,7 @@ from . import views as V
 from .functions import physics as P
 from .functions import predicates as R
 from .operators import analytics as A
+from .operators import intervals as I
 from .operators import layout as L
 from .operators import manifest as M
 from .operators import masses as MS
@@ -103,6 +104,20 @@ def batch_query(spark, d):
     return Q.batch_query(V.event_records(spark, d), V.query_table(spark))
 
 
+_MANY = """mq AS (SELECT CAST(o_orderkey AS INTEGER) AS qid, CAST(o_custkey % 31 AS INTEGER) AS epoch, CAST(o_totalprice % 300 AS FLOAT) AS qbegin,
+ CAST(o_totalprice % 300 + o_orderkey % 5 AS FLOAT) AS qend, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey % 8 AS INTEGER) END AS rank FROM orders)"""
+
+
+@_query(f"{_REC}, {_MANY} SELECT qid, rec.epoch, rec.rank, key, pos FROM rec JOIN mq ON rec.epoch = mq.epoch AND key >= qbegin AND key <= qend AND (mq.rank IS NULL OR mq.rank = rec.rank)")
+def interval_join(spark, d):
+    """A query of each order, whose width is from none to four."""
+    price, key = F.col("o_totalprice").cast("double") % 300, F.col("o_orderkey")
+    q = V.table(spark, d, "orders").select(
+        key.cast("int").alias("qid"), (F.col("o_custkey") % 31).cast("int").alias("epoch"), price.cast("float").alias("qbegin"), (price + key % 5).cast("float").alias("qend"), F.when(key % 3 == 0, (key % 8).cast("int")).alias("rank")
+    )
+    return I.interval_join(V.event_records(spark, d), q)
+
+
 @_query(f"""{_REC}, {_QT}, h AS (SELECT qid, count(*) AS keys FROM rec JOIN q ON rec.epoch = q.epoch AND key BETWEEN qbegin AND qend AND (q.rank IS NULL OR q.rank = rec.rank) GROUP BY qid),
 m AS (SELECT qid, sum(item_count) AS mm, count(*) AS mc FROM man JOIN q ON man.epoch = q.epoch AND obs_min <= qend AND obs_max >= qbegin AND (q.rank IS NULL OR q.rank = man.rank) GROUP BY qid),
 t AS (SELECT epoch, sum(item_count) AS em FROM man GROUP BY epoch)
@@ -357,6 +372,16 @@ def merge_runs(spark, d):
     return PL.merge_runs(V.event_manifest(spark, d), 5, 8, budget=1000)
 
 
+@_query(f"""{_REC.replace("WITH rec", "WITH RECURSIVE rec")}, o AS (SELECT epoch, CAST(row_number() OVER (PARTITION BY epoch ORDER BY obs_min, obs_max, item_count) - 1 AS INTEGER) AS i, obs_min AS least, item_count AS n FROM man),
+w AS (SELECT epoch, i, 0 AS run, n AS held, CAST('-infinity' AS FLOAT) AS last_cut FROM o WHERE i = 0
+ UNION ALL SELECT epoch, i, run + CAST(cut AS INTEGER), CASE WHEN cut THEN n ELSE held + n END, CASE WHEN cut THEN least ELSE last_cut END
+ FROM (SELECT o.epoch, o.i, o.n, o.least, w.run, w.held, w.last_cut, o.least > w.last_cut AND w.held * 8 > 700 AS cut FROM w JOIN o ON o.epoch = w.epoch AND o.i = w.i + 1)),
+r AS (SELECT w.epoch, run, min(w.i) AS sst_first, max(w.i) AS sst_last, CAST(sum(n) AS BIGINT) AS records FROM w JOIN o ON o.epoch = w.epoch AND o.i = w.i GROUP BY w.epoch, run)
+SELECT r.epoch, run, sst_first, sst_last, least AS cut, records FROM r LEFT JOIN o ON o.epoch = r.epoch AND o.i = sst_last + 1""")
+def merge_run_plan(spark, d):
+    return PL.run_plan(V.event_manifest(spark, d), 8, budget=700)
+
+
 @_query(f"""{_REC}, b AS (SELECT *, row_number() OVER (PARTITION BY epoch ORDER BY rank, "offset", sst) - 1 AS i FROM man), t AS (SELECT epoch, max(i) AS top FROM b GROUP BY epoch),
 z AS (SELECT generate_series AS n, generate_series * 7 % 20 AS s FROM generate_series(0, 49)),
 a AS (SELECT n, b.epoch, obs_min AS qbegin, least(s + 4, top) AS stop FROM z JOIN b ON b.i = s JOIN t ON t.epoch = b.epoch)

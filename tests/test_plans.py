@@ -13,6 +13,7 @@ from rangelake.sources.text import query_log
 
 
 def manifest(spark, epochs):
+    """Blocks (least, greatest, records) of each epoch."""
     rows = [(e, 0, i, 0, lo, hi, lo, hi, n, 0, 0) for e, blocks in epochs.items() for i, (lo, hi, n) in enumerate(blocks)]
     return spark.createDataFrame(rows, "epoch INT, rank INT, sst INT, offset BIGINT, obs_min FLOAT, obs_max FLOAT, exp_min FLOAT, exp_max FLOAT, item_count BIGINT, oob_count BIGINT, upd_round INT")
 
@@ -56,21 +57,41 @@ def test_closest_distance():
     assert PL.closest_distance([], 3.0) == float("inf")
 
 
-def test_runs_cut_only_over_budget():
-    assert PL.plan_runs([(0.0, 5), (1.0, 5), (2.0, 1)], 1, 10) == [PL.Run(0, 2, None)]
-    assert PL.plan_runs([(0.0, 5), (1.0, 6), (2.0, 1)], 1, 10) == [PL.Run(0, 1, 2.0), PL.Run(2, 2, None)]
-    assert PL.plan_runs([(0.0, 11), (1.0, 11), (1.0, 1)], 1, 10) == [PL.Run(0, 0, 1.0), PL.Run(1, 2, None)]
-    assert PL.plan_runs([], 1, 10) == []
-
-
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 30), st.integers(1, 20)), max_size=30), st.integers(1, 60))
-def test_runs_can_be_flushed(blocks, budget):
-    ranges = sorted((float(a), n) for a, n in blocks)
-    runs = PL.plan_runs(ranges, 1, budget)
-    assert [i for r in runs for i in range(r.first, r.last + 1)] == list(range(len(ranges)))
-    for r in runs[:-1]:
-        assert all(least >= r.cut for least, _ in ranges[r.last + 1 :])
+def plain_runs(blocks, value_size, budget):
+    """(run, first, last, cut, records) of blocks (least, greatest, records), one block after the other."""
+    blocks = sorted(blocks)
+    runs, first, held, last_cut = [], 0, 0, float("-inf")
+    for i, (least, _, n) in enumerate(blocks):
+        if held * value_size > budget and least > last_cut:
+            runs.append((len(runs), first, i - 1, least, held))
+            first, held, last_cut = i, 0, least
+        held += n
+    return [*runs, (len(runs), first, len(blocks) - 1, None, held)] if blocks else []
+
+
+@pytest.mark.parametrize("value_size, budget, parts", [(1, 10, 1), (8, 100, 5), (1, 0, 3), (0, 10, 2), (3, 1 << 40, 4)])
+def test_runs_are_those_of_the_plain_walk(spark, value_size, budget, parts):
+    rng = np.random.default_rng(5)
+    epochs = {0: [(0.0, 1.0, 11), (1.0, 1.0, 11), (1.0, 2.0, 1)], 1: [(2.0, 2.0, 3)] * 40, 2: [(float(a), float(a + 1), int(n)) for a, n in zip(rng.integers(0, 15, 90), rng.integers(0, 9, 90), strict=True)], 5: [(0.5, 0.5, 0)]}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = {tuple(r) for r in PL.run_plan(manifest(spark, epochs), value_size, budget).collect()}
+        one = [tuple(r) for r in PL.merge_runs(manifest(spark, epochs), 2, value_size, budget).orderBy("run").collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == {(e, *r) for e, blocks in epochs.items() for r in plain_runs(blocks, value_size, budget)}
+    assert one == plain_runs(epochs[2], value_size, budget)
+    assert PL.run_plan(manifest(spark, {}), 1, 10).collect() == []
+
+
+def test_no_run_is_cut_within_its_keys(spark):
+    rng = np.random.default_rng(6)
+    blocks = [(float(a), float(a), 4) for a in rng.integers(0, 6, 60)]
+    runs = PL.merge_runs(manifest(spark, {3: blocks}), 3, 1, 20).orderBy("run").collect()
+    least = sorted(a for a, _, _ in blocks)
+    assert [i for r in runs for i in range(r["sst_first"], r["sst_last"] + 1)] == list(range(60))
+    assert all(x >= r["cut"] for r in runs[:-1] for x in least[r["sst_last"] + 1 :])
 
 
 def test_pivots_of_nothing_are_uniform():
