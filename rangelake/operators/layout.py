@@ -11,7 +11,7 @@ from ..functions.predicates import valid_key
 FILE_RECORDS, BLOCK_RECORDS = 83_000_000, 1 << 16
 
 
-#: Records of a part of an epoch, so that a task sorts some hundred MB whatever the size of the epoch.
+#: Records of a task, so that it sorts some hundred MB whatever the size of the epochs.
 PART_RECORDS = 4_000_000
 
 
@@ -35,25 +35,18 @@ def write_records(records: DataFrame, path: str, mode: str = "errorifexists", ma
     records.write.mode(mode).option("maxRecordsPerFile", max_records).partitionBy("epoch").parquet(path)
 
 
-def compact(records: DataFrame, path: str, epochs: list[int] | None = None, parts_per_epoch: int | None = None, mode: str = "errorifexists", max_records: int = FILE_RECORDS) -> None:
-    """All epochs (or some) in key order, in one job: every epoch is cut into key ranges of its own.
+def compact(records: DataFrame, path: str, epochs: list[int] | None = None, part_records: int = PART_RECORDS, mode: str = "errorifexists", max_records: int = FILE_RECORDS) -> None:
+    """All epochs (or some) in key order, in one job: one range shuffle by (epoch, key), ties by rank and place.
 
-    One global range shuffle by (epoch, key) would give files that span epochs; here a file holds a
-    narrow range of keys of one epoch, so its statistics prune.  Without ``parts_per_epoch`` the
-    largest epoch is cut into parts of about ``PART_RECORDS``, at least 8.
+    A task gets about ``part_records`` records whatever the sizes of epochs: a large one is cut into many key ranges, small
+    ones share a task, and a key of very many records is cut by rank and place.  A task that holds several epochs writes a
+    file of each, so each file is a narrow range of keys of one epoch and its statistics prune.
     """
     own = records.where(valid_key(F.col("key")))
     own = own if epochs is None else own.where(F.col("epoch").isin(*epochs))
-    if parts_per_epoch is None:
-        most = own.groupBy("epoch").count().agg(F.max("count")).first()[0] or 0
-        parts_per_epoch = max(8, -(-most // PART_RECORDS))
-    shares = [k / parts_per_epoch for k in range(1, parts_per_epoch)]
-    cuts = own.groupBy("epoch").agg(F.percentile_approx("key", shares, max(10_000, 20 * parts_per_epoch)).alias("_cuts"))
-    met = own.join(cuts, "epoch")
-    met = met.withColumn("_part", F.size(F.filter("_cuts", lambda c: c <= F.col("key")))).drop("_cuts")
-    n = max(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts_per_epoch)
-    ordered = met.repartition(n, "epoch", "_part").sortWithinPartitions("epoch", "_part", "key").drop("_part")
-    write_records(ordered, path, mode, max_records)
+    order = ["epoch", "key", "rank", "pos"]
+    parts = max(1, -(-own.count() // part_records))
+    write_records(own.repartitionByRange(parts, *order).sortWithinPartitions(*order), path, mode, max_records)
 
 
 def read_epochs(spark, path: str) -> DataFrame:

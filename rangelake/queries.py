@@ -489,6 +489,21 @@ def rolled_records(spark, d):
     return r.select("epoch", "key", F.conv(F.hex("value"), 16, 10).cast("bigint").alias("event_id"))
 
 
+@_query(f"{_REC} SELECT epoch, rank, sst, pos, key, event_id FROM rec")
+def block_stream(spark, d):
+    """Block files taken as a stream in two goes: half of the epochs, then files that hold all."""
+    path, to, checkpoint = scratch(spark, "growing"), scratch(spark, "taken"), scratch(spark, "checkpoint")
+    B.register(spark)
+    value = F.unhex(F.lpad(F.hex("event_id"), 16, "0")).alias("value")
+    r = V.event_records(spark, d).select("epoch", "rank", "sst", "pos", "key", value)
+    for own in (r.where("epoch < 15"), r):
+        B.write_blocks(own, path, 8)
+        stream = spark.readStream.format("rdb").option("settle_ms", 50).load(path)
+        stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(to).awaitTermination()
+    got = spark.read.parquet(to)
+    return got.select("epoch", "rank", "sst", "pos", "key", F.conv(F.hex("value"), 16, 10).cast("bigint").alias("event_id"))
+
+
 def _compacted(spark, d):
     path = scratch(spark, "compacted")
     L.compact(V.event_records(spark, d), path)

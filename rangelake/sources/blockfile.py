@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import itertools
 import struct
+import time
 import uuid
 from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +29,7 @@ from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
     DataSourceReader,
+    DataSourceStreamReader,
     EqualTo,
     Filter,
     GreaterThan,
@@ -46,6 +49,8 @@ from ..schemas import MANIFEST, RECORD
 ITEM = np.dtype([("idx", "<u8"), ("offset", "<u8"), ("exp_min", "<f4"), ("exp_max", "<f4"), ("obs_min", "<f4"), ("obs_max", "<f4"), ("upd_round", "<u4"), ("item_count", "<u4"), ("oob_count", "<u4")])
 EPOCH, FOOTER = struct.Struct("<IQ"), struct.Struct("<IQQQ")
 TAIL = 4096
+#: Footers read at once when a read is planned.
+FOOTER_READS = 32
 #: Bytes of neighbouring blocks that one task reads.
 SPLIT = 64 << 20
 #: Values less than so many bytes apart are fetched by one read, of at most so many bytes.
@@ -68,16 +73,12 @@ def _open(path: str):
 
 
 def list_ranks(path: str) -> list[tuple[int, int]]:
-    """(rank, size) of ranks 0, 1, ... up to the first that has no file."""
+    """(rank, size) of ranks 0, 1, ... up to the first that has no file; the folder is listed once."""
     from pyarrow import fs
 
     system, root = _open(path)
-    out = []
-    for rank in itertools.count():
-        info = system.get_file_info(f"{root}/{file_name(rank)}")
-        if info.type != fs.FileType.File:
-            return out
-        out.append((rank, info.size))
+    size = {f.base_name: f.size for f in system.get_file_info(fs.FileSelector(root, allow_not_found=True)) if f.type == fs.FileType.File}
+    return [(rank, size[file_name(rank)]) for rank in itertools.takewhile(lambda r: file_name(r) in size, itertools.count())]
 
 
 @dataclass(frozen=True)
@@ -400,6 +401,20 @@ class Wanted:
         return np.flatnonzero(keep)
 
 
+def read_footers(path: str, ranks: list[tuple[int, int]]) -> Iterator[Footer]:
+    """The manifests of several files, ``FOOTER_READS`` of them at a time; sizes of keys and values have to agree."""
+    sizes = set()
+    with ThreadPoolExecutor(FOOTER_READS) as pool:
+        for k in range(0, len(ranks), 16 * FOOTER_READS):  # not all manifests in memory
+            for footer in pool.map(lambda r: read_footer(path, *r), ranks[k : k + 16 * FOOTER_READS]):
+                sizes.add((footer.key_size, footer.value_size))
+                if len(sizes) > 1:
+                    raise ValueError(f"key and value sizes differ between files: {sorted(sizes)}")
+                if footer.key_size != 4:
+                    raise ValueError("keys are 32-bit floats")
+                yield footer
+
+
 @dataclass
 class Blocks(InputPartition):
     """Blocks of one rank, in order of their place in the file."""
@@ -423,28 +438,10 @@ class _Reader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
+        """Files that a filter on rank rules out aren't opened."""
         out: list[InputPartition] = []
-        sizes = set()
-        for rank, size in list_ranks(self.path):
-            footer = read_footer(self.path, rank, size)
-            sizes.add((footer.key_size, footer.value_size))
-            if len(sizes) > 1:
-                raise ValueError(f"key and value sizes differ between files: {sorted(sizes)}")
-            if footer.key_size != 4:
-                raise ValueError("keys are 32-bit floats")
-            if not self.wanted.value("rank", rank):
-                continue
-            sst, pos = places(footer)
-            own, held = [], 0
-            for b in sorted(self.wanted.blocks(footer), key=lambda b: footer.items["offset"][b]):
-                item = footer.items[b]
-                own.append((int(footer.epochs[b]), int(sst[b]), int(pos[b]), int(item["offset"]), int(item["item_count"])))
-                held += int(item["item_count"]) * (4 + footer.value_size * self.values)
-                if held >= self.split:
-                    out.append(Blocks(self.path, rank, 4, footer.value_size, own))
-                    own, held = [], 0
-            if own:
-                out.append(Blocks(self.path, rank, 4, footer.value_size, own))
+        for footer in read_footers(self.path, [r for r in list_ranks(self.path) if self.wanted.value("rank", r[0])]):
+            out += _split(self.path, footer, self.wanted.blocks(footer), self.values, self.split)
         return out or [Blocks(self.path, -1, 4, 0, [])]
 
     def read(self, part: Blocks) -> Iterator[pa.RecordBatch]:
@@ -469,6 +466,21 @@ class _Reader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays(cols, names=(RECORD if self.values else KEYS).names)
 
 
+def _split(path: str, footer: Footer, blocks: np.ndarray, values: bool, split: int) -> Iterator[Blocks]:
+    """Some blocks of a file, in order of place, as parts of about ``split`` bytes."""
+    sst, pos = places(footer)
+    own, held = [], 0
+    for b in sorted(blocks, key=lambda b: footer.items["offset"][b]):
+        item = footer.items[b]
+        own.append((int(footer.epochs[b]), int(sst[b]), int(pos[b]), int(item["offset"]), int(item["item_count"])))
+        held += int(item["item_count"]) * (4 + footer.value_size * values)
+        if held >= split:
+            yield Blocks(path, footer.rank, 4, footer.value_size, own)
+            own, held = [], 0
+    if own:
+        yield Blocks(path, footer.rank, 4, footer.value_size, own)
+
+
 def places(footer: Footer) -> tuple[np.ndarray, np.ndarray]:
     """Each block's number within its epoch, and the place (from 1) of its first record within epoch and rank."""
     sst, pos = np.zeros(len(footer.items), np.int64), np.zeros(len(footer.items), np.int64)
@@ -481,6 +493,61 @@ def places(footer: Footer) -> tuple[np.ndarray, np.ndarray]:
     return sst, pos
 
 
+class _Stream(DataSourceStreamReader):
+    """Epochs of block files as they are completed: each is taken once, also after a restart.
+
+    A file counts when two looks in a row, ``settle_ms`` apart, find it at the same size.  An offset holds for each rank how
+    many of its epochs (in order of number) are taken; a file that is replaced by one with further epochs gives only these.
+    A stream that starts or starts again waits until the files that are there keep still, so it never goes back.
+    """
+
+    def __init__(self, options):
+        self.path, self.split = options["path"], int(options.get("split", SPLIT))
+        self.settle = int(options.get("settle_ms", 1000)) / 1000
+        self.seen: dict[int, int] | None = None
+        self.counted: dict[int, tuple[int, int]] = {}  # rank -> (size, epochs)
+
+    def initialOffset(self) -> dict:
+        return {"taken": []}
+
+    def _look(self) -> dict[int, int]:
+        return dict(list_ranks(self.path))
+
+    def latestOffset(self) -> dict:
+        now = self._look()
+        while self.seen is None or (not self.counted and now != self.seen):
+            self.seen = now
+            time.sleep(self.settle)
+            now = self._look()
+        still = [(r, n) for r, n in now.items() if self.seen.get(r) == n and self.counted.get(r, (-1,))[0] != n]
+        for footer in read_footers(self.path, still):
+            self.counted[footer.rank] = (now[footer.rank], len(np.unique(footer.epochs)))
+        self.seen = now
+        taken: list[list[int]] = []  # runs of ranks with as many epochs
+        for r in itertools.takewhile(lambda r: r in self.counted, itertools.count()):
+            n = self.counted[r][1]
+            if taken and taken[-1][0] == n:
+                taken[-1][1] += 1
+            else:
+                taken.append([n, 1])
+        return {"taken": taken}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        flat = lambda offset: [n for n, times in offset["taken"] for _ in range(times)]
+        before, after = flat(start), flat(end)
+        before += [0] * (len(after) - len(before))
+        new = {r: (a, b) for r, (a, b) in enumerate(zip(before, after, strict=False)) if b > a}
+        out: list[InputPartition] = []
+        for footer in read_footers(self.path, [r for r in list_ranks(self.path) if r[0] in new]):
+            a, b = new[footer.rank]
+            fresh = np.flatnonzero(np.isin(footer.epochs, np.unique(footer.epochs)[a:b]))
+            out += _split(self.path, footer, fresh, True, self.split)
+        return out or [Blocks(self.path, -1, 4, 0, [])]
+
+    def read(self, part: Blocks) -> Iterator[pa.RecordBatch]:
+        return _Reader({"path": part.path}, values=True).read(part)
+
+
 KEYS = StructType(RECORD.fields[:-1]).add("value_offset", LongType())
 
 
@@ -511,6 +578,9 @@ class RecordSource(KeySource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(self.options, values=True)
 
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
+        return _Stream(self.options)
+
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
         return BlockWriter(self.options, schema, overwrite)
 

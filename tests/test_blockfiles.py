@@ -136,3 +136,58 @@ def test_odd_writes(spark, tmp_path):
     many = spark.range(500).select((F.col("id") % 100).cast("int").alias("epoch"), F.col("id").cast("float").alias("key"), F.lit(b"").alias("value"))
     many.coalesce(1).write.format("rdb").mode("append").option("block_records", 4).save(path)
     assert spark.read.format("rdb").load(path).groupBy("epoch").count().where("count != 5").count() == 0
+
+
+# The stream
+
+
+def _take(spark, path, to, checkpoint):
+    stream = spark.readStream.format("rdb").option("settle_ms", 20).load(path)
+    q = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(to)
+    q.awaitTermination()
+    assert q.exception() is None
+    return sorted((r["epoch"], r["rank"], r["pos"], r["key"], bytes(r["value"])) for r in spark.read.parquet(to).collect())
+
+
+def test_a_stream_takes_each_epoch_once(spark, tmp_path):
+    B.register(spark)
+    path, to, checkpoint = (str(tmp_path / x) for x in ("in", "out", "checkpoint"))
+    block = lambda n: [(np.arange(n, dtype="f4"), np.zeros((n, 2), np.uint8))]
+    B.write_file(path, 0, {0: block(3), 2: block(4)}, 2)
+    B.write_file(path, 1, {0: block(5)}, 2)
+    B.write_file(path, 3, {0: block(9)}, 2)  # rank 2 isn't there yet
+    first = _take(spark, path, to, checkpoint)
+    assert len(first) == 12
+    assert _take(spark, path, to, checkpoint) == first  # started again, with nothing new
+    B.write_file(path, 0, {0: block(3), 2: block(4), 5: block(2)}, 2)
+    B.write_file(path, 2, {1: block(1)}, 2)
+    whole = sorted((r["epoch"], r["rank"], r["pos"], r["key"], bytes(r["value"])) for r in spark.read.format("rdb").load(path).collect())
+    assert _take(spark, path, to, checkpoint) == whole and len(whole) == 24
+
+
+def test_files_that_grow_are_left_alone(tmp_path, monkeypatch):
+    path = str(tmp_path)
+    block = [(np.arange(2, dtype="f4"), np.zeros((2, 2), np.uint8))]
+    B.write_file(path, 0, {0: block}, 2)
+    s = B._Stream({"path": path, "settle_ms": "0"})
+    assert s.latestOffset() == {"taken": [[1, 1]]}
+    B.write_file(path, 0, {0: block, 1: block}, 2)
+    B.write_file(path, 1, {0: block}, 2)
+    assert s.latestOffset() == {"taken": [[1, 1]]}  # seen at this size for the first time
+    assert s.latestOffset() == {"taken": [[2, 1], [1, 1]]}
+    parts = s.partitions({"taken": [[1, 1]]}, {"taken": [[2, 1], [1, 1]]})
+    assert sorted((p.rank, b[0]) for p in parts for b in p.blocks) == [(0, 1), (1, 0)]
+    size = dict(B.list_ranks(path))
+    looks = iter([{0: 5}, {0: size[0]}, size, size])
+    again = B._Stream({"path": path, "settle_ms": "0"})
+    monkeypatch.setattr(again, "_look", lambda: next(looks))
+    assert again.latestOffset()["taken"] == [[2, 1], [1, 1]]
+
+
+def test_reads_of_one_rank_open_one_file(spark, files, monkeypatch):
+    opened = []
+    real = B.read_footer
+    monkeypatch.setattr(B, "read_footer", lambda path, rank, size: opened.append(rank) or real(path, rank, size))
+    r = B._Reader({"path": files}, values=False)
+    list(r.pushFilters([B.EqualTo(("rank",), 1)]))
+    assert {p.rank for p in r.partitions()} == {1} and opened == [1]

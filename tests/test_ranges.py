@@ -95,7 +95,7 @@ def test_batch_covers_missing_epochs_and_ranks(spark):
 
 
 def test_filters_reach_the_scan(spark, tmp_path):
-    L.compact(records(spark, range(100)).unionByName(records(spark, range(50), epoch=1)), str(tmp_path / "c"), parts_per_epoch=4)
+    L.compact(records(spark, range(100)).unionByName(records(spark, range(50), epoch=1)), str(tmp_path / "c"), part_records=25)
     df = Q.range_query(L.read_epochs(spark, str(tmp_path / "c")), 1, 10, 12, ordered=False).select("key")
     plan = df._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(epoch" in plan and "GreaterThanOrEqual(key,10.0)" in plan
@@ -105,7 +105,7 @@ def test_filters_reach_the_scan(spark, tmp_path):
 def test_compaction_keeps_rows_and_orders_keys(spark, tmp_path):
     rng = np.random.default_rng(1)
     r = records(spark, [*rng.exponential(5, 300), 1.0, 1.0, 1.0])
-    L.compact(r, str(tmp_path / "c"), parts_per_epoch=4)
+    L.compact(r, str(tmp_path / "c"), part_records=25)
     back = L.read_epochs(spark, str(tmp_path / "c"))
     assert sorted(x["key"] for x in back.collect()) == sorted(x["key"] for x in r.collect())
     one = L.renumber(L.cluster_epoch(r, 0, 3), 16)
@@ -114,6 +114,18 @@ def test_compaction_keeps_rows_and_orders_keys(spark, tmp_path):
     assert all(a["hi"] <= b["lo"] for a, b in zip(ends, ends[1:], strict=False))
 
 
+def test_compaction_deals_epochs_of_unlike_sizes_and_hot_keys_evenly(spark, tmp_path):
+    big = spark.range(8000).selectExpr("0 AS epoch", "CAST(id % 4 AS INT) AS rank", "0 AS sst", "id AS pos", "CAST(IF(id % 2 = 0, 7, id) AS FLOAT) AS key")
+    small = spark.range(3000).selectExpr("CAST(1 + id % 60 AS INT) AS epoch", "0 AS rank", "0 AS sst", "id AS pos", "CAST(id AS FLOAT) AS key")
+    L.compact(big.unionByName(small), str(tmp_path / "c"), part_records=500)
+    back = L.read_epochs(spark, str(tmp_path / "c")).withColumn("file", F.input_file_name())
+    tasks = back.groupBy(F.regexp_extract("file", r"part-(\d+)", 1).alias("task")).count().collect()
+    assert sum(r["count"] for r in tasks) == 11000 and len(tasks) >= 15 and max(r["count"] for r in tasks) <= 1500
+    files = back.groupBy("epoch", "file").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).orderBy("epoch", "file").collect()
+    assert all(a["hi"] <= b["lo"] for a, b in zip(files, files[1:], strict=False) if a["epoch"] == b["epoch"])
+    assert sum(r["epoch"] == 0 for r in files) >= 10 and sum(r["epoch"] != 0 for r in files) <= 60 + len(tasks)
+
+
 def test_clustering_prunes_more(spark):
     rng = np.random.default_rng(2)
     r = records(spark, rng.exponential(5, 400), block=10)
