@@ -4,7 +4,12 @@ A tree builder with implied tags (unclosed paragraphs, list items, rows and cell
 row) and visibility rules (elements that never show, ``hidden``, ``display:none`` and
 ``visibility`` in style attributes and in simple style-sheet rules) feeds a renderer that keeps
 block spacing, list marks with indents, preformatted text and aligned table cells.  What stands in
-a table outside its rows is shown before it; formulas and the texts of drawings are shown.
+a table outside its rows is shown before it; formulas and the texts of drawings are shown.  Pages are seen on a
+screen of ``VIEWPORT`` pixels in light colours: media conditions are judged by that, and one that isn't known
+doesn't hold.  Closed ``details`` show their summary, a ``dialog`` that isn't open nothing.
+
+Work grows with the page: open elements are found by tag, ancestors that fit a selector are noted once, and tables
+inside tables are laid out from the innermost on, at any depth.
 
 Defined results: a null or empty page has an empty text; text without any tag is its own
 rendering; broken markup is read as far as it goes.
@@ -13,7 +18,6 @@ rendering; broken markup is read as far as it goes.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from html import unescape
 from itertools import groupby
 
@@ -24,12 +28,13 @@ from .common import columns, select, tune
 
 #: Fixed values of the HTML language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NEVER = frozenset("head script style template noscript iframe object canvas audio video datalist title meta link param source track noembed noframes area base col annotation annotation-xml".split())
+VIEWPORT = 1280
+NEVER = frozenset("rp head script style template noscript iframe object canvas audio video datalist title meta link param source track noembed noframes area base col annotation annotation-xml".split())
 #: Elements of a drawing that aren't drawn themselves.
 UNDRAWN = frozenset("desc metadata defs symbol clippath mask marker pattern".split())
 RAW = frozenset("script style noscript iframe noembed noframes template title textarea xmp".split())
 MARGIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure fieldset hr article section".split())
-BLOCK = MARGIN | frozenset("html body div main header footer nav aside address li dt dd tr form details summary figcaption center dir menu legend option optgroup caption thead tbody tfoot td th xmp".split())
+BLOCK = MARGIN | frozenset("html body div main header footer nav aside address li dt dd tr form details summary figcaption center dir menu legend option optgroup caption thead tbody tfoot td th xmp dialog".split())
 CLOSES_P = BLOCK - frozenset("html body li dt dd tr td th thead tbody tfoot caption option optgroup legend".split())
 #: Start tag -> open elements that it ends, and the elements that it doesn't look beyond.
 IMPLIED = {
@@ -53,7 +58,6 @@ _MARKUP = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _BRACE = re.compile(r"[{};]")
-_COMPOUND = re.compile(r"(\*|[a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)\Z")
 _SPACE = " \t\n\r\f"
 
 
@@ -71,22 +75,74 @@ def _attributes(raw: str) -> dict[str, str]:
     return out
 
 
-def _declarations(style: str) -> dict[str, str]:
-    pairs = (d.split(":", 1) for d in style.lower().split(";") if ":" in d)
-    return {k.strip(): v.replace("!important", "").strip() for k, v in pairs}
+def _declarations(style: str) -> tuple[dict[str, str], dict[str, str]]:
+    """The declarations of a rule or style attribute: plain ones, and important ones."""
+    plain, important = {}, {}
+    for name, colon, value in (d.partition(":") for d in style.lower().split(";")):
+        if colon:
+            value = value.strip()
+            bare = value.removesuffix("important").rstrip()
+            is_important = value.endswith("important") and bare.endswith("!")
+            (important if is_important else plain)[name.strip()] = bare[:-1].strip() if is_important else value
+    return plain, important
+
+
+_LENGTH = re.compile(r"(-?[\d.]+)(px|em|rem|cm|mm|in|pt)?\Z")
+#: Pixels of a unit, and conditions that hold of the screen.
+_PIXELS = {None: 1, "px": 1, "em": 16, "rem": 16, "in": 96, "cm": 96 / 2.54, "mm": 96 / 25.4, "pt": 96 / 72}
+_HOLDS = {("orientation", "landscape"), ("prefers-color-scheme", "light"), ("hover", "hover"), ("any-hover", "hover"), ("pointer", "fine"), ("any-pointer", "fine"), ("scripting", "none"), ("update", "fast"), ("color", ""), ("hover", ""), ("pointer", ""), ("width", ""), ("height", "")}
+_COMPARE = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "=": lambda a, b: a == b}
+
+
+def _pixels(length: str) -> float | None:
+    m = _LENGTH.match(length.strip())
+    try:
+        return float(m[1]) * _PIXELS[m[2]] if m else None
+    except ValueError:
+        return None
+
+
+def _feature(text: str) -> bool:
+    """Whether one bracketed condition holds."""
+    text = text.strip()
+    if parts := re.split(r"\s*([<>]=?)\s*", text)[:5]:
+        if len(parts) in (3, 5):
+            sides = [VIEWPORT if p.strip() == "width" else _pixels(p) for p in parts[::2]]
+            return None not in sides and all(_COMPARE[parts[k]](sides[k // 2], sides[k // 2 + 1]) for k in range(1, len(parts), 2))
+    name, _, value = (x.strip() for x in text.partition(":"))
+    if name in ("min-width", "max-width", "width", "min-device-width", "max-device-width") and value:
+        at = _pixels(value)
+        return at is not None and (VIEWPORT >= at if name.startswith("min") else VIEWPORT <= at if name.startswith("max") else at == VIEWPORT)
+    return (name, value) in _HOLDS
+
+
+def _media(condition: str) -> bool:
+    """Whether a list of media queries holds for the screen; brackets within brackets aren't read and don't hold."""
+    for one in condition.split(",") if condition.strip() else ["all"]:
+        one = one.strip()
+        turned = re.match(r"not\s+(?=\w)", one)
+        words = re.split(r"\s+(and|or)\s+", re.sub(r"^(?:not|only)\s+(?=\w)", "", one).strip())
+        held = []
+        for w in words[::2]:
+            no = re.match(r"not\s*\(", w)
+            w = w[3:].strip() if no else w
+            held.append((_feature(w[1:-1]) if w.startswith("(") and w.endswith(")") else w in ("screen", "all")) != bool(no))
+        if (any(held) if "or" in words[1::2] else all(held)) != bool(turned):
+            return True
+    return False
 
 
 def _screen_rules(css: str):
-    """(selector, declarations) of a style sheet in order; of conditional groups those for screens."""
+    """(selector, declarations) of a style sheet in order; of conditional groups those that hold."""
     css = re.sub(r"/\*.*?(?:\*/|\Z)", " ", css, flags=re.S)
     shown, at, head = [True], 0, None  # one entry for each open group
     for m in _BRACE.finditer(css):
         text, at = css[at : m.start()].strip(), m.end()
         if m[0] == "{":
             if text.startswith("@"):
-                word, _, condition = text.lower().partition(" ")
-                media = word != "@media" or not condition.strip() or any(re.match(r"(?:only\s+)?(?:screen|all)\b|\(|not\s+print\b", c.strip()) for c in condition.split(","))
-                shown.append(shown[-1] and media and word in ("@media", "@supports", "@layer", "@container"))
+                word, condition = re.match(r"(@[\w-]*)(.*)", text.lower(), re.S).groups()
+                holds = _media(condition) if word in ("@media", "@container") else not condition.strip().startswith("not") if word == "@supports" else word == "@layer"
+                shown.append(shown[-1] and holds)
                 head = None
             else:
                 head, body = text, m.end()
@@ -99,75 +155,139 @@ def _screen_rules(css: str):
                 shown.pop()
 
 
+_PART = re.compile(r"([.#])([\w-]+)|\[\s*([\w-]+)\s*(?:([~|^$*]?=)\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\]]+))\s*[is]?\s*)?\]|:not\(\s*([^()]*)\s*\)")
+#: Compounds of a selector that is read.
+MOST_COMPOUNDS = 32
+
+
+def _compound(text: str):
+    """(tag, classes, ids, tests) of a compound selector; a test is (name, operator, value) or a tuple of compounds that must not fit."""
+    tag = re.match(r"\*|[a-zA-Z][\w-]*", text)
+    at, classes, ids, tests = tag.end() if tag else 0, set(), set(), []
+    while at < len(text):
+        m = _PART.match(text, at)
+        if not m:
+            return None  # states, siblings
+        at = m.end()
+        if m[1]:
+            (classes if m[1] == "." else ids).add(m[2])
+        elif m[3]:
+            tests.append((m[3].lower(), m[4], next((v for v in m.group(5, 6, 7) if v is not None), "")))
+        else:
+            inner = tuple(_compound(c.strip()) for c in m[8].split(",")) if ":not" not in m[8] else (None,)
+            if None in inner:
+                return None
+            tests.append(inner)
+    return (tag[0].lower() if tag and tag[0] != "*" else None, frozenset(classes), frozenset(ids), tuple(tests)) if text else None
+
+
+_APART = re.compile(r"((?:[^\s>\[\]()]|\[[^\]]*\]|\([^)]*\))+)|\s*(>)\s*|\s+|(.)")
+
+
 def _selector(one: str):
-    """Compounds (sign: ' ' or '>', tag, classes, ids), the last one first; None for what isn't read (states, attributes, siblings)."""
-    parts = re.sub(r"\s*>\s*", " >", one.strip()).split()
-    out = []
-    for p in parts:
-        sign = ">" if p.startswith(">") else " "
-        m = _COMPOUND.match(p.lstrip(">"))
-        if not m or not m[0]:
+    """Pairs (compound, sign before it: ' ' or '>'), the last one first; None for what isn't read (states, siblings)."""
+    out, sign = [], " "
+    for m in _APART.finditer(one.strip()):
+        if m[1]:
+            c = _compound(m[1])
+            if c is None:
+                return None
+            out.append((c, sign))
+            sign = " "
+        elif m[2]:
+            sign = ">"
+        elif m[3]:
             return None
-        names = re.findall(r"([.#])([\w-]+)", m[2])
-        out.append((sign, m[1].lower() if m[1] and m[1] != "*" else None, frozenset(n for c, n in names if c == "."), frozenset(n for c, n in names if c == "#")))
-    return tuple(reversed(out)) or None
+    return tuple(reversed(out)) if 0 < len(out) <= MOST_COMPOUNDS else None
+
+
+def _split_heads(heads: str) -> list[str]:
+    """Selectors of a list; commas in brackets don't part it."""
+    return re.findall(r"(?:[^,\[(]|\[[^\]]*\]?|\([^)]*\)?)+", heads)
 
 
 def _add_rules(css: str, rules: dict) -> None:
     """Put a sheet's rules on display and visibility under a name that an element has to have for each."""
     for heads, text in _screen_rules(css):
-        d = {k: v for k, v in _declarations(text).items() if k in ("display", "visibility")}
-        for one in heads.split(",") if d else []:
+        kinds = [{k: v for k, v in d.items() if k in ("display", "visibility")} for d in _declarations(text)]
+        for one in _split_heads(heads) if any(kinds) else []:
             if s := _selector(one):
-                _, tag, classes, ids = s[0]
+                tag, classes, ids, _ = s[0][0]
                 key = "#" + min(ids) if ids else "." + min(classes) if classes else tag or "*"
-                weight = (sum(len(c[3]) for c in s), sum(len(c[2]) for c in s), sum(c[1] is not None for c in s), rules.setdefault("", 0))
+                inner = [t for c, _ in s for t in c[3]]
+                tests = sum(len(c[1]) for c, _ in s) + sum(isinstance(t[0], str) for t in inner)
+                nots = [max((len(c[2]), len(c[1]) + len(c[3]), int(c[0] is not None)) for c in t) for t in inner if not isinstance(t[0], str)]
+                weight = (sum(len(c[2]) for c, _ in s) + sum(n[0] for n in nots), tests + sum(n[1] for n in nots), sum(c[0] is not None for c, _ in s) + sum(n[2] for n in nots), rules.setdefault("", 0))
                 rules[""] += 1
-                rules.setdefault(key, []).append((weight, s, d))
+                rules.setdefault(key, []).append((weight, s, kinds))
+
+
+def _test(a: dict[str, str], name: str, op: str | None, want: str) -> bool:
+    if name not in a:
+        return False
+    v = a[name]
+    if op is None:
+        return True
+    if op == "=":
+        return v == want
+    if op == "~=":
+        return want in v.split()
+    if op == "|=":
+        return v == want or v.startswith(want + "-")
+    return bool(want) and (v.startswith(want) if op == "^=" else v.endswith(want) if op == "$=" else want in v)
 
 
 def _fits(node: Node, compound: tuple) -> bool:
-    _, tag, classes, ids = compound
+    tag, classes, ids, tests = compound
     a = node.attributes
-    return (tag is None or tag == node.tag) and (not ids or ids == {a.get("id")}) and (not classes or classes <= set(a.get("class", "").split()))
+    if not ((tag is None or tag == node.tag) and (not ids or ids == {a.get("id")}) and (not classes or classes <= set(a.get("class", "").split()))):
+        return False
+    return all(_test(a, *t) if isinstance(t[0], str) else not any(_fits(node, c) for c in t) for t in tests)
 
 
-def _applies(node: Node, selector: tuple) -> bool:
-    """Whether the selector's compounds fit the element and those around it, the nearest that will do each time."""
-    if not _fits(node, selector[0]):
+def _applies(node: Node, selector: tuple, memo: dict, k: int = 0) -> bool:
+    """Whether the selector's compounds from k on fit the element and those around it.
+
+    Whether an element or one around it fits from k on is noted, so each element is asked once for each k.
+    """
+    if not _fits(node, selector[k][0]):
         return False
-    sign = selector[0][0]
-    for compound in selector[1:]:
-        node = node.up
-        while node is not None and sign == " " and not _fits(node, compound):
-            node = node.up
-        if node is None or not _fits(node, compound):
-            return False
-        sign = compound[0]
-    return True
+    if k + 1 == len(selector):
+        return True
+    if selector[k][1] == ">":
+        return node.up is not None and _applies(node.up, selector, memo, k + 1)
+    noted, path, up = memo.setdefault((selector, k + 1), {}), [], node.up
+    while up is not None and id(up) not in noted:
+        path.append(up)
+        up = up.up
+    held = noted[id(up)] if up is not None else False
+    for n in reversed(path):
+        held = noted[id(n)] = held or _applies(n, selector, memo, k + 1)
+    return held
 
 
 def parse(html: str) -> tuple[Node, dict]:
     """The tree, and style-sheet rules on display and visibility."""
     root = Node("#root", {})
-    stack, rules, at, open_now = [root], {}, 0, Counter()
+    stack, rules, at = [root], {}, 0
+    places: dict[str, list[int]] = {}  # of open elements by tag, and of blocks
+    last_of = lambda name: places[name][-1] if places.get(name) else -1
 
     def push(node: Node) -> None:
+        for name in (node.tag, "#block") if node.tag in BLOCK else (node.tag,):
+            places.setdefault(name, []).append(len(stack))
         stack.append(node)
-        open_now[node.tag] += 1
 
     def cut(i: int) -> None:
-        open_now.subtract(n.tag for n in stack[i:])
-        del stack[i:]
+        while len(stack) > i:
+            tag = stack.pop().tag
+            for name in (tag, "#block") if tag in BLOCK else (tag,):
+                places[name].pop()
 
     def close(names: set[str], bounds: set[str]) -> None:
-        while any(open_now[t] for t in names):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in bounds:
-                    return
-                if stack[i].tag in names:
-                    cut(i)
-                    break
+        bound = max(map(last_of, bounds))
+        while (i := max(map(last_of, names))) > bound:
+            cut(i)
 
     low, last = None, html.rfind(">") + 1  # no tag ends after that
     while m := _MARKUP.search(html, at, last):
@@ -181,14 +301,10 @@ def parse(html: str) -> tuple[Node, dict]:
         if not tag:
             continue
         if m[1] or m[4]:
-            for i in () if not open_now[tag] else range(len(stack) - 1, 0, -1):
-                open_ = stack[i].tag
-                if open_ == tag:
-                    cut(i)
-                    break
-                # An inline end tag doesn't reach beyond a block; nothing reaches out of a cell but the table's own tags.
-                if (open_ in BLOCK and tag not in BLOCK) or (open_ in ("td", "th") and tag not in ("tr", "table", "tbody", "thead", "tfoot")):
-                    break
+            i = last_of(tag)
+            # An inline end tag doesn't reach beyond a block; nothing reaches out of a cell but the table's own tags.
+            if i > 0 and (tag in BLOCK or last_of("#block") < i) and (tag in ("tr", "table", "tbody", "thead", "tfoot") or max(last_of("td"), last_of("th")) <= i):
+                cut(i)
             continue
         raw = m[3] if m[2] else m[6]
         if stack[-1].tag == "head" and tag not in HEAD_ONLY:
@@ -197,7 +313,7 @@ def parse(html: str) -> tuple[Node, dict]:
             close(*IMPLIED[tag])
         elif tag in CLOSES_P:
             close({"p"}, {"td", "th", "table", "button", "caption", "li", "blockquote", "div", "section", "article", "#root"})
-        if tag in ("td", "th") and stack[-1].tag not in ("tr",) and open_now["table"] and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
+        if tag in ("td", "th") and stack[-1].tag not in ("tr",) and last_of("table") > 0 and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
             row = Node("tr", {}, stack[-1])
             stack[-1].children.append(row)
             push(row)
@@ -223,13 +339,33 @@ def parse(html: str) -> tuple[Node, dict]:
 
 
 def _style(node: Node, rules: dict) -> dict[str, str]:
-    out: dict[str, str] = {}
+    """The declarations that hold: of sheets by weight, then the element's own, then important ones likewise."""
     a = node.attributes
+    if not rules and "style" not in a:
+        return {}
+    plain, important = {}, {}
     if rules:
         names = [*("." + c for c in set(a.get("class", "").split())), node.tag, "*"] + (["#" + a["id"]] if "id" in a else [])
-        for _, _, d in sorted((r for n in names for r in rules.get(n, ()) if _applies(node, r[1])), key=lambda r: r[0]):
-            out |= d
-    return out | _declarations(a["style"]) if "style" in a else out
+        memo = rules.setdefault(" ", {})
+        for _, _, (some, most) in sorted((r for n in names for r in rules.get(n, ()) if _applies(node, r[1], memo)), key=lambda r: r[0]):
+            plain |= some
+            important |= most
+    if "style" in a:
+        some, most = _declarations(a["style"])
+        return plain | some | important | most
+    return plain | important
+
+
+def _gone(node: Node, style: dict[str, str]) -> bool:
+    """Whether neither the element nor anything in it is shown."""
+    return node.tag in NEVER or "hidden" in node.attributes or style.get("display") == "none" or (node.tag == "dialog" and "open" not in node.attributes)
+
+
+def _content(node: Node) -> list:
+    """An element's children that may show: of closed details the first summary."""
+    if node.tag != "details" or "open" in node.attributes:
+        return node.children
+    return next(([c] for c in node.children if isinstance(c, Node) and c.tag == "summary"), [])
 
 
 class _Lines:
@@ -321,7 +457,7 @@ def _rows(table: Node, rules: dict, visible: bool) -> tuple[list[Node], list[tup
             continue
         row = None
         style = _style(n, rules)
-        if n.tag in NEVER or "hidden" in n.attributes or style.get("display") == "none":
+        if _gone(n, style):
             continue
         v = style.get("visibility", "visible" if v else "hidden") not in ("hidden", "collapse")
         if n.tag == "tr":
@@ -350,7 +486,66 @@ def _drawn(svg: Node) -> None:
                 todo.append(c)
 
 
-def _render(children: list, rules: dict, visible: bool = True, depth: int = 0) -> list[str]:
+def _table(table: Node, rules: dict, visible: bool, done: dict) -> list[str] | None:
+    """The lines of a table, an empty one for space; None if it has no row."""
+    captions, rows, stray = _rows(table, rules, visible)
+    if not any(r for r, _ in rows):
+        return None
+    lines: list[str] = []
+    for shown, run in groupby(stray, key=lambda s: s[1]):  # browsers show it before the table
+        lines += _render([c for c, _ in run], rules, shown, done)
+    lines.append("")
+    lines += [line for c in captions for line in _render(c.children, rules, visible, done) if line]
+    return lines + _aligned(rows, rules, done)
+
+
+def _inner_tables(root: Node, rules: dict) -> dict[int, list[str] | None]:
+    """The lines of tables that lie in a table, by id(), made from the innermost on, so that none is laid out within another's making."""
+    found, todo = [], [(root, True, False)]
+    while todo:
+        n, v, within = todo.pop()
+        style = _style(n, rules)
+        if _gone(n, style):
+            continue
+        if "visibility" in style:
+            v = style["visibility"] not in ("hidden", "collapse")
+        if n.tag == "table":
+            if within:
+                found.append((n, v))
+            within = True
+        todo += [(c, v, within) for c in _content(n) if isinstance(c, Node)]
+    done: dict[int, list[str] | None] = {}
+    for n, v in reversed(found):
+        done[id(n)] = _table(n, rules, v, done)
+    return done
+
+
+_ROMAN = [(1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")]
+
+
+def _counted(n: int, kind: str) -> str:
+    """A list item's number as its list writes it."""
+    if kind in ("a", "A") and n > 0:
+        out = ""
+        while n:
+            n, k = divmod(n - 1, 26)
+            out = chr(97 + k) + out
+        return out.upper() if kind == "A" else out
+    if kind in ("i", "I") and 0 < n < 4000:
+        out = ""
+        for size, mark in _ROMAN:
+            out += mark * (n // size)
+            n %= size
+        return out.upper() if kind == "I" else out
+    return str(n)
+
+
+def _number(a: dict[str, str], name: str) -> int | None:
+    m = re.match(r"\s*(-?\d{1,8})\b", a.get(name, ""))
+    return int(m[1]) if m else None
+
+
+def _render(children: list, rules: dict, visible: bool, done: dict) -> list[str]:
     w = _Lines()
     lists: list[list] = []
     pre = 0
@@ -375,7 +570,7 @@ def _render(children: list, rules: dict, visible: bool = True, depth: int = 0) -
             continue
         tag, a = item.tag, item.attributes
         style = _style(item, rules)
-        if tag in NEVER or "hidden" in a or style.get("display") == "none" or (tag == "input"):
+        if _gone(item, style) or tag == "input":
             continue
         if "visibility" in style:
             v = style["visibility"] not in ("hidden", "collapse")
@@ -385,19 +580,13 @@ def _render(children: list, rules: dict, visible: bool = True, depth: int = 0) -
             continue
         if tag == "svg":
             _drawn(item)
-        if tag == "table" and depth < 40:
-            captions, rows, stray = _rows(item, rules, v)
-            if any(r for r, _ in rows):
+        if tag == "table":
+            lines = done.pop(id(item)) if id(item) in done else _table(item, rules, v, done)
+            if lines is not None:
                 w.end()
                 w.margin = True
-                for shown, run in groupby(stray, key=lambda s: s[1]):  # browsers show it before the table
-                    for line in _render([c for c, _ in run], rules, shown, depth + 1):
-                        w.margin = w.margin or not line
-                        w.text(line, True)
-                        w.end()
-                w.margin = True
-                lines = [line for c in captions for line in _render(c.children, rules, v, depth + 1)]
-                for line in lines + _aligned(rows, rules, depth):
+                for line in lines:
+                    w.margin = w.margin or not line
                     w.text(line, True)
                     w.end()
                 w.margin = True
@@ -407,12 +596,17 @@ def _render(children: list, rules: dict, visible: bool = True, depth: int = 0) -
             w.margin = w.margin or (tag in MARGIN and not (tag in ("ul", "ol") and lists))
         indents = 0
         if tag in ("ul", "ol", "menu", "dir"):
-            lists.append([tag == "ol", int(a["start"]) if a.get("start", "").isdigit() and len(a["start"]) < 9 else 1])
+            start, step = _number(a, "start"), -1 if "reversed" in a else 1
+            if start is None:
+                start = sum(isinstance(c, Node) and c.tag == "li" for c in item.children) if step < 0 else 1
+            lists.append([tag == "ol", start, step, a.get("type", "")])
         elif tag == "li":
             mark = "- "
             if lists and lists[-1][0]:
-                mark = f"{lists[-1][1]}. "
-                lists[-1][1] += 1
+                now = _number(a, "value")
+                now = lists[-1][1] if now is None else now
+                mark = f"{_counted(now, lists[-1][3])}. "
+                lists[-1][1] = now + lists[-1][2]
             w.indent.append(" " * len(mark))
             w.mark, indents = mark, 1
         elif tag in ("blockquote", "dd"):
@@ -421,12 +615,12 @@ def _render(children: list, rules: dict, visible: bool = True, depth: int = 0) -
         is_pre = tag in ("pre", "xmp", "textarea")
         pre += is_pre
         todo.append(((tag, indents, is_pre, tag in ("ul", "ol", "menu", "dir")), v))
-        todo += [(c, v) for c in reversed(item.children)]
+        todo += [(c, v) for c in reversed(_content(item))]
     w.end()
     return w.lines
 
 
-def _aligned(rows: list[tuple[Node, bool]], rules: dict, depth: int) -> list[str]:
+def _aligned(rows: list[tuple[Node, bool]], rules: dict, done: dict) -> list[str]:
     """Each row one line, its cells padded to the widest of their column; a cell's own lines are joined."""
     grid = []
     held: dict[int, int] = {}  # column -> rows for which a cell from above still fills it
@@ -441,11 +635,11 @@ def _aligned(rows: list[tuple[Node, bool]], rules: dict, depth: int) -> list[str
                     cells.append(" ".join(c.split()))
                 continue
             style = _style(c, rules)
-            if c.tag in NEVER or "hidden" in c.attributes or style.get("display") == "none":
+            if _gone(c, style):
                 continue
             shown = style.get("visibility", "visible" if v else "hidden") not in ("hidden", "collapse")
             inner = c.children if c.tag in ("td", "th") else [c]
-            cells.append(" ".join(" ".join(_render(inner, rules, shown, depth + 1)).split()))
+            cells.append(" ".join(" ".join(_render(inner, rules, shown, done)).split()))
             across, down = (int(n) if n.isdecimal() and n.isascii() and len(n) < 6 else 1 for n in (c.attributes.get("colspan", ""), c.attributes.get("rowspan", "")))
             across = max(1, min(across, 1000))  # as the language has it
             if down > 1:
@@ -467,7 +661,7 @@ def extract(html: str | None) -> str:
     if not html:
         return ""
     root, rules = parse(html.replace("\r\n", "\n").replace("\r", "\n"))
-    return "\n".join(_render(root.children, rules)).strip("\n")
+    return "\n".join(_render(root.children, rules, True, _inner_tables(root, rules))).strip("\n")
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

@@ -6,7 +6,9 @@ propagates constants through later uses (``b = a``, ``"x" + a``, ``"${a}"``) and
 literal by how sensitive the name is that it reaches and by how random it looks.
 
 A constant is put in where it is used while the value has at most ``LONGEST`` characters; beyond that its use is an
-unknown name, so values that grow by themselves cost no more than others.
+unknown name, so values that grow by themselves cost no more than others.  A value without quotes ends at a blank or
+bracket; in a run of more than ``LONGEST`` characters without any it ends at the next operator as well, so that each
+character of such a run is of one value and not of all before it.
 
 Defined results: a null or empty text has no span; offsets are in code points, end exclusive;
 repeated rows are scanned each by itself; a null id is kept.
@@ -41,7 +43,9 @@ _OPERATOR = re.compile(r":=|=>|[=:]")
 # Read backwards from the operator: blanks, the end of a quoted or bracketed name, the name.
 _NAME = re.compile(r"""[ \t]*["']?(?:\]["']?)?([\w$.\-]+)""", re.ASCII)
 _NAME_START = re.compile(r"[A-Za-z_$]", re.ASCII)
-_TERM = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([^\s"'`,;#(){}\[\]<>+]+))""")
+_QUOTED = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`)""")
+_GAP = re.compile(r"[ \t]*")
+_RUN = re.compile(r"""[^\s"'`,;#(){}\[\]<>+]+""")
 _PLUS = re.compile(r"[ \t]*(?:\+|\.\.)(?=[ \t]*[\"'`\w$])")
 _REFERENCE = re.compile(r"\$\{([A-Za-z_][\w.\-]*)\}|\$([A-Za-z_]\w*)|\{([A-Za-z_]\w*)\}", re.ASCII)
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+", re.ASCII)
@@ -102,38 +106,56 @@ def _name_before(text: str, end: int) -> str | None:
 def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
     """(name, value, places of the value's literals) of each assignment, constants put in where they are used."""
     known: dict[str, tuple[str, list[tuple[int, int]]]] = {}
-    at = 0
+    at, run = 0, (0, 0)  # the last run of characters without quotes
     for op in _OPERATOR.finditer(text):
         if op.start() < at or text[op.end() : op.end() + 1] in ("=", "/") or text[op.start() - 1 : op.start()] in ("!", "<", ">", "="):
             continue
         name = _name_before(text, op.start())
         if not name:
             continue
-        value, places, pos = "", [], op.end()
-        while term := _TERM.match(text, pos):
-            k = term.lastindex
-            part, start = term[k], term.start(k)
-            if k == 4 and part in known:
+        value, places, pos, quoted = "", {}, op.end(), False
+        while True:
+            if term := _QUOTED.match(text, pos):
+                k = term.lastindex
+                start, end, stop, quoted = term.start(k), term.end(k), term.end(), True
+            else:
+                start = _GAP.match(text, pos).end()
+                if not run[0] <= start < run[1]:
+                    if not (found := _RUN.match(text, start)):
+                        break
+                    run = found.span()
+                end, quoted = run[1], False
+                if places and _OPERATOR.search(text, start, end):  # behind a plus: the next assignment
+                    break
+                if end - start > LONGEST and (inner := _OPERATOR.search(text, start, end)):
+                    end = inner.start()
+                    if end == start:
+                        break
+                stop = end
+            part = text[start:end]
+            if not quoted and part in known:
                 if len(value) + len(known[part][0]) <= LONGEST:
-                    value, places = value + known[part][0], list(dict.fromkeys(places + known[part][1]))
-            elif part and not (k == 4 and part.isalpha()):  # a bare word of letters is a name or a keyword
+                    value += known[part][0]
+                    places.update(dict.fromkeys(known[part][1]))
+            elif part and (quoted or not part.isalpha()):  # a bare word of letters is a name or a keyword
                 refs = [r for r in _REFERENCE.finditer(part) if (r[1] or r[2] or r[3]) in known] if "{" in part or "$" in part else []
                 for r in reversed(refs):
                     put = known[r[1] or r[2] or r[3]]
                     if len(part) + len(put[0]) > LONGEST:
                         continue
-                    part, places = part[: r.start()] + put[0] + part[r.end() :], put[1] + places
+                    part = part[: r.start()] + put[0] + part[r.end() :]
+                    places.update(dict.fromkeys(put[1]))
                 value += part
                 if not refs:
-                    places = [*places, (start, term.end(k))]
-            pos = term.end()
+                    places[start, end] = None
+            pos = stop
             if not (plus := _PLUS.match(text, pos)):
                 break
             pos = plus.end()
         if places:
             at = pos if text[pos - 1 : pos] in "\"'`" else op.end()
-            known[name] = (value, places)
-            yield name, value, places
+            known[name] = (value, list(places))
+            yield name, value, known[name][1]
 
 
 def scan(text: str | None, threshold: float = 0.5) -> list[tuple[str, int, int, int, float]]:

@@ -3,6 +3,7 @@
 import bisect
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -326,3 +327,72 @@ def test_html_text_that_stands_in_a_table_outside_its_rows():
 def test_html_text_of_formulas_and_drawings():
     assert html.extract("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math></p>") == "so x=1"
     assert html.extract("<svg><title>no</title><defs><text>no</text></defs><text>one</text><text>two <tspan>three</tspan></text></svg>") == "one\ntwo three"
+
+
+@pytest.mark.parametrize("condition, shown", [
+    ("(max-width:1px)", True), ("(max-width: 600px)", True), ("screen and (max-width:40em)", True), ("(min-width:1px)", False), ("screen and (min-width:768px) and (max-width:2000px)", False),
+    ("print", True), ("print, screen", False), ("not print", False), ("not screen", True), ("only screen", False), ("(width <= 600px)", True), ("(400px <= width <= 1400px)", False), ("(orientation:portrait)", True),
+    ("(prefers-color-scheme:dark)", True), ("(prefers-color-scheme:light)", False), ("(unheard-of:1)", True), ("(max-width:1px) or (min-width:2px)", False), ("", False), ("not (max-width:1px)", False), ("(max-width:600px), print", True),
+])
+def test_html_media_conditions_are_judged_by_one_screen(condition, shown):
+    assert html.extract(f"<style>@media {condition}{{p{{display:none}}}}</style><p>text</p>") == ("text" if shown else "")
+
+
+@pytest.mark.parametrize("raw, want", [
+    ("a<dialog>no</dialog><dialog open>yes</dialog>", "a\nyes"),
+    ("<details>no<summary>head</summary>no</details><details open><summary>h</summary>in</details>", "head\nh\nin"),
+    ("<ruby>字<rp>(</rp><rt>zi</rt><rp>)</rp></ruby>", "字zi"),
+    ("<style>p:not(.a){display:none}</style><p class=a>yes</p><p>no</p>", "yes"),
+    ("<style>[data-x=\"1\"]{display:none} [aria-hidden]{display:none}</style><p data-x=1>no</p><p data-x=2>yes</p><p aria-hidden=true>no</p>", "yes"),
+    ("<style>a[href^=http]{display:none}</style><a href=http://x>no</a><a href=/y>yes</a>", "yes"),
+    ("<style>.a > .b .c{display:none}</style><div class=a><div class=b><div class=b><i class=c>no</i></div></div></div><div class=b><i class=c>yes</i></div>", "yes"),
+    ("<style>p{display:none !important}</style><p style='display:block'>no</p>", ""),
+    ("<style>p{display:none}</style><p style='display:block'>yes</p>", "yes"),
+    ("<style>p{display:block !important}</style><p style='display:none'>yes</p>", "yes"),
+    ("<style>a:hover{display:none} h1 + p{display:none} p{}</style><h1>t</h1><p>yes</p>", "t\n\nyes"),
+    ("<ol><li>a<li value=7>b<li>c</ol>", "1. a\n7. b\n8. c"),
+    ("<ol type=A start=26><li>a<li>b</ol><ol type=i reversed><li>a<li>b<li>c<li>d</ol>", "Z. a\nAA. b\n\niv. a\niii. b\nii. c\ni. d"),
+])
+def test_html_rules_of_visibility_and_lists(raw, want):
+    assert html.extract(raw) == want
+
+
+def test_html_tables_in_tables_at_any_depth():
+    def nest(n):
+        return "<table><tr><td>a<td>" * n + "x" + "</table>" * n
+
+    assert html.extract(nest(3)) == "a  a a x"
+    for n in (45, 1500):
+        assert html.extract(nest(n)) == "a  " + "a " * (n - 1) + "x"
+    assert html.extract("<div style='visibility:hidden'><table><tr><td>no<table><tr><td style='visibility:visible'>yes</table></table></div>") == "yes"
+
+
+@pytest.mark.parametrize("page", [
+    lambda n: "<li><ul>" + "<b>" * n + "<li></li>" * n, lambda n: "<i><div>" + "<b>" * n + "</i>" * n, lambda n: "<style>.zz div{display:none}</style>" + "<div>" * n + "x",
+    lambda n: "<style>.a > .b .c .d{display:none}</style>" + "<div class='b c d'>" * n + "x", lambda n: "<table><tr><td>" * (n // 4) + "x", lambda n: "<p>" * n + "</p>" * n,
+])
+def test_html_hostile_pages_take_linear_time(page):
+    def seconds(n):
+        began = time.perf_counter()
+        html.extract(page(n))
+        return time.perf_counter() - began
+
+    seconds(500)
+    assert seconds(24_000) < 12 and seconds(24_000) < 6 * max(seconds(8_000), 0.05)
+
+
+@pytest.mark.parametrize("unit", ["a=", "a:", "token=", "a =b ", "x=y+", "a='b'+", "token=abc+token="])
+def test_secrets_hostile_texts_take_linear_time(unit):
+    def seconds(n):
+        began = time.perf_counter()
+        secrets.scan(unit * (n // len(unit)))
+        return time.perf_counter() - began
+
+    assert seconds(240_000) < 12 and seconds(240_000) < 6 * max(seconds(80_000), 0.05)
+
+
+def test_secrets_in_very_long_runs_are_found():
+    value = "q8Zk29dLmP0sXy7"
+    text = "pad=" + "abc/" * 2000 + "&client_key=" + value + " " + "x" * 5000
+    assert any(k == "literal" and text[a:b].startswith(value) for k, a, b, *_ in secrets.scan(text))
+    assert any(k == "literal" and text[a:b] == value for text in [f"url=http://h?client_key={value}"] for k, a, b, *_ in secrets.scan(text))
