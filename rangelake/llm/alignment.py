@@ -34,7 +34,7 @@ from .bpe import _planes, _unplanes
 from .common import columns, save, select, tune
 
 #: Characters of a chunk, bytes whose owners are laid out at once, and distinct units a worker remembers.
-CHUNK, SLICE, MEMORY = 16_000_000, 1 << 22, 500_000
+CHUNK, SLICE, MEMORY = 8_000_000, 1 << 21, 400_000
 #: Here both vocabularies end a token, whatever stands around.
 _CUT = re.compile("(?<=[!-~À-ɏ]) (?=[!-~À-ɏ])")
 
