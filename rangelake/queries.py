@@ -11,6 +11,7 @@ from . import views as V
 from .functions import physics as P
 from .functions import predicates as R
 from .operators import analytics as A
+from .operators import bitmaps as BM
 from .operators import intervals as I
 from .operators import layout as L
 from .operators import manifest as M
@@ -165,6 +166,39 @@ def open_range_count(spark, d):
     return V.event_keys(spark, d).where(R.in_range(F.col("key"), 0.51, 20, "neither")).agg(F.count("*").alias("n"))
 
 
+_EDGES = (0.0, 1.0, 2.0, 5.0, 10.0, 20.0, 50.0, 100.0, 200.0)
+_INDEX = f"""{_REC}, ix AS (SELECT epoch, rank, sst, {" + ".join(f"CASE WHEN key >= {_F(e)} THEN 1 ELSE 0 END" for e in _EDGES)} AS bin, count(*) AS n, min(key) AS least, max(key) AS most FROM rec GROUP BY ALL),
+pt AS (SELECT *, least > {_F(0.51)} AND most < {_F(20)} AS whole FROM ix WHERE most > {_F(0.51)} AND least < {_F(20)})"""
+
+
+@_query(f"""{_INDEX} SELECT (SELECT count(*) FROM rec WHERE key > {_F(0.51)} AND key < {_F(20)}) AS hits, CAST(sum(n) FILTER (whole) AS BIGINT) AS from_index, CAST(coalesce(sum(n) FILTER (NOT whole), 0) AS BIGINT) AS checked,
+ (SELECT count(*) FROM (SELECT DISTINCT epoch, rank, sst FROM pt WHERE NOT whole)) AS blocks_checked, (SELECT count(*) FROM man WHERE obs_max > {_F(0.51)} AND obs_min < {_F(20)}) AS blocks,
+ (SELECT CAST(sum(item_count) AS BIGINT) FROM man WHERE obs_max > {_F(0.51)} AND obs_min < {_F(20)}) AS block_records FROM pt""")
+def bitmap_report(spark, d):
+    """What an open range takes by the bitmap index, and by the catalog."""
+    r = V.event_records(spark, d)
+    return BM.index_report(BM.build_index(r, _EDGES), r, 0.51, 20)
+
+
+@_query(f"{_REC} SELECT epoch, rank, sst, pos FROM rec WHERE key > {_F(0.51)} AND key < {_F(20)}")
+def bitmap_range(spark, d):
+    r = V.event_records(spark, d)
+    return BM.indexed_range(BM.build_index(r, _EDGES), r, 0.51, 20)
+
+
+@_query(f"{_INDEX} SELECT epoch, rank, sst, bin, n, least, most FROM ix")
+def bitmap_index(spark, d):
+    return BM.build_index(V.event_records(spark, d), _EDGES).drop("first", "bitmap")
+
+
+@_query(f"""{_REC} SELECT epoch // 3 AS file, min(epoch // 3 * 3) AS first_epoch, max(epoch // 3 * 3 + 2) AS last_epoch, count(DISTINCT epoch) AS epochs, count(*) AS hits
+ FROM rec WHERE key > {_F(0.51)} AND key < {_F(20)} GROUP BY epoch // 3""")
+def epoch_files(spark, d):
+    """Hits of an open range by the file that holds their epoch."""
+    own = BM.epoch_files(V.event_keys(spark, d).where(R.in_range(F.col("key"), 0.51, 20, "neither")))
+    return own.groupBy("file").agg(F.min("first_epoch").alias("first_epoch"), F.max("last_epoch").alias("last_epoch"), F.countDistinct("epoch").alias("epochs"), F.count("*").alias("hits"))
+
+
 @_query(f"{_REC}, p AS (SELECT min(key) AS k FROM rec WHERE epoch = 4) SELECT epoch, rank, key, event_id FROM rec, p WHERE epoch = 4 AND key = k")
 def point_query(spark, d):
     r = V.event_records(spark, d)
