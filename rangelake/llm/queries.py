@@ -117,6 +117,24 @@ SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(n_links, 0) AS n
 FROM documents LEFT JOIN c ON c.a = doc_id LEFT JOIN k ON k.a = doc_id"""
 
 
+#: CRC-32 a byte at a time over each distinct word, by the table of its polynomial; digits of hexadecimal text by their place.
+_DIGIT = lambda text, at: f"(instr('0123456789abcdef', substr({text}, {at}, 1)) - 1)"
+_WORDS_OF = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_RESAMPLING_SQL = f"""WITH d AS MATERIALIZED (SELECT doc_id, unnest({_WORDS_OF}) AS w FROM documents), q AS MATERIALIZED (SELECT unnest({_WORDS_OF}) AS w FROM benchmark),
+c AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY i) AS crc FROM (SELECT unnest(range(256)) AS i)),
+v AS (SELECT w, lower(hex(encode(w))) AS h FROM (SELECT w FROM d UNION SELECT w FROM q)),
+b AS MATERIALIZED (SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, [CAST({_DIGIT("h", "2 * k + 1")} * 16 + {_DIGIT("h", "2 * k + 2")} AS BIGINT) FOR k IN range(len(h) // 2)]),
+ lambda x, y: xor(x >> 8, crc[(xor(x, y) & 255) + 1])), 4294967295) % 10000 AS bucket FROM v, c),
+s AS (SELECT bucket, count(*) AS n FROM d JOIN b USING (w) GROUP BY bucket), t AS (SELECT bucket, count(*) AS n FROM q JOIN b USING (w) GROUP BY bucket),
+a AS (SELECT (SELECT count(*) FROM d) AS s_all, (SELECT count(*) FROM q) AS t_all),
+g AS (SELECT s.bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (s_all + 10000) / ((s.n + 1)::DOUBLE * (t_all + 10000)))) AS BIGINT) AS gain FROM a, s LEFT JOIN t ON t.bucket = s.bucket),
+f AS (SELECT doc_id, count(*) AS n, sum(gain) AS total FROM d JOIN b USING (w) JOIN g USING (bucket) GROUP BY doc_id),
+h AS (SELECT documents.doc_id, coalesce(n, 0) AS n_features, CAST(coalesce(floor(total::DOUBLE / n), 0) AS BIGINT) AS weight, sha256('2024:' || documents.doc_id) AS own FROM documents LEFT JOIN f ON f.doc_id = documents.doc_id),
+e AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((list_sum([CAST({_DIGIT("own", "k")} AS BIGINT) * (1::BIGINT << (4 * (8 - k))) FOR k IN range(1, 9)])::DOUBLE + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM h),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS k, count(*) OVER () AS able FROM e WHERE n_features >= 20)
+SELECT e.doc_id, n_features, weight, score, CASE WHEN k <= 10 * able // 100 THEN k END AS rank FROM e LEFT JOIN r ON r.doc_id = e.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """SQL of the join; the others have no SQL form (or none of exactly their sums), and tests hold them against plain versions."""
-    return {"op9_ngram_jaccard_join": _JACCARD_SQL}
+    """SQL of the join and of the resampling; the others have no SQL form (or none of exactly their sums), and tests hold them against plain versions."""
+    return {"op9_ngram_jaccard_join": _JACCARD_SQL, "op12_importance_resampling": _RESAMPLING_SQL}

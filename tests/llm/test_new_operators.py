@@ -276,3 +276,14 @@ def test_byte_streams_are_packed(spark):
     assert [list(r["ids"]) for r in streams] == [[1, 2, 3]]
     assert np.frombuffer(streams[0]["ends"], "<i8").tolist() == [3, 3, 4]
     assert np.frombuffer(streams[0]["stream"], "<u2").tolist() == [zlib.crc32(w) % 10_000 for w in (b"a", b"b", b"a", b"c")]
+
+
+def test_resampling_equals_its_sql(spark):
+    import duckdb
+
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    want = con.execute(f"SELECT doc_id, n_features, weight, score, rank FROM ({queries.oracle_sql()['op12_importance_resampling']})").fetchall()
+    assert sorted(map(tuple, queries.queries()["op12_importance_resampling"](spark, folder).collect())) == sorted(want)
