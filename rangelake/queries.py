@@ -23,6 +23,7 @@ from .plans import planner as PL
 from .runtime import scratch
 from .schemas import flt
 from .sources import blockfile as B
+from .streaming import frames as FR
 from .streaming import layouts as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -467,6 +468,27 @@ def stream_layouts(spark, d):
     return S.layouts(_streamed(spark, d))
 
 
+# Buffered frames
+
+_FRAMES, _KINDS = 4, (FR.Species("electron", -1.0, 1.0), FR.Species("ion", 1.0, 400.0))
+
+
+@_query(f"""WITH e AS (SELECT CAST(user_id % 8 AS INTEGER) AS rank, CAST(dayofmonth(ts) AS BIGINT) AS day, CASE WHEN event_id % 3 = 0 THEN 'ion' ELSE 'electron' END AS species, CAST(event_id % 1000000 AS FLOAT) AS w, CAST(value AS FLOAT) AS x FROM events),
+k AS (SELECT *, dense_rank() OVER (PARTITION BY rank ORDER BY day) - 1 AS i FROM e), m AS (SELECT rank, max(i) + 1 AS n FROM k GROUP BY rank),
+l AS (SELECT rank, i // {_FRAMES} AS b, max(day) AS step FROM k GROUP BY rank, i // {_FRAMES})
+SELECT l.step, k.rank, species, CAST(i % {_FRAMES} AS INTEGER) AS frame, CAST(day / 2 AS FLOAT) AS t, w, x FROM k JOIN m ON m.rank = k.rank JOIN l ON l.rank = k.rank AND l.b = i // {_FRAMES} WHERE i // {_FRAMES} < n // {_FRAMES}""")
+def buffered_frames(spark, d):
+    """Events as tracers, a day a step, through buffers of four frames: what the dumped files hold."""
+    day = F.dayofmonth("ts")
+    kind = F.when(F.col("event_id") % 3 == 0, "ion").otherwise("electron")
+    t = V.table(spark, d, "events").select(
+        (F.col("user_id") % 8).cast("int").alias("rank"), day.cast("bigint").alias("step"), (day / 2).alias("t"), kind.alias("species"), F.col("event_id").alias("tag"), (F.col("event_id") % 1000000).cast("float").alias("w"), F.col("value").cast("float").alias("x")
+    )
+    path = scratch(spark, "frames")
+    FR.write_files(FR.dump_frames(t, _KINDS, ("w", "x"), _FRAMES), path)
+    return FR.read_dumps(spark, path, ("w", "x"))
+
+
 # Block files and compacted epochs
 
 
