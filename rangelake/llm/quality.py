@@ -83,10 +83,11 @@ class Vectors:
             return out
         if len(self.at) > self.most:
             self.clear()
-        rows = self.rows(tokens)
-        count = np.bincount(rows)
-        used = np.flatnonzero(count)
-        out[: 2 * DIM] = count[used].astype(np.float32) @ self.matrix[used] / len(tokens)
+        # Tokens in order of first use, so sums don't depend on what was read before.
+        used, first, count = np.unique(self.rows(tokens), return_index=True, return_counts=True)
+        order = np.argsort(first)
+        used, count = used[order], count[order]
+        out[: 2 * DIM] = count.astype(np.float32) @ self.matrix[used] / len(tokens)
         lines = text.split("\n")
         out[2 * DIM :] = np.log1p(len(tokens)) / 10, len(used) / len(tokens), len(set(lines)) / len(lines)
         return out
@@ -146,7 +147,7 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = 0, epochs: int = 60) -> tupl
 def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
     """A model learned from at most ``bound`` labelled rows."""
     tune(docs.sparkSession)
-    sample = save(labelled_sample(docs, labels, "quality", bound).select("text", F.col("y").cast("int").alias("y")), "quality-sample")
+    sample = save(labelled_sample(docs, labels, "quality", bound).select("doc_id", "text", F.col("y").cast("int").alias("y")), "quality-sample")
 
     def count(batches):
         c: Counter = Counter()
@@ -199,9 +200,11 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
         vectors = Vectors(model.words, model.context)
         for b in batches:
             texts, ys = columns(b, "text", "y")
-            yield pa.RecordBatch.from_arrays([pa.array([vectors.document(t) for t in texts], pa.list_(pa.float32())), pa.array(ys, pa.int32())], names=["v", "y"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([vectors.document(t) for t in texts], pa.list_(pa.float32())), pa.array(ys, pa.int32())], names=["doc_id", "v", "y"])
 
-    rows = sample.mapInArrow(pooled, "v array<float>, y int").collect()  # at most ``bound`` rows
+    kind = sample.schema["doc_id"].dataType.simpleString()
+    rows = sample.mapInArrow(pooled, f"doc_id {kind}, v array<float>, y int").collect()  # at most ``bound`` rows
+    rows.sort(key=lambda r: (r["doc_id"], r["v"], r["y"]))  # one order, however they came
     y = np.array([r["y"] for r in rows], float)
     if len(y):
         model.prior = float(y.mean())

@@ -161,9 +161,9 @@ def held_out(id_col: str) -> F.Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
-    """doc_id, text, y of at most ``bound`` labelled training rows, those of lowest hash."""
+    """doc_id, text, y of at most ``bound`` labelled training rows, those of lowest hash; of labels at odds the lower one counts."""
     ids = select(labels, doc_id="doc_id", y=label).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out("doc_id"))
-    ids = ids.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    ids = ids.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     return select(docs, doc_id="doc_id", text="text").join(F.broadcast(ids), "doc_id")  # ``bound`` rows of two numbers
 
 
@@ -208,7 +208,7 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Lexicon:
             yield pa.RecordBatch.from_arrays([pa.array([_copy_key(t) for t in texts], pa.int64()), b.column(1), b.column(2).cast(pa.int32())], names=["key", "text", "y"])
 
     sample = labelled_sample(docs, labels, "toxic", bound).select("doc_id", "text", "y").mapInArrow(keyed, "key bigint, text string, y int")
-    sample = save(sample.dropDuplicates(["key", "y"]), "toxic-sample")
+    sample = save(sample.groupBy("key", "y").agg(F.min("text").alias("text")), "toxic-sample")  # of near copies always the same one
     sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if toxic < 4 or not clean:

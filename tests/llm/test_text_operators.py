@@ -396,3 +396,19 @@ def test_secrets_in_very_long_runs_are_found():
     text = "pad=" + "abc/" * 2000 + "&client_key=" + value + " " + "x" * 5000
     assert any(k == "literal" and text[a:b].startswith(value) for k, a, b, *_ in secrets.scan(text))
     assert any(k == "literal" and text[a:b] == value for text in [f"url=http://h?client_key={value}"] for k, a, b, *_ in secrets.scan(text))
+
+
+def test_models_are_the_same_however_rows_come(spark):
+    rng = np.random.default_rng(8)
+    words = [f"word{k}" for k in range(60)]
+    text = lambda y: " ".join(rng.choice(words[:40] if y else words[20:], 30))
+    rows = [(i, text(i % 2), i % 2) for i in range(160)]
+    rows += [(i + 1000, rows[i][1], rows[i][2]) for i in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id BIGINT, text STRING")
+    labels = spark.createDataFrame([(i, y, y) for i, _, y in rows] + [(2, 1, 1), (3, 0, 0)], "doc_id BIGINT, quality INT, toxic INT")
+    made = []
+    for parts in (1, 5):
+        d, l = docs.repartition(parts), labels.repartition(parts, F.rand(parts))
+        scores = lambda m, f: {r["doc_id"]: r["score"] for r in f(docs, m).collect()}
+        made.append((scores(quality.learn(d, l), quality.score_quality), scores(toxicity.learn(d, l), toxicity.score_toxicity)))
+    assert made[0] == made[1]
