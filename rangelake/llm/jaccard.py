@@ -5,8 +5,9 @@
    form one node, whatever number of copies there are.
 2. Chosen paths: every run splits all nodes by the tokens at positions picked by chance (1/threshold
    of them on average); buckets of more than ``LIMIT`` nodes are split again by positions that
-   depend on their path, so similar sets stay together and others part.  ``RUNS`` repetitions bring
-   the recall to the target.  Small buckets are compared all against all by signature and give
+   depend on their path, so similar sets stay together and others part.  ``RUNS`` repetitions are made, and as many
+   again until the recall is at its target: beside ``PROBES`` of the sets a signature is planted that agrees with it as
+   sets just at the threshold do, and the recall is the share of these pairs that end in one component.  Small buckets are compared all against all by signature and give
    links that span them; what ``DEPTH`` splits can't part is alike, and is linked to one of its nodes.
 3. Candidates' components (found without collecting them) are compared exactly, all pairs of each,
    in blocks of ``PAIRS`` nodes.  So no link inside a component is lost, and groups of near copies
@@ -32,6 +33,8 @@ from .common import columns, join_skewed, save, select, tune
 from .components import components
 
 N, T, RUNS, LIMIT, DEPTH, PAIRS, NEAR = 5, 64, 10, 128, 5, 512, 0.6
+#: Pairs planted at the threshold (at most), and the share of them that has to be found.
+PROBES, RECALL = 512, 0.98
 _WORD = re.compile(r"\w+")
 _U = np.uint64
 _RANDOM = np.random.default_rng(20_240)
@@ -143,14 +146,17 @@ def nodes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return picked.mapInArrow(work, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, key bigint, node binary, size bigint, sketch binary")
 
 
-def candidate_links(sets: DataFrame, threshold: float, runs: int = RUNS, limit: int = LIMIT, depth: int = DEPTH) -> DataFrame:
-    """Links (a, b) between nodes (node, sketch) that chosen paths bring together and whose signatures are near."""
+def candidate_links(sets: DataFrame, threshold: float, runs: int = RUNS, before: int = 0, limit: int = LIMIT, depth: int = DEPTH) -> DataFrame:
+    """Links (a, b) between nodes (node, sketch) that chosen paths bring together and whose signatures are near.
+
+    ``before`` runs were made already; these are others.
+    """
     spark = sets.sparkSession
 
     def first(batches):
         for b in batches:
             sketch = _sketches(b.column(1))
-            for run in range(runs):
+            for run in range(before, before + runs):
                 root = _mix(np.full(len(sketch), run + 1, np.uint64) * _U(0x9E3779B97F4A7C15))
                 row, path = _children(root, sketch, threshold)
                 yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), b.column(0).take(pa.array(row))], names=["path", "node"])
@@ -197,6 +203,33 @@ def candidate_links(sets: DataFrame, threshold: float, runs: int = RUNS, limit:
     return links.distinct() if links is not None else spark.createDataFrame([], "a binary, b binary")
 
 
+def planted(sets: DataFrame, threshold: float) -> DataFrame:
+    """of, node, sketch: signatures that agree with those of some sets (by least hash) in each place by the chance ``threshold``."""
+    rows = []
+    for r in sets.orderBy(F.xxhash64("node"), "node").select("node", "sketch").limit(PROBES).collect():
+        own = np.frombuffer(r["sketch"], np.uint32)
+        rng = np.random.default_rng(np.frombuffer(bytes(r["node"]), np.uint8))
+        other = np.where(rng.random(T) < threshold, own, rng.integers(0, 1 << 32, T, dtype=np.uint32))
+        rows.append((bytearray(r["node"]), bytearray(b"planted " + bytes(r["node"])), bytearray(other.astype(np.uint32).tobytes())))
+    return sets.sparkSession.createDataFrame(rows, "of binary, node binary, sketch binary")
+
+
+def near_components(sets: DataFrame, threshold: float, runs: int = RUNS, target: float = RECALL) -> DataFrame:
+    """node, root of the components of candidates, from as many runs as the planted pairs call for."""
+    probes = planted(sets, threshold)
+    wanted, made, links = probes.count(), 0, None
+    both = sets.select("node", "sketch").unionByName(probes.select("node", "sketch"))
+    while True:
+        found = candidate_links(both, threshold, runs, made)
+        links = found if links is None else links.unionByName(found)
+        near = components(links)
+        one = near.select(F.col("node").alias("of"), F.col("root").alias("root_of"))
+        met = probes.select("of", "node").join(near, "node").join(one, "of").where("root = root_of").count()
+        if met >= target * wanted:
+            return near.join(probes.select("node"), "node", "left_anti")
+        made += runs
+
+
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
     """Sizes of the intersections of all sets of ``left`` with all of ``right`` (or of ``left``)."""
     both = left if right is None else left + right
@@ -288,7 +321,7 @@ def _judged(docs: DataFrame, threshold: float, runs: int) -> DataFrame:
     rows = save(nodes_of(docs), "nodes")
     named = rows.where("node is not null and doc_id is not null")
     sets = save(named.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("sketch").alias("sketch")), "sets")
-    near = components(candidate_links(sets, threshold, runs))
+    near = near_components(sets, threshold, runs)
     sizes = near.groupBy("root").agg(F.count("*").alias("n"))
     members = near.join(sizes, "root").join(sets.select("node", "doc_id", "copies"), "node").select("node", "doc_id", "copies", F.col("root").alias("component"), "n")
     exact = save(verify(docs, members, threshold), "exact")

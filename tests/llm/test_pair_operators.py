@@ -74,11 +74,27 @@ def test_jaccard_join_is_brute_force(spark, monkeypatch, limit):
     docs = frame(spark, rows)
     if limit == 8:
         plain = jaccard.candidate_links
-        monkeypatch.setattr(jaccard, "candidate_links", lambda s, t, r: plain(s, t, r, limit=8, depth=2))
+        monkeypatch.setattr(jaccard, "candidate_links", lambda s, t, r, before: plain(s, t, r, before, limit=8, depth=2))
     got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.near_duplicates(docs).collect()}
     assert got == classes({i: five_grams(t) for i, t in rows})
 
 
+def test_runs_go_on_until_planted_pairs_are_found(spark, monkeypatch):
+    rng = random.Random(11)
+    sets = [" ".join(f"w{rng.randrange(4000)}" for _ in range(60)) for _ in range(150)]
+    nodes = jaccard.nodes_of(frame(spark, enumerate(sets))).select("node", "sketch")
+    probes = jaccard.planted(nodes, 0.8).collect()
+    own = {bytes(r["node"]): np.frombuffer(r["sketch"], np.uint32) for r in nodes.collect()}
+    agree = [np.mean(np.frombuffer(p["sketch"], np.uint32) == own[bytes(p["of"])]) for p in probes]
+    assert len(probes) == 150 and abs(np.mean(agree) - 0.8) < 0.02
+    plain, made = jaccard.candidate_links, []
+    monkeypatch.setattr(jaccard, "candidate_links", lambda s, t, r, before: made.append(before) or plain(s, t, r, before, limit=2, depth=3))
+    near = jaccard.near_components(nodes, 0.8, runs=1, target=0.9)
+    assert len(made) > 1 and made == list(range(len(made)))
+    assert near.join(nodes, "node", "left_anti").count() == 0  # no planted one is left
+    assert jaccard.near_components(nodes.limit(0), 0.8).count() == 0
+
+
 def test_jaccard_of_odd_tables(spark):
     d = frame(spark, [(None, "a b c d e f"), (None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (7, "other"), (9, "a b c d e f")])
     got = sorted((str(r[0]), str(r[1]), r[2]) for r in jaccard.near_duplicates(d).collect())
