@@ -1,9 +1,13 @@
 """Secret scan: base patterns and an assignment-aware lexer.
 
-The lexer reads source and configuration syntax (``name = literal``, ``"name": literal``,
-``name := literal``, ``name => literal``, ``export NAME=literal``) into name-literal pairs,
-propagates constants through later uses (``b = a``, ``"x" + a``, ``"${a}"``) and scores each
-literal by how sensitive the name is that it reaches and by how random it looks.
+The lexer reads source and configuration syntax into name-literal pairs: ``name = literal``,
+``"name": literal``, ``name := literal``, ``name => literal``, ``export NAME=literal``, block scalars
+(``name: |``), triple quotes, words alone on a line of configuration, names given beside their values
+(``key="ApiKey" value="..."``, ``name: KEY`` over ``value: ...``), values below their names
+(``{"token": {"value": ...}}``), elements (``<password>...</password>``), calls (``setToken("...")``,
+``set("token", "...")``) and addresses with a password.  It propagates constants through uses before
+and after them (``b = a``, ``"x" + a``, ``"${a}"``) and scores each literal by how sensitive the name
+is that it reaches and by how random it looks.
 
 A constant is put in where it is used while the value has at most ``LONGEST`` characters; beyond that its use is an
 unknown name, so values that grow by themselves cost no more than others.  A value without quotes ends at a blank or
@@ -40,10 +44,25 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _HINTS = ("password", "passwd", "secret", "token", "api")
 
 _OPERATOR = re.compile(r":=|=>|[=:]")
+_STEP = re.compile(r":=|=>|[=:{}]")
 # Read backwards from the operator: blanks, the end of a quoted or bracketed name, the name.
 _NAME = re.compile(r"""[ \t]*["']?(?:\]["']?)?([\w$.\-]+)""", re.ASCII)
 _NAME_START = re.compile(r"[A-Za-z_$]", re.ASCII)
-_QUOTED = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`)""")
+_QUOTED = re.compile(
+    r"""[ \t]*(?:[fFrRbBuU]{1,2}(?=["'])|[@$](?="))?"""
+    r"""(?:\"{3}((?:[^"\\]|\\[\s\S]|"(?!""))*+)\"{3}|'{3}((?:[^'\\]|\\[\s\S]|'(?!''))*+)'{3}"""
+    r"""|"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`)"""
+)
+_BLOCK = re.compile(r"[ \t]*[|>][+\-\d]{0,2}[ \t]*\n")
+_LINE = re.compile(r"([ \t]*)[^\n]*\n?")
+_INDENT = re.compile(r"[ \t]*(?:-[ \t]+)?")
+_REST = re.compile(r"[ \t]*(?:\n|\Z)")
+_PLAIN = re.compile(r"[ \t]*([A-Za-z]{8,64})[ \t]*(?:\n|\Z)")
+_LEAD = re.compile(r"""[ \t]*(?:-[ \t]+)?(?:export[ \t]+|set[ \t]+)?["']?([\w.\-]+)["']?[ \t]*""", re.ASCII)
+_ELEMENT = re.compile(r"<([A-Za-z_][\w.:\-]*+)(?:\s[^<>]*+)?>\s*+([^<>\s]++)\s*+</", re.ASCII)
+_CALL = re.compile(r"""(?<![\w$])([A-Za-z_$][\w$]*+)\(\s*+(?:"([^"\\\n]*+)"|'([^'\\\n]*+)')\s*+(?:,\s*+(?:"([^"\\\n]*+)"|'([^'\\\n]*+)')\s*+)?\)""", re.ASCII)
+_GIVES = re.compile(r"(?:set|with|use|put|add|assign|update|define|configure)(?=[A-Z_]|$)|[A-Z][a-z]", re.ASCII)
+_ADDRESS = re.compile(r"://[^\s:/@\"'<>]*+:([^\s/@\"'<>]++)@")
 _GAP = re.compile(r"[ \t]*")
 _RUN = re.compile(r"""[^\s"'`,;#(){}\[\]<>+]+""")
 _PLUS = re.compile(r"[ \t]*(?:\+|\.\.)(?=[ \t]*[\"'`\w$])")
@@ -56,23 +75,41 @@ SENSITIVE = {
     "credential": 0.9, "credentials": 0.9, "auth": 0.6, "authorization": 0.8, "bearer": 0.8, "private": 0.6,
     "access": 0.4, "key": 0.6, "api": 0.4, "client": 0.2, "signing": 0.5, "encryption": 0.5, "session": 0.4, "salt": 0.5,
 }
+#: A name that ends so speaks of a secret without being one.
+DESCRIBING = frozenset("url uri path file filename dir folder name names id ids type count length size limit field column label hint policy prefix suffix endpoint expiry expires ttl algorithm version format header class status max min index schema title description".split())
+#: Before ``key``, a key that is no secret.
+KEY_KINDS = frozenset("primary foreign public sort partition cache row unique composite shortcut hot map group join index natural surrogate candidate".split())
+#: Names of a value whose meaning is said beside or above it, and names of that name.
+VALUES = frozenset("value val default data content text plain raw current plaintext".split())
+LABELS = frozenset("name key id variable property".split())
+#: Words alone on a line of configuration that are no password.
+COMMON = frozenset("required optional undefined disabled enabled password passwords redacted encrypted plaintext username changeme mandatory".split())
 #: Literals that stand for a secret to be filled in.
 PLACEHOLDERS = re.compile(r"(?i)\A(?:change_?me|example|sample|your[_-].*|x+|\*+|none|null|true|false|undefined|todo|test|<.*>|[$%{].*)\Z")
 
 
+#: A value that is only an address, or words and a number joined by signs.
+_URL = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*+://")
+_JOINED = re.compile(r"[a-z]++(?:[_\-][a-z]++)+(?:[_\-]?\d{1,4})?")
+
+
 def name_score(name: str) -> float:
-    """0 to 1: the summed weight of the name's parts, at most 1."""
-    return min(1.0, sum(SENSITIVE.get(w.lower(), 0.0) for w in set(_WORDS.findall(name))))
+    """0 to 1: the summed weight of the name's parts, at most 1; 0 where it speaks of a secret without being one."""
+    words = [w.lower() for w in _WORDS.findall(name)]
+    if not words or words[-1] in DESCRIBING or (len(words) > 1 and words[-1] in ("key", "keys") and words[-2] in KEY_KINDS):
+        return 0.0
+    return min(1.0, sum(SENSITIVE.get(w, 0.0) for w in set(words)))
 
 
 def literal_score(value: str) -> float:
-    """0 to 1: length and character entropy; 0 for short, plain or placeholder values."""
+    """0 to 1: length and character entropy; 0 for short, plain or placeholder values and addresses, less for joined words."""
+    value = _REFERENCE.sub("", value)  # what stays of names without a known value
     n = len(value)
-    if n < 8 or " " in value or PLACEHOLDERS.match(value):
+    if n < 8 or " " in value or PLACEHOLDERS.match(value) or _URL.match(value):
         return 0.0
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
     kinds = any(c.isdigit() for c in value) + any(c.islower() for c in value) + any(c.isupper() for c in value) + any(not c.isalnum() for c in value)
-    return min(1.0, entropy / 3.5) * (0.55 + 0.15 * min(3, kinds))
+    return min(1.0, entropy / 3.5) * (0.55 + 0.15 * min(3, kinds)) * (0.6 if _JOINED.fullmatch(value) else 1.0)
 
 
 def base_spans(text: str) -> Iterator[tuple[str, int, int, int]]:
@@ -103,17 +140,109 @@ def _name_before(text: str, end: int) -> str | None:
         return name[first.start() :] if first else None
 
 
-def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
-    """(name, value, places of the value's literals) of each assignment, constants put in where they are used."""
+Pair = tuple[str, str, list[tuple[int, int]]]
+
+
+class _Scopes:
+    """Names above a place: of the braces that are open there and of the lines that it is indented below."""
+
+    def __init__(self, text: str):
+        self.text, self.seen, self.line, self.indent = text, 0, 0, None
+        self.braces: list[str | None] = []
+        self.lines: list[tuple[int, str]] = []
+        self.label: tuple[str, int, int] | None = None  # a name given as a value, how deep, for how many more pairs
+        self.last: tuple[int, str] = (-1, "")  # end and name of the last operator
+
+    def at(self, place: int) -> None:
+        """Go on to a place of the text."""
+        if (nl := self.text.rfind("\n", self.seen, place)) >= 0:
+            self.line, self.indent = nl + 1, None
+        self.seen = max(self.seen, place)
+        if self.indent is None:
+            self.indent = _INDENT.match(self.text, self.line).end() - self.line
+            while self.lines and self.lines[-1][0] >= self.indent:
+                self.lines.pop()
+
+    def brace(self, place: int) -> None:
+        if self.text[place] == "}":
+            if self.braces:
+                self.braces.pop()
+        else:
+            own = self.last[0] >= 0 and _GAP.match(self.text, self.last[0]).end() == place
+            self.braces.append(self.last[1] if own else None)
+            self.last = (-1, "")
+        self.label = None
+
+    def full(self, name: str) -> str:
+        """The name, or where it only says that this is a value, the one that says of what."""
+        if name.lower() not in VALUES:
+            return name
+        if self.label and self.label[1] == len(self.braces):
+            return self.label[0]
+        above = self.braces[-1] if self.braces else self.lines[-1][1] if self.lines else None
+        return above or name
+
+    def took(self, name: str, value: str) -> None:
+        if name.rpartition(".")[2].lower() in LABELS and len(value) <= 128 and _LEAD.fullmatch(value):
+            self.label = (value, len(self.braces), 3)
+        elif self.label:
+            self.label = (*self.label[:2], self.label[2] - 1) if self.label[2] > 1 else None
+
+
+def _block(text: str, pos: int, indent: int) -> tuple[list[tuple[int, int]], int]:
+    """Places of the lines that are indented further, and where they end."""
+    places = []
+    while pos < len(text):
+        line = _LINE.match(text, pos)
+        body = text[line.end(1) : line.end()].rstrip()
+        if body and line.end(1) - pos <= indent:
+            break
+        if body:
+            places.append((line.end(1), line.end(1) + len(body)))
+        pos = line.end()
+    return places, pos
+
+
+def _assigned(text: str) -> Iterator[Pair]:
+    """Pairs of operators, constants put in where they are used, before or after they are known."""
     known: dict[str, tuple[str, list[tuple[int, int]]]] = {}
-    at, run = 0, (0, 0)  # the last run of characters without quotes
-    for op in _OPERATOR.finditer(text):
-        if op.start() < at or text[op.end() : op.end() + 1] in ("=", "/") or text[op.start() - 1 : op.start()] in ("!", "<", ">", "="):
+    waiting: dict[str, dict[str, None]] = {}
+    scopes = _Scopes(text)
+    at, run, block_end = 0, (0, 0), 0  # run: the last run of characters without quotes
+
+    def found(name: str, value: str, places: list[tuple[int, int]]) -> Iterator[Pair]:
+        todo = [name]
+        while todo:
+            one = todo.pop()
+            known[one] = (value, places)
+            yield one, value, places
+            if len(value) <= LONGEST:
+                todo += waiting.pop(one, ())
+
+    for op in _STEP.finditer(text):
+        if op.start() < at:
+            continue
+        if op[0] in "{}":
+            if text[op.start() - 1 : op.start()] != "$":
+                scopes.brace(op.start())
+            continue
+        if text[op.end() : op.end() + 1] in ("=", "/") or text[op.start() - 1 : op.start()] in ("!", "<", ">", "="):
             continue
         name = _name_before(text, op.start())
         if not name:
             continue
-        value, places, pos, quoted = "", {}, op.end(), False
+        scopes.at(op.start())
+        plain, name = name, scopes.full(name)
+        scopes.last = (op.end(), name)
+        if op[0] == ":" and op.start() >= block_end and (head := _BLOCK.match(text, op.end())):
+            places, block_end = _block(text, head.end(), scopes.indent)
+            if places:
+                yield from found(name, "".join(text[a:b] for a, b in places), places)
+            continue
+        if op[0] == ":" and _REST.match(text, op.end()):
+            scopes.lines.append((scopes.indent, name))
+            continue
+        value, places, pos, quoted, alias = "", {}, op.end(), False, None
         while True:
             if term := _QUOTED.match(text, pos):
                 k = term.lastindex
@@ -121,9 +250,9 @@ def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
             else:
                 start = _GAP.match(text, pos).end()
                 if not run[0] <= start < run[1]:
-                    if not (found := _RUN.match(text, start)):
+                    if not (match := _RUN.match(text, start)):
                         break
-                    run = found.span()
+                    run = match.span()
                 end, quoted = run[1], False
                 if places and _OPERATOR.search(text, start, end):  # behind a plus: the next assignment
                     break
@@ -148,14 +277,48 @@ def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
                 value += part
                 if not refs:
                     places[start, end] = None
+            if not quoted and pos == op.end() and part not in known and len(part) <= 128 and _NAME_START.match(part):
+                alias = part
             pos = stop
             if not (plus := _PLUS.match(text, pos)):
                 break
-            pos = plus.end()
+            pos, alias = plus.end(), None
+        if alias and alias != name:  # a name that may be given its value later
+            waiting.setdefault(alias, {})[name] = None
+        if not places and op[0] in ":=" and (word := _PLAIN.match(text, op.end())):
+            lead = _LEAD.match(text, scopes.line, op.start())
+            # Only a strong name, alone with the word on its line.
+            if lead and lead.end() == op.start() and name_score(name) >= 0.9 and word[1].lower() not in COMMON and not name_score(word[1]):
+                value, places = word[1], {word.span(1): None}
+                pos = word.end(1)
         if places:
             at = pos if text[pos - 1 : pos] in "\"'`" else op.end()
-            known[name] = (value, list(places))
-            yield name, value, known[name][1]
+            scopes.took(plain, value)
+            yield from found(name, value, list(places))
+
+
+def _written_out(text: str) -> Iterator[Pair]:
+    """Pairs of elements, of calls that set something, and passwords within addresses."""
+    if "</" in text:
+        for m in _ELEMENT.finditer(text):
+            yield m[1], m[2], [m.span(2)]
+    if "(" in text:
+        for m in _CALL.finditer(text):
+            first, second = (2 if m[2] is not None else 3), (4 if m[4] is not None else 5 if m[5] is not None else 0)
+            if second:
+                yield m[first], m[second], [m.span(second)]
+            elif _GIVES.match(m[1]):
+                yield m[1], m[first], [m.span(first)]
+    if "://" in text:
+        for m in _ADDRESS.finditer(text):
+            yield "password", m[1], [m.span(1)]
+
+
+def pairs(text: str) -> Iterator[Pair]:
+    """(name, value, places of the value's literals) of each pair."""
+    if "=" in text or ":" in text:
+        yield from _assigned(text)
+    yield from _written_out(text)
 
 
 def scan(text: str | None, threshold: float = 0.5) -> list[tuple[str, int, int, int, float]]:
@@ -163,13 +326,17 @@ def scan(text: str | None, threshold: float = 0.5) -> list[tuple[str, int, int,
     if not text:
         return []
     found = [(*s, 1.0) for s in base_spans(text)]
-    if "=" in text or ":" in text:
-        best: dict[tuple[int, int], float] = {}
-        for name, value, places in pairs(text):
-            if (n := name_score(name)) and (score := n * literal_score(value)) >= threshold:
-                for p in places:
-                    best[p] = max(score, best.get(p, 0.0))
-        found += [("literal", a, b, a, s) for (a, b), s in best.items()]
+    best: dict[tuple[int, int], float] = {}
+    known: dict[str, float] = {}  # one value may reach many names
+    for name, value, places in pairs(text):
+        if not (n := name_score(name)):
+            continue
+        if value not in known:
+            known[value] = literal_score(value)
+        if (score := n * known[value]) >= threshold:
+            for p in places:
+                best[p] = max(score, best.get(p, 0.0))
+    found += [("literal", a, b, a, s) for (a, b), s in best.items()]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

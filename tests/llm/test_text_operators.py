@@ -76,6 +76,42 @@ def test_lexer_leaves_others_alone(text):
     assert not [s for s in secrets.scan(text) if s[0] == "literal"]
 
 
+VALUE = "q8Zk29dLmP0s"
+#: Texts with a secret that only the lexer finds, V for the value; and texts that hold none.
+WITH_SECRET = [
+    '<add key="ApiKey" value="V"/>', "<password>V</password>", '<property name="db.password" value="V" />', "password: |\n  V\n  x7Lw\nnext: 1", "token: >-\n  V\n",
+    '{"token": {"value": "V"}}', "token:\n  value: V\n", "env:\n  - name: API_TOKEN\n    value: V\n", '{"key": "ApiKey", "value": "V"}', 'password = """V"""', "secret = '''V'''",
+    'conn.setPassword("V")', 'cfg.set("api_token", "V")', "os.environ.setdefault('DB_PASSWORD', 'V')", 'SecretString("V")', 'password = f"{user}V"', 'pwd = b"V"',
+    'api_key = part\npart = "V"', 'auth_token = one\none = two\ntwo = "V"', 'url = "postgres://bob:V@db/x"', "client_secret => 'V'", "private_key := `V`", 'x = "V"\npassphrase = x', "[db]\npwd=V\n",
+]
+WITHOUT_SECRET = [
+    'primary_key = "customer_id_2024"', "hash_key_url = https://example.org/a8Zk29dLm", 'token_type = "urn:Bearer9x8A"', "the password: required", "password: string", "password: required\n", 'getPassword("V")',
+    'secret_name = "prod/db/Main9x8A"', '<add key="Theme" value="V"/>', '{"color": {"value": "V"}}', '{"token": {"a": 1}, "value": "V"}', "api_key = part\npart = 5", 'print("password", x)', 't("title")',
+    "title:\n  value: V\n", "token:\nvalue: V\n", "see http://a.b:8080/x@y", 'cache_key = "user_session_17"', 'password_hint = "V"', "<title>V</title>", 'setTitle("V")', "token: the one that we hold\n",
+]
+
+
+@pytest.mark.parametrize("text", WITH_SECRET)
+def test_lexer_finds_every_secret_of_the_fixture(text):
+    text = text.replace("V", VALUE)
+    found = [text[a:b] for kind, a, b, *_ in secrets.scan(text) if kind == "literal"]
+    assert any(VALUE in f for f in found) and all(VALUE in f or f == "x7Lw" for f in found)
+    assert VALUE not in secrets.redact_text(text)
+
+
+@pytest.mark.parametrize("text", WITHOUT_SECRET)
+def test_lexer_finds_nothing_in_the_fixture_without_secrets(text):
+    text = text.replace("V", VALUE)
+    assert not [s for s in secrets.scan(text) if s[0] == "literal"] and secrets.redact_text(text) == text
+
+
+def test_a_word_alone_on_its_line_and_names_that_wait_in_a_ring():
+    assert secrets.redact_text("host: example\ndb_password: hunterpass\n") == "host: example\ndb_password: [SECRET]\n"
+    assert not secrets.scan("a = b\nb = a\ntoken = a\n")
+    t = f'token = a\na = b\nb = a\nb = "{VALUE}"\n'
+    assert [t[s[1] : s[2]] for s in secrets.scan(t)] == [VALUE]
+
+
 def test_scan_of_awkward_rows(docs, empty):
     got = secrets.scan_secrets(docs).collect()
     assert len(got) == len(TEXTS) + 3 and sum(len(r["spans"]) > 0 for r in got) == 1
@@ -381,7 +417,7 @@ def test_html_hostile_pages_take_linear_time(page):
     assert seconds(24_000) < 12 and seconds(24_000) < 6 * max(seconds(8_000), 0.05)
 
 
-@pytest.mark.parametrize("unit", ["a=", "a:", "token=", "a =b ", "x=y+", "a='b'+", "token=abc+token="])
+@pytest.mark.parametrize("unit", ["a=", "a:", "token=", "a =b ", "x=y+", "a='b'+", "token=abc+token=", "{", "a:{", "a:\n ", "a: |\n b", "f(\"", "f('a',", "<a>x", "<a ", "://a:", "a=b\nb=a\n", 'a="""', "a=p\n", "token:  ", "value={"])
 def test_secrets_hostile_texts_take_linear_time(unit):
     def seconds(n):
         began = time.perf_counter()
