@@ -1,12 +1,14 @@
 """Toxicity by a weighted lexicon.
 
-Texts are folded (case, accents, homoglyphs, digits and signs that stand for letters), matched by
-one Aho-Corasick automaton of word stems, whole words and exception phrases, and the weights of
+Texts are folded (case, accents, homoglyphs, digits and signs that stand for letters, letters spaced
+out one by one), matched by one Aho-Corasick automaton of word stems, whole words and exception phrases, and the weights of
 the hits that no exception covers are normalised by length and turned into a probability.
 
 The lexicon's weights are log odds learned from labelled rows: of words and word beginnings in
-toxic against other documents, near copies counted once.  ``SAMPLE`` bounds the labelled rows used
-(the ones of lowest hash, whatever the size of the table) and ``MOST_STEMS`` the entries of the lexicon learned from
+toxic against other documents, near copies counted once; the weight of a seed word is a prior that the
+documents with it correct.  Exception phrases are learned likewise, in any language: a listed word with
+the word before or behind it, where that surely speaks against toxicity.  ``SAMPLE`` bounds the labelled rows used
+(the ones of lowest hash, whatever the size of the table) and ``MOST_STEMS`` the stems and phrases learned from
 them; everything else covers all rows.
 
 Defined results: null and empty texts have no hit and get the score of such; repeated rows are
@@ -43,6 +45,7 @@ SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "
 
 _MIXED = re.compile(r"[^\W\d_][0-9@$!€]+(?=[^\W\d_])|(?<![\w@$!€])[0-9@$€](?=[^\W\d_])|[^\W\d_][0-9](?![\w@$!€])")
 _LONG_RUN = re.compile(r"([^\W\d_])\1{2,}")
+_SPACED = re.compile(r"(?<![^\W_])[^\W_]([ .\-_*])[^\W_](?:\1[^\W_])+(?:\1[^\W_](?![^\W_]))")
 _HIDDEN = re.compile("[­​-‏⁠﻿̀-ͯ]")
 
 
@@ -74,6 +77,8 @@ def fold(text: str | None) -> list[str]:
         return [" "]
     if not text.isascii() and _HIDDEN.search(text):
         text = _HIDDEN.sub("", text)
+    if _SPACED.search(text):
+        text = _SPACED.sub(lambda m: m[0].replace(m[1], ""), text)
     readings = [text]
     if _MIXED.search(text):
         readings = list(dict.fromkeys(_unleet(text, one) for one in "il"))
@@ -107,9 +112,27 @@ class Lexicon:
 
     def hits(self, text: str | None) -> list[tuple[int, int, str]]:
         """(start, end, stem) in the folded text; of stems at one place the heaviest; exceptions taken away."""
+        return self._read(text)[1]
+
+    def phrases(self, text: str | None) -> set[str]:
+        """Each word hit with the word before it, and with the one behind it, where only a blank is between."""
+        reading, hits = self._read(text)
+        out = set()
+        for start, _, _ in hits:
+            end = reading.index(" ", start + 1)
+            before, behind = reading.rfind(" ", 0, start), reading.find(" ", end + 1)
+            if 0 <= before < start - 1:
+                out.add(reading[before + 1 : end])
+            if behind > end + 1:
+                out.add(reading[start + 1 : behind])
+        return {p for p in out if len(p) <= 64}
+
+    def _read(self, text: str | None) -> tuple[str, list[tuple[int, int, str]]]:
+        """The reading of greatest weight and its hits."""
         best: list[tuple[int, int, str]] = []
+        chosen = " "
         if not self.stems:
-            return best
+            return chosen, best
         weight = lambda own: sum(self.stems[s] for *_, s in own)
         for reading in fold(text):
             found: dict[int, tuple[int, str]] = {}
@@ -125,8 +148,8 @@ class Lexicon:
             covered = lambda s: (k := bisect_right(begins, s)) and s + 1 < reach[k - 1]  # noqa: E731, B023
             kept = [(s, e, w) for s, (e, w) in found.items() if not covered(s)]
             if weight(kept) > weight(best):
-                best = kept
-        return best
+                chosen, best = reading, kept
+        return chosen, best
 
     def features(self, text: str | None) -> tuple[float, float]:
         """The summed weight of the hits (the same stem again says less), normalised by the root of the length, and its logarithm."""
@@ -198,21 +221,23 @@ def choose_stems(counts: list[tuple[str, int, int]], toxic: int, clean: int) ->
     return {f: w for f, (w, _) in out.items() if f not in longer}
 
 
-def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Lexicon:
-    """A lexicon learned from at most ``bound`` labelled rows."""
-    tune(docs.sparkSession)
+def seed_weight(weight: float, a: int, b: int, toxic: int, clean: int) -> float:
+    """Log odds of a word in ``a`` of the toxic and ``b`` of the other documents, which are ``weight`` where it is in none."""
+    return min(weight, math.log((a + 1) / toxic) - math.log(b / clean + math.exp(-weight) / toxic))
 
-    def keyed(batches):
-        for b in batches:
-            (texts,) = columns(b, "text")
-            yield pa.RecordBatch.from_arrays([pa.array([_copy_key(t) for t in texts], pa.int64()), b.column(1), b.column(2).cast(pa.int32())], names=["key", "text", "y"])
 
-    sample = labelled_sample(docs, labels, "toxic", bound).select("doc_id", "text", "y").mapInArrow(keyed, "key bigint, text string, y int")
-    sample = save(sample.groupBy("key", "y").agg(F.min("text").alias("text")), "toxic-sample")  # of near copies always the same one
-    sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
-    toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
-    if toxic < 4 or not clean:
-        return Lexicon({f"{w} ": x for w, x in SEED.items()})
+def choose_exceptions(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> list[str]:
+    """Of phrases (text, toxic documents, other documents) those that surely speak against toxicity, the commonest first."""
+    out = []
+    for f, a, b in counts:
+        high, low = a + 2 * math.sqrt(a) + 2, b - 2 * math.sqrt(b)
+        if low > 0 and math.log(low / clean) - math.log(high / toxic) > 0.5:
+            out.append((-b, f))
+    return [f for _, f in sorted(out)]
+
+
+def _counted(sample: DataFrame, features) -> DataFrame:
+    """f, a, b: in how many toxic and other documents of the sample each feature is."""
 
     def count(batches):
         by: tuple[Counter, Counter] = (Counter(), Counter())
@@ -226,18 +251,43 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Lexicon:
 
         for b in batches:
             for t, y in zip(*columns(b, "text", "y"), strict=True):
-                by[y].update(_word_features(t))
+                by[y].update(features(t))
                 if len(by[0]) + len(by[1]) > 200_000:  # partial counts, so a task's memory is bounded
                     yield from flush()
         yield from flush()
 
-    counted = sample.mapInArrow(count, "f string, a bigint, b bigint").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return sample.mapInArrow(count, "f string, a bigint, b bigint").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+
+
+def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Lexicon:
+    """A lexicon learned from at most ``bound`` labelled rows."""
+    tune(docs.sparkSession)
+
+    def keyed(batches):
+        for b in batches:
+            (texts,) = columns(b, "text")
+            yield pa.RecordBatch.from_arrays([pa.array([_copy_key(t) for t in texts], pa.int64()), b.column(1), b.column(2).cast(pa.int32())], names=["key", "text", "y"])
+
+    sample = labelled_sample(docs, labels, "toxic", bound).select("doc_id", "text", "y").mapInArrow(keyed, "key bigint, text string, y int")
+    sample = save(sample.groupBy("key", "y").agg(F.min("text").alias("text")), "toxic-sample")  # of near copies always the same one
+    sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
+    toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
+    if toxic < 4 or not clean:
+        return Lexicon({f"{w} ": x for w, x in SEED.items()})
+
+    seeds = [f"{w} " for w in SEED]
+    counted = _counted(sample, _word_features).withColumn("seed", F.col("f").isin(seeds))
     ratio = (F.col("a") + 0.5) / (toxic + 1) / ((F.col("b") + 0.5) / (clean + 1))
-    found = counted.where((F.col("a") >= 4) & (ratio > math.e)).orderBy(F.desc(F.col("a") * F.log(ratio)), "f").limit(20 * MOST_STEMS).collect()
+    likely = (F.col("a") >= 4) & (ratio > math.e)
+    found = counted.where(likely | F.col("seed")).orderBy(F.desc("seed"), F.desc(F.col("a") * F.log(ratio)), "f").limit(20 * MOST_STEMS).collect()
     stems = choose_stems([(r["f"], r["a"], r["b"]) for r in found], toxic, clean)
     stems = dict(sorted(stems.items(), key=lambda s: -s[1])[:MOST_STEMS])
-    stems = {f"{w} ": x for w, x in SEED.items()} | stems
+    seen = {r["f"]: (r["a"], r["b"]) for r in found if r["seed"]}
+    prior = {f: seed_weight(SEED[f[:-1]], *seen.get(f, (0, 0)), toxic, clean) for f in seeds}
+    stems = {f: w for f, w in prior.items() if w > 0} | stems
     lexicon = Lexicon(stems)
+    against = _counted(sample, lexicon.phrases).where(F.col("b") > 4).orderBy(F.desc("b"), "a", "f").limit(20 * MOST_STEMS).collect()
+    lexicon = Lexicon(stems, EXCEPTIONS + tuple(choose_exceptions([(r["f"], r["a"], r["b"]) for r in against], toxic, clean)[:MOST_STEMS]))
 
     def featured(batches):
         for b in batches:

@@ -448,3 +448,22 @@ def test_models_are_the_same_however_rows_come(spark):
         scores = lambda m, f: {r["doc_id"]: r["score"] for r in f(docs, m).collect()}
         made.append((scores(quality.learn(d, l), quality.score_quality), scores(toxicity.learn(d, l), toxicity.score_toxicity)))
     assert made[0] == made[1]
+
+
+@pytest.mark.parametrize("text", ["you i d i o t", "you i.d.i.o.t!", "you i-d-i-o-t", "you 1 d 1 o t", "an i_d_i_o_t"])
+def test_letters_spaced_out_are_one_word(text):
+    assert "idiot" in " ".join(toxicity.fold(text)).split()
+    assert toxicity.fold("a b cd e") == [" a b cd e "] and toxicity.fold("i am a b") == [" i am a b "]
+
+
+def test_exceptions_and_seed_weights_are_learned(spark):
+    rng = np.random.default_rng(5)
+    plain = lambda: " ".join(rng.choice([f"word{k}x" for k in range(50)], 20))
+    rows = [(plain() + f" Du Blödmann {plain()}", 1) for _ in range(60)] + [(plain() + f" der blödmann meier {plain()}", 0) for _ in range(40)]
+    rows += [(plain() + f" the clown {plain()}", 0) for _ in range(60)] + [(plain(), 0) for _ in range(60)]
+    docs = spark.createDataFrame([(3 * i, t) for i, (t, _) in enumerate(rows)], "doc_id BIGINT, text STRING")
+    labels = spark.createDataFrame([(3 * i, y, y) for i, (_, y) in enumerate(rows)], "doc_id BIGINT, quality INT, toxic INT")
+    model = toxicity.learn(docs, labels)
+    assert {"der blodmann", "blodmann meier"} <= set(model.exceptions) and "du blodmann" not in model.exceptions
+    assert model.score(f"{plain()} du Blödmann") > 0.7 > model.score(f"{plain()} der Blödmann Meier") and model.score(f"{plain()} the clown at the circus") < 0.5
+    assert toxicity.seed_weight(4.0, 0, 0, 50, 500) == pytest.approx(4.0) and toxicity.seed_weight(4.0, 0, 40, 50, 500) < 0 < toxicity.seed_weight(4.0, 20, 0, 50, 500)
