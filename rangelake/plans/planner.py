@@ -1,8 +1,10 @@
 """Planners over a manifest: query plans, merge runs, workloads.
 
 Merge runs of all epochs are one job: where a run that starts at a block ends follows from running sums, and the runs
-are found by doubling steps.  The query plan is a walk in which each step depends on all before it, in any epoch; it
-runs on the driver over the manifest's ranges and counts (a few numbers per block, as numpy arrays), never over records.
+are found by doubling steps.  ``spread_plan`` makes plans of selective queries as one job over manifests of any size.
+``query_plan`` is a walk in which each step depends on all before it, in any epoch; it runs on the driver over the
+manifest's ranges and counts (a few numbers per block, as numpy arrays), never over records, and takes a checked number
+of blocks.
 """
 
 from __future__ import annotations
@@ -11,12 +13,14 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.sweep import cumulative, keep, numbered, running_sums
+from ..operators.sweep import cumulative, keep, numbered, overlapped, running_sums
 
 #: Fixed values of query-plan generation and of run planning.
 MIN_MASS, MAX_OVERLAP, MIN_DISTANCE, NEAR_COUNT = 1000, 0.02, 0.002, 3
 FIRST_WIDTH, STEP = 0.001, 0.1
 MEMORY_BUDGET = 500 << 20
+#: Candidates of a spread plan are 1, 2, 4 ... blocks wide, up to this many doublings.
+DOUBLINGS = 10
 #: Blocks that a walk on the driver takes at most.
 MOST_BLOCKS = 20_000_000
 
@@ -65,6 +69,29 @@ def query_plan(manifest: DataFrame, min_mass: int = MIN_MASS, max_overlap: float
     return manifest.sparkSession.createDataFrame(out, "epoch INT, lo FLOAT, hi FLOAT")
 
 
+def spread_plan(manifest: DataFrame, min_mass: int = MIN_MASS, max_overlap: float = MAX_OVERLAP, min_distance: float = MIN_DISTANCE, near_count: int = NEAR_COUNT, doublings: int = DOUBLINGS) -> DataFrame:
+    """epoch, lo, hi, share: ranges whose block selectivities are small and spread out, from a manifest of any size.
+
+    Blocks of an epoch with ``min_mass`` records or more are numbered by least key, and a candidate goes from each one's
+    least key to the greatest key of the block 2^k - 1 further on.  Its share is the mass of the blocks that it overlaps,
+    which must be under ``max_overlap``.  Shares are put into classes of width ``min_distance``; of each class of an epoch
+    the first ``near_count`` candidates by keys are taken, which each task does among its own before any is shuffled.
+    Blocks without keys take no part; equal candidates count once; an empty manifest has an empty plan.
+    """
+    blocks = manifest.where("obs_min IS NOT NULL AND obs_max IS NOT NULL").select(F.col("epoch").cast("bigint").alias("g"), F.col("obs_min").alias("lo"), F.col("obs_max").alias("hi"), F.col("item_count").cast("bigint").alias("mass"))
+    size = blocks.groupBy("g").agg(F.sum("mass").alias("all")).where(F.col("all") >= max(1, min_mass))
+    blocks = keep(numbered(blocks.join(size.select("g"), "g", "left_semi"), "g", ["lo", "hi", "mass"]), "blocks")
+    width = F.explode(F.array(*[F.lit(1 << k).cast("bigint") for k in range(doublings + 1)]))
+    begins = blocks.select("g", "lo", "i", width.alias("w")).select("g", "lo", (F.col("i") + F.col("w") - 1).alias("i"))
+    ranges = keep(begins.join(blocks.select("g", "i", "hi"), ["g", "i"]).select("g", "lo", "hi").distinct(), "candidates")
+    met = overlapped(blocks.select("g", "lo", "hi", "mass"), ranges.select(F.struct("g", "lo", "hi").alias("qid"), "g", "lo", "hi"))
+    shares = met.select("qid.*", F.col("mass").cast("double").alias("met")).join(size, "g")
+    shares = shares.select("g", "lo", "hi", (F.col("met") / F.col("all").cast("double")).alias("share")).where(F.col("share") < max_overlap)
+    first = Window.partitionBy("g", F.floor(F.col("share") / F.lit(float(min_distance)))).orderBy("lo", "hi")
+    taken = shares.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= near_count)
+    return taken.select(F.col("g").cast("int").alias("epoch"), "lo", "hi", "share")
+
+
 def closest_distance(values: list[float], x: float) -> float:
     """How far the nearest value is; infinite without values."""
     return min((abs(v - x) for v in values), default=float("inf"))

@@ -402,6 +402,16 @@ def query_plan(spark, d):
     return PL.query_plan(V.line_clustered_manifest(spark, d))
 
 
+@_query(f"""WITH {_LINES}, b AS (SELECT epoch, lo, hi, n, row_number() OVER (PARTITION BY epoch ORDER BY lo, hi, n) - 1 AS i FROM lm),
+t AS (SELECT epoch, CAST(sum(n) AS DOUBLE) AS mass FROM lm GROUP BY epoch HAVING sum(n) >= {PL.MIN_MASS}),
+c AS (SELECT DISTINCT a.epoch, a.lo, z.hi FROM b a, generate_series(0, {PL.DOUBLINGS}) w(k) JOIN b z ON z.epoch = a.epoch AND z.i = a.i + (1 << k) - 1 WHERE a.epoch IN (SELECT epoch FROM t)),
+s AS (SELECT c.epoch, c.lo, c.hi, CAST(sum(b.n) AS DOUBLE) / any_value(t.mass) AS share FROM c JOIN t ON t.epoch = c.epoch JOIN b ON b.epoch = c.epoch AND b.lo <= c.hi AND b.hi >= c.lo GROUP BY c.epoch, c.lo, c.hi)
+SELECT epoch, lo, hi, share FROM s WHERE share < {PL.MAX_OVERLAP}::DOUBLE QUALIFY row_number() OVER (PARTITION BY epoch, floor(share / {PL.MIN_DISTANCE}::DOUBLE) ORDER BY lo, hi) <= {PL.NEAR_COUNT}""")
+def spread_query_plan(spark, d):
+    """Selective queries of spread-out selectivities over all blocks of all epochs, as one job."""
+    return PL.spread_plan(V.line_clustered_manifest(spark, d))
+
+
 @_query(f"""{_REC.replace("WITH rec", "WITH RECURSIVE rec")}, o AS (SELECT CAST(row_number() OVER (ORDER BY obs_min, obs_max, item_count) - 1 AS INTEGER) AS i, obs_min AS least, item_count AS n FROM man WHERE epoch = 5),
 w AS (SELECT i, 0 AS run, n AS held, CAST('-infinity' AS FLOAT) AS last_cut FROM o WHERE i = 0
  UNION ALL SELECT i, run + CAST(cut AS INTEGER), CASE WHEN cut THEN n ELSE held + n END, CASE WHEN cut THEN least ELSE last_cut END

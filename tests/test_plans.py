@@ -52,6 +52,42 @@ def test_query_plan(spark):
     assert got == plain_plan(epochs) and {r[0] for r in got} <= {0, 1} and got
 
 
+def plain_spread(epochs, doublings):
+    found = {}
+    for e, blocks in epochs.items():
+        mass, order = sum(n for *_, n in blocks), sorted((np.float32(a), np.float32(b), n) for a, b, n in blocks)
+        if mass < 1000:
+            continue
+        for i, (lo, *_) in enumerate(order):
+            for j in (i + (1 << k) - 1 for k in range(doublings + 1)):
+                if j < len(order):
+                    hi = order[j][1]
+                    share = sum(n for a, b, n in order if a <= hi and b >= lo) / mass
+                    if share < 0.02:
+                        found.setdefault((e, int(np.floor(share / 0.002))), set()).add((e, float(lo), float(hi), share))
+    return sorted(r for rows in found.values() for r in sorted(rows)[:3])
+
+
+def test_spread_plan(spark):
+    rng = np.random.default_rng(4)
+    epochs = {}
+    for e, total in ((0, 60000), (1, 30000), (2, 999)):
+        keys = np.sort(rng.exponential(3, total)).astype("f4")
+        epochs[e] = [(float(k[0]), float(k[-1] + rng.random() * 0.01), len(k)) for k in np.array_split(keys, total // 90 + 1)]
+    epochs[1] += epochs[1][:3] + [(5.0, 5.0, 7)] * 40  # equal blocks, one hot key
+    plan = PL.spread_plan(manifest(spark, epochs), doublings=4)
+    got = sorted(tuple(r) for r in plan.collect())
+    assert got == plain_spread(epochs, 4) and {r[0] for r in got} == {0, 1} and len({int(r[3] / 0.002) for r in got}) > 5
+    assert "WindowGroupLimit" in plan._jdf.queryExecution().optimizedPlan().toString()  # a task keeps a few of each class
+
+
+def test_spread_plan_of_nothing(spark):
+    none = manifest(spark, {0: [(1.0, 2.0, 5)]})
+    assert PL.spread_plan(none).count() == 0 and PL.spread_plan(none.limit(0)).count() == 0
+    empty = manifest(spark, {0: [(1.0, 2.0, 5000)]}).withColumn("obs_min", F.lit(None).cast("float"))
+    assert PL.spread_plan(empty).count() == 0
+
+
 def test_closest_distance():
     assert PL.closest_distance([1.0, 4.0], 3.0) == 1.0
     assert PL.closest_distance([], 3.0) == float("inf")
