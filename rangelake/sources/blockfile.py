@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource,
@@ -53,8 +53,8 @@ TAIL = 4096
 FOOTER_READS = 32
 #: Bytes of neighbouring blocks that one task reads.
 SPLIT = 64 << 20
-#: Values less than so many bytes apart are fetched by one read, of at most so many bytes.
-FETCH_GAP, FETCH_BYTES = 64 << 10, 8 << 20
+#: Values less than so many bytes apart are fetched by one read, of at most so many bytes and for so many pointers.
+FETCH_GAP, FETCH_BYTES, FETCH_ROWS = 64 << 10, 8 << 20, 1 << 16
 #: Records of a file, and of a block, that is written.
 FILE_RECORDS, BLOCK_RECORDS = 83_000_000, 1 << 16
 
@@ -200,12 +200,14 @@ def write_blocks(records: DataFrame, path: str, value_size: int) -> None:
     own.select("rank", "epoch", "sst", "key", "value").mapInArrow(write, "rank INT").write.format("noop").mode("overwrite").save()
 
 
-def fetch_values(pointers: DataFrame, path: str, value_size: int | None = None, gap: int = FETCH_GAP, split: int = SPLIT) -> DataFrame:
+def fetch_values(pointers: DataFrame, path: str, value_size: int | None = None, gap: int = FETCH_GAP, split: int = SPLIT, start: Column | None = None) -> DataFrame:
     """``pointers`` (rank, value_offset and any columns, as ``rdb_keys`` gives them) with value and bytes_read.
 
     A rank's file is cut into stripes of ``split`` bytes, and a stripe's pointers go to one task, in order; values less
-    than ``gap`` bytes apart are fetched by one read.  ``bytes_read`` is the read's length in the first row it serves and
-    0 in the others.  Pointers that repeat are read once; a pointer out of the file is an error, a null one has no value.
+    than ``gap`` bytes apart are fetched by one read, however rows are batched.  A pointer is of the stripe that it lies in,
+    or, with ``start``, that this byte place lies in: with a block's place no block is cut.  ``bytes_read`` is the read's
+    length in the first row it serves and 0 in the others.  Pointers that repeat are read once; a pointer out of the file is
+    an error, a null one has no value.
     """
     ship(pointers.sparkSession)
     if value_size is None:
@@ -219,41 +221,59 @@ def fetch_values(pointers: DataFrame, path: str, value_size: int | None = None,
 
     def runs(at: np.ndarray) -> Iterator[tuple[int, int]]:
         """(first, end) of offsets in order that one read serves."""
-        first = 0
-        for i in range(1, len(at)):
-            if at[i] - at[i - 1] - value_size >= max(gap, 1) or at[i] + value_size - at[first] > FETCH_BYTES:
-                yield first, i
-                first = i
-        if len(at):
-            yield first, len(at)
+        far = np.flatnonzero(np.diff(at) - value_size >= max(gap, 1)) + 1
+        for first, hi in itertools.pairwise([0, *far.tolist(), len(at)]):
+            while first < hi:
+                most = int(np.searchsorted(at[first:hi], at[first] + FETCH_BYTES - value_size, side="right"))
+                end = min(first + max(1, min(most, FETCH_ROWS)), hi)
+                yield first, end
+                first = end
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = _open(path)
-        rank, f = None, None
-        for b in batches:
-            values, lengths = [None] * len(b), np.zeros(len(b), np.int64)
+        rank, f, last = None, None, (None, b"")  # last: a pointer that a run ended with, and its value
+        held = None  # rows from the first one of a run that the next batch may go on with
+        for b in itertools.chain(batches, [None]):
+            done = b is None
+            if done and held is None:
+                return
+            b = held if done else b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0] if len(b) else held
+            values, lengths, held = [None] * len(b), np.zeros(len(b), np.int64), None
             ranks, offsets = b.column(rank_at), b.column(offset_at)
             known = np.flatnonzero(~(ranks.is_null().to_numpy(zero_copy_only=False) | offsets.is_null().to_numpy(zero_copy_only=False)))
             own, at = (c.take(pa.array(known)).to_numpy(zero_copy_only=False) for c in (ranks, offsets))
-            cuts = np.flatnonzero(np.diff(own)) + 1
+            cuts, whole = np.flatnonzero(np.diff(own)) + 1, len(b)
             for lo, hi in itertools.pairwise([0, *cuts.tolist(), len(own)]):
                 if lo == hi:
                     continue
-                if own[lo] != rank:
-                    rank, f = int(own[lo]), system.open_input_file(f"{root}/{file_name(int(own[lo]))}")
-                for first, end in runs(at[lo:hi]):
-                    start, length = int(at[lo + first]), int(at[lo + end - 1] - at[lo + first]) + value_size
-                    f.seek(start)
+                for first, end in ((lo + a, lo + z) for a, z in runs(at[lo:hi])):
+                    if end == len(own) and not done and end - first < FETCH_ROWS:
+                        held, whole = b.slice(known[first]), int(known[first])
+                        break
+                    if own[first] != rank:
+                        rank, f, last = int(own[first]), system.open_input_file(f"{root}/{file_name(int(own[first]))}"), (None, b"")
+                    same = int(np.searchsorted(at[first:end], last[0], side="right")) if at[first] == last[0] else 0
+                    for k in range(first, first + same):
+                        values[known[k]] = last[1]
+                    first += same
+                    if first == end:
+                        continue
+                    begin, length = int(at[first]), int(at[end - 1] - at[first]) + value_size
+                    f.seek(begin)
                     raw = f.read(length)
-                    if start < 0 or len(raw) != length:
-                        raise ValueError(f"rank {rank}: no value of {value_size} bytes at {start + length - value_size}")
-                    lengths[known[lo + first]] = length
-                    for k in range(lo + first, lo + end):
-                        values[known[k]] = raw[at[k] - start : at[k] - start + value_size]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(values, pa.binary()), pa.array(lengths)], names=[*names, "value", "bytes_read"])
+                    if begin < 0 or len(raw) != length:
+                        raise ValueError(f"rank {rank}: no value of {value_size} bytes at {begin + length - value_size}")
+                    lengths[known[first]] = length
+                    for k in range(first, end):
+                        values[known[k]] = raw[at[k] - begin : at[k] - begin + value_size]
+                    last = (int(at[end - 1]), values[known[end - 1]])
+            if whole:
+                out = b.slice(0, whole)
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(values[:whole], pa.binary()), pa.array(lengths[:whole])], names=[*names, "value", "bytes_read"])
 
     rank, offset = F.col(plain[rank_at]), F.col(plain[offset_at])
-    dealt = pointers.toDF(*plain).repartition(rank, F.floor(offset / split)).sortWithinPartitions(rank, offset)
+    own = pointers.select("*", (F.col("value_offset") if start is None else start).alias("_start")).toDF(*plain, "_start")
+    dealt = own.repartition(rank, F.floor(F.col("_start") / split)).drop("_start").sortWithinPartitions(rank, offset)
     schema = StructType([*pointers.schema.fields, StructField("value", BinaryType()), StructField("bytes_read", LongType())])
     return dealt.mapInArrow(fetch, schema)
 

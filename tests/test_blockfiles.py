@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rangelake.sources import blockfile as B
@@ -58,6 +59,24 @@ def test_long_reads_are_cut(spark, files, monkeypatch):
     assert len(rows) == 276 and max(r["bytes_read"] for r in rows) == 18
 
 
+@pytest.mark.parametrize("batch", [1, 7, 10_000])
+def test_reads_are_the_same_however_rows_are_batched_or_dealt(spark, files, monkeypatch, batch):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        keys = spark.read.format("rdb_keys").load(files).withColumn("block", F.min("value_offset").over(Window.partitionBy("epoch", "rank", "sst")))
+        for split in (1 << 26, 50):  # a block's values are one read, also where stripes are shorter than a block
+            rows = B.fetch_values(keys, files, gap=0, split=split, start=F.col("block")).collect()
+            assert len(rows) == 276 and sum(r["bytes_read"] > 0 for r in rows) == 18 and sum(r["bytes_read"] for r in rows) == 6 * 276
+        twice = keys.unionByName(keys).unionByName(keys)
+        assert sum(r["bytes_read"] for r in B.fetch_values(twice, files, gap=0).collect()) == 6 * 276
+        monkeypatch.setattr(B, "FETCH_ROWS", 2)  # pointers that repeat over a cut are still read once
+        rows = B.fetch_values(twice, files, gap=0).collect()
+        assert sum(r["bytes_read"] for r in rows) == 6 * 276 and len({(r["rank"], r["value_offset"], bytes(r["value"])) for r in rows}) == 276 and len(rows) == 828
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 # The sink
 
 
