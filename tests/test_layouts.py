@@ -2,10 +2,12 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rangelake import queries, views
 from rangelake.streaming import layouts as S
 
 
@@ -151,3 +153,20 @@ def test_an_idle_writer_is_closed(spark, tmp_path):
         q.stop()
     assert q.exception() is None
     assert sorted(map(str, S.delivered(spark.read.parquet(to)).collect())) == sorted(map(str, S.delivered(S.replay(frame(spark, data), 8, 4)).collect()))
+
+
+@pytest.mark.parametrize("name", ["stream_deliveries"])
+def test_queries_equal_their_sql_past_its_last_level(spark, tmp_path, name):
+    """Keys that rise and fall: the writers lay out more often than the SQL has levels."""
+    rng = random.Random(3)
+    data = [(i, i, i % 2, rng.uniform(-i, i) if i % 3 else float(i)) for i in range(1, 400)]
+    events = spark.createDataFrame(data, "event_id BIGINT, s INT, user_id BIGINT, value DOUBLE")
+    events.select("event_id", F.timestamp_seconds("s").alias("ts"), "user_id", "value").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    versions = S.replay(views.event_records(spark, str(tmp_path)), queries._HELD, 4).agg(F.max("version")).first()[0]
+    assert versions > queries._LEVELS
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = queries.queries()[name](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.oracle_sql()[name]})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and want
