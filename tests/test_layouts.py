@@ -155,7 +155,7 @@ def test_an_idle_writer_is_closed(spark, tmp_path):
     assert sorted(map(str, S.delivered(spark.read.parquet(to)).collect())) == sorted(map(str, S.delivered(S.replay(frame(spark, data), 8, 4)).collect()))
 
 
-@pytest.mark.parametrize("name", ["stream_deliveries"])
+@pytest.mark.parametrize("name", ["stream_deliveries", "stream_layouts"])
 def test_queries_equal_their_sql_past_its_last_level(spark, tmp_path, name):
     """Keys that rise and fall: the writers lay out more often than the SQL has levels."""
     rng = random.Random(3)
