@@ -17,12 +17,15 @@ from pyspark.sql import functions as F
 from ..functions.predicates import check_range, in_range, valid_key
 from ..runtime import ship
 from ..schemas import flt
+from .sweep import keep
 
 #: Forms of a bitmap: places of 16 bits, bits, runs of places, places of 32 bits.
 SHORTS, BITS, RUNS, LONGS = range(4)
 INDEX = "epoch INT, rank INT, sst INT, first BIGINT, bin INT, n BIGINT, least FLOAT, most FLOAT, bitmap BINARY"
 #: Time steps in one file of an index, as queries of many epochs name them.
 EPOCHS_PER_FILE = 3
+#: Places given out together.
+PLACES = 65_536
 
 
 def encode(places: np.ndarray) -> bytes:
@@ -57,45 +60,68 @@ def decode(raw: bytes) -> np.ndarray:
     return np.frombuffer(body, "<u2" if form == SHORTS else "<u4").astype(np.int64)
 
 
+def _pieces(parts: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(number, bitmap) of each part that takes more than places of 16 bits; ``at`` are the places of all parts in order."""
+    starts, ends = parts[:-1], parts[1:]
+    n, last = ends - starts, at[ends - 1]
+    rises = np.concatenate([[0], np.cumsum(np.diff(at) != 1)])
+    runs = rises[ends - 1] - rises[starts] + 1
+    short = (last < 1 << 16) & (2 * n <= 4 * runs) & (2 * n <= last // 8 + 1)
+    for k in np.flatnonzero(~short).tolist():
+        yield k, encode(at[starts[k] : ends[k]])
+
+
+def _encoded(parts: np.ndarray, at: np.ndarray) -> pa.Array:
+    """``encode`` of each part of ``at``; the many that are places of 16 bits are made together."""
+    shorts = np.empty((len(at), 2), np.uint8)
+    shorts[:] = (at & 0xFFFF).astype("<u2").view(np.uint8).reshape(-1, 2)
+    raw, other = shorts.tobytes(), dict(_pieces(parts, at))
+    head = bytes([SHORTS])
+    cuts = (2 * parts).tolist()
+    return pa.array([other[k] if k in other else head + raw[s:e] for k, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))], pa.binary())
+
+
 def build_index(records: DataFrame, edges: tuple[float, ...]) -> DataFrame:
     """INDEX of records (epoch, rank, sst, pos, key); bin k holds keys from edge k - 1 on and below edge k.
 
-    A task holds one block at a time.  Records without a key aren't indexed.
+    A task holds a batch and one block at a time.  Records without a key aren't indexed.
     """
     ship(records.sparkSession)
     cuts = np.array(edges, np.float32)
     if len(cuts) < 1 or (np.diff(cuts) <= 0).any():
         raise ValueError("edges have to rise")
+    names = [f.split()[0] for f in INDEX.split(", ")]
+
+    def whole(ids: np.ndarray, pos: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+        """The rows of whole blocks that follow each other."""
+        new = np.concatenate([[True], (ids[1:] != ids[:-1]).any(axis=1)])
+        block, first = np.cumsum(new) - 1, pos[new]
+        at = np.searchsorted(cuts, key, side="right")
+        order = np.lexsort((at, block))  # stable, so places rise within a block and bin
+        block, at, key = block[order], at[order], key[order]
+        part = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (at[1:] != at[:-1])]))
+        own, ends = block[part], np.append(part, len(key))
+        name = ids[new][own]
+        cols = [pa.array(name[:, c].astype(np.int32)) for c in range(3)] + [pa.array(first[own]), pa.array(at[part].astype(np.int32)), pa.array(np.diff(ends).astype(np.int64))]
+        cols += [pa.array(np.minimum.reduceat(key, part)), pa.array(np.maximum.reduceat(key, part)), _encoded(ends, pos[order] - first[block])]
+        return pa.RecordBatch.from_arrays(cols, names=names)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, held = None, []
-
-        def block() -> pa.RecordBatch:
-            pos, key = (np.concatenate(x) for x in zip(*held, strict=True))
-            at = np.searchsorted(cuts, key, side="right")
-            order = np.argsort(at, kind="stable")
-            bins, start = np.unique(at[order], return_index=True)
-            rows = []
-            for k, own in zip(bins.tolist(), np.split(order, start[1:]), strict=True):
-                rows.append((*name, int(pos[0]), k, len(own), float(key[own].min()), float(key[own].max()), encode(pos[own] - pos[0])))
-            kinds = [pa.int32()] * 3 + [pa.int64(), pa.int32(), pa.int64(), pa.float32(), pa.float32(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in INDEX.split(", ")])
-
+        held: list[tuple[np.ndarray, ...]] = []  # of the block that the next batch may go on with
         for b in batches:
             if not len(b):
                 continue
             ids = np.stack([b.column(c).to_numpy() for c in range(3)], axis=1)
-            pos, key = b.column(3).to_numpy(), b.column(4).to_numpy()
-            new = np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1
-            for s, e in zip([0, *new.tolist()], [*new.tolist(), len(b)], strict=True):
-                now = tuple(ids[s].tolist())
-                if now != name:
-                    if held:
-                        yield block()
-                    name, held = now, []
-                held.append((pos[s:e], key[s:e]))
+            own = (ids, b.column(3).to_numpy(), b.column(4).to_numpy())
+            if (ids[-1] == ids[0]).all() and (not held or (held[-1][0][-1] == ids[0]).all()):
+                held.append(own)  # nothing but more of one block
+                continue
+            last = len(ids) - int(np.argmax((ids[::-1] != ids[-1]).any(axis=1))) if (ids[0] != ids[-1]).any() else 0
+            done = [*held, *([tuple(x[:last] for x in own)] if last else [])]
+            yield whole(*(np.concatenate(x) for x in zip(*done, strict=True)))
+            held = [tuple(x[last:] for x in own)]
         if held:
-            yield block()
+            yield whole(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     own = records.where(valid_key(F.col("key"))).select("epoch", "rank", "sst", F.col("pos").cast("bigint").alias("pos"), "key")
     return own.repartition("epoch", "rank", "sst").sortWithinPartitions("epoch", "rank", "sst", "pos").mapInArrow(index, INDEX)
@@ -116,10 +142,16 @@ def places(parts: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for epoch, rank, sst, first, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                pos = decode(raw) + first
-                same = [pa.array(np.full(len(pos), v, np.int32)) for v in (epoch, rank, sst)]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(pos)], names=["epoch", "rank", "sst", "pos"])
+            out, n, start = [], 0, 0
+            first, raws = b.column(3).to_numpy(), b.column(4).to_pylist()
+            for k, raw in enumerate(raws):
+                out.append(decode(raw))
+                n += len(out[-1])
+                if n >= PLACES or k == len(raws) - 1:  # so many places are given out together
+                    size = [len(x) for x in out]
+                    same = [pa.array(np.repeat(b.column(c).to_numpy()[start : k + 1], size)) for c in range(3)]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(np.concatenate(out) + np.repeat(first[start : k + 1], size))], names=["epoch", "rank", "sst", "pos"])
+                    out, n, start = [], 0, k + 1
 
     return parts.select("epoch", "rank", "sst", "first", "bitmap").mapInArrow(work, "epoch INT, rank INT, sst INT, pos BIGINT")
 
@@ -137,6 +169,7 @@ def indexed_range(index: DataFrame, records: DataFrame, lo: float, hi: float, ep
 def index_report(index: DataFrame, records: DataFrame, lo: float, hi: float, epoch: int | None = None, closed: str = "neither") -> DataFrame:
     """One row: hits, those from the index alone, records and blocks that had to be checked, and blocks and records that a
     catalog of the blocks' ranges would have read."""
+    index = keep(index, "bitmaps")  # it is read five times
     parts, whole = _parts(index, epoch, lo, hi, closed)
     block = ["epoch", "rank", "sst"]
     sums = parts.agg(F.coalesce(F.sum(F.when(whole, F.col("n"))), F.lit(0)).alias("from_index"), F.coalesce(F.sum(F.when(~whole, F.col("n"))), F.lit(0)).alias("checked"))
@@ -144,7 +177,7 @@ def index_report(index: DataFrame, records: DataFrame, lo: float, hi: float, epo
     all_ = index if epoch is None else index.where(F.col("epoch") == epoch)
     ranges = all_.groupBy(*block).agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sum("n").alias("n"))
     met = _parts(ranges, None, lo, hi, closed)[0].agg(F.count("*").alias("blocks"), F.coalesce(F.sum("n"), F.lit(0)).alias("block_records"))
-    good = indexed_range(index.where("true"), records, lo, hi, epoch, closed).agg(F.count("*").alias("hits"))
+    good = indexed_range(index, records, lo, hi, epoch, closed).agg(F.count("*").alias("hits"))
     return good.crossJoin(sums).crossJoin(blocks).crossJoin(met)  # tables of one row
 
 

@@ -45,6 +45,32 @@ def test_ranges_by_the_index(spark, closed, lo, hi, epoch):
     assert report["blocks_checked"] <= report["blocks"] and report["checked"] <= report["block_records"]
 
 
+@pytest.mark.parametrize("batch", [1, 7, 10_000])
+def test_an_index_is_built_once_in_few_batches(spark, monkeypatch, batch):
+    """The same index however rows are batched, its bitmaps as ``encode`` makes them, and a report that builds it once."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        r = spark.createDataFrame(rows() + [(5, 0, 0, p, 3.0) for p in (*range(40), 90_000)], "epoch INT, rank INT, sst INT, pos BIGINT, key FLOAT")
+        blocks = {}
+        for e, k, s, p, key in rows() + [(5, 0, 0, p, 3.0) for p in (*range(40), 90_000)]:
+            if key is not None and key == key:
+                blocks.setdefault((e, k, s), []).append((p, np.searchsorted(np.array(EDGES, "f4"), np.float32(key), side="right")))
+        want = {}
+        for name, own in blocks.items():
+            first = min(own)[0]
+            for b in {b for _, b in own}:
+                want[*name, b] = (first, BM.encode(np.array(sorted(p - first for p, x in own if x == b))))
+        found = BM.build_index(r, EDGES).collect()
+        assert {(x["epoch"], x["rank"], x["sst"], x["bin"]): (x["first"], bytes(x["bitmap"])) for x in found} == want and len(found) == len(want)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    kept, keep = [], BM.keep
+    monkeypatch.setattr(BM, "keep", lambda df, name: kept.append(name) or keep(df, name))
+    BM.index_report(BM.build_index(r, EDGES), r, 1, 2).collect()
+    assert kept == ["bitmaps"]
+
+
 def test_whole_bins_need_no_record(spark):
     r = spark.createDataFrame(rows(), "epoch INT, rank INT, sst INT, pos BIGINT, key FLOAT")
     report = BM.index_report(BM.build_index(r, EDGES), r, 0.99999, 2.74999, None, "both").first()
