@@ -51,8 +51,8 @@ EPOCH, FOOTER = struct.Struct("<IQ"), struct.Struct("<IQQQ")
 TAIL = 4096
 #: Footers read at once when a read is planned.
 FOOTER_READS = 32
-#: Bytes of neighbouring blocks that one task reads.
-SPLIT = 64 << 20
+#: Bytes of neighbouring blocks that one task reads; small files are read by one task up to so many bytes, and their rows given out together.
+SPLIT, PACK, PACK_ROWS = 64 << 20, 4 << 20, 8192
 #: Values less than so many bytes apart are fetched by one read, of at most so many bytes and for so many pointers.
 FETCH_GAP, FETCH_BYTES, FETCH_ROWS = 64 << 10, 8 << 20, 1 << 16
 #: Records of a file, and of a block, that is written.
@@ -446,6 +446,40 @@ class Blocks(InputPartition):
     blocks: list[tuple[int, int, int, int, int]]  # epoch, number in the epoch, first pos, offset, records
 
 
+@dataclass
+class Pack(InputPartition):
+    """Parts of several files that one task reads, one after the other."""
+
+    parts: list[Blocks]
+
+
+def _packed(parts: list[Blocks], values: bool, most: int) -> Iterator[InputPartition]:
+    """Small parts together, in order, up to ``most`` bytes; a part that nothing goes with stays as it is."""
+    own, held = [], 0
+    for p in parts:
+        size = sum(b[4] for b in p.blocks) * (4 + p.value_size * values)
+        if own and held + size > most:
+            yield Pack(own) if len(own) > 1 else own[0]
+            own, held = [], 0
+        own.append(p)
+        held += size
+    if own:
+        yield Pack(own) if len(own) > 1 else own[0]
+
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least ``PACK_ROWS``, but for the last one."""
+    own, n = [], 0
+    for b in batches:
+        own.append(b)
+        n += len(b)
+        if n >= PACK_ROWS:
+            yield from pa.Table.from_batches(own).combine_chunks().to_batches()
+            own, n = [], 0
+    if own:
+        yield from pa.Table.from_batches(own).combine_chunks().to_batches()
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options, values: bool):
         self.path, self.values = options["path"], values
@@ -462,11 +496,13 @@ class _Reader(DataSourceReader):
         out: list[InputPartition] = []
         for footer in read_footers(self.path, [r for r in list_ranks(self.path) if self.wanted.value("rank", r[0])]):
             out += _split(self.path, footer, self.wanted.blocks(footer), self.values, self.split)
-        return out or [Blocks(self.path, -1, 4, 0, [])]
+        return list(_packed(out, self.values, min(PACK, self.split))) or [Blocks(self.path, -1, 4, 0, [])]
 
-    def read(self, part: Blocks) -> Iterator[pa.RecordBatch]:
-        if not part.blocks:
-            return
+    def read(self, part: Blocks | Pack) -> Iterator[pa.RecordBatch]:
+        parts = part.parts if isinstance(part, Pack) else [part]
+        return _together(itertools.chain.from_iterable(self._blocks(p) for p in parts if p.blocks))
+
+    def _blocks(self, part: Blocks) -> Iterator[pa.RecordBatch]:
         system, root = _open(part.path)
         with system.open_input_file(f"{root}/{file_name(part.rank)}") as f:
             for epoch, sst, pos, offset, n in part.blocks:

@@ -113,6 +113,22 @@ def test_files_roll_at_their_limit(spark, tmp_path, block):
     assert content(spark.read.format("rdb").load(path)) == content(df.where("epoch = 1")) and len(names(path)) <= 4
 
 
+def test_small_files_are_read_together(spark, tmp_path, monkeypatch):
+    """A task for each of very many small files, and a batch for each block, cost more than the rows."""
+    path, rng = str(tmp_path / "many"), np.random.default_rng(2)
+    for rank in range(200):
+        B.write_file(path, rank, {0: [(rng.random(5).astype("f4"), np.full((5, 3), rank, np.uint8))] * 2}, 3)
+    B.register(spark)
+    got = spark.read.format("rdb").load(path)
+    assert got.rdd.getNumPartitions() == 1
+    assert sorted((r["rank"], r["pos"], r["value"][0]) for r in got.collect()) == [(k, p, k) for k in range(200) for p in range(1, 11)]
+    assert got.where("rank = 7 AND key >= 0").count() == 10
+    reader = B._Reader({"path": path}, True)
+    assert [len(b) for part in reader.partitions() for b in reader.read(part)] == [2000]
+    monkeypatch.setattr(B, "PACK", 700)  # ten files of 70 bytes
+    assert len(reader.partitions()) == 20
+
+
 def test_a_failed_task_leaves_nothing(spark, tmp_path):
     B.register(spark)
     path, df = str(tmp_path / "out"), table(spark)
