@@ -147,6 +147,18 @@ def test_a_full_cache_is_emptied():
         assert [np.frombuffer(x, "<u4").tolist() for x in c.ids(["one two three four five", "six"])] == [library("one two three four five"), library("six")]
 
 
+def test_a_cache_holds_no_more_than_it_may_and_keeps_what_comes_again():
+    bpe, asked = wordbpe.WordBpe(PATH), []
+    encode = bpe.encode_units
+    bpe.encode_units = lambda units: asked.extend(units) or encode(units)
+    c, often = wordbpe.UnitCache(bpe, most=500), [f"word{i}x" for i in range(50)]
+    for k in range(20):
+        texts = [" ".join([*often, *(f"rare{k}n{i}," for i in range(200))]), "ñandú…s <|endoftext|> it's½"]
+        assert [np.frombuffer(x, "<u4").tolist() for x in c.ids(texts)] == [library(t) for t in texts]
+        assert len(c) <= 500
+    assert len([u for u in asked if u in often]) == 50
+
+
 def test_bpe_is_the_library(docs, empty):
     want = sorted((r["doc_id"] if r["doc_id"] is not None else -1, len(i := library(r["text"])), hashlib.sha256(" ".join(map(str, i)).encode()).hexdigest(), hashlib.sha256(TOK.decode(i, skip_special_tokens=False).encode()).hexdigest()) for r in docs.collect())
     got = sorted((-1 if r[0] is None else r[0], *r[1:]) for r in bpe.encode_documents(docs, PATH).collect())
