@@ -202,6 +202,35 @@ def test_line_dedup_looks_at_every_run(spark):
     assert sum(got[i] == want.get(i, []) for i in got) >= 0.97 * len(rows)
 
 
+def test_line_dedup_signs_prose_by_word_pairs(spark):
+    rng = random.Random(5)
+    prose = lambda n: " ".join(f"{w}{rng.randrange(99)}" for w in words(rng, n))
+    texts = [prose(60), prose(18), prose(5), prose(60) + " https://where.example/" + "x7q" * 20, "\u6211\u4eec" * 30, "ab " * 90]
+    got = {r["doc_id"]: (r["r0"] is not None, r["w0"] is not None) for r in linededup.signed_lines(frame(spark, enumerate(texts))).collect()}
+    assert got == {0: (False, True), 1: (True, True), 2: (True, False), 3: (True, True), 4: (True, False), 5: (True, False)}
+
+
+def test_line_dedup_between_kinds_of_signature(spark):
+    rng = random.Random(6)
+    rows = []
+    for n in range(10, 60):  # words: signed by runs, by both, by word pairs; one of a pair with a long word, or a word less
+        base = [f"{w}{rng.randrange(999)}" for w in words(rng, n)]
+        rows += [" ".join(base), " ".join(base[1:]), " ".join([*base, "z" * 40]), " ".join([*base[:-1], base[-1] + "s"]), " ".join(base[: n // 2] + ["other"] + base[n // 2 + 1 :])]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    got = {r["doc_id"]: r["removed"] for r in linededup.dedup_report(frame(spark, rows)).collect()}
+    want = plain_lines(rows)
+    assert len(want) > 100 and {i for i in got if got[i]} <= set(want)
+    assert sum(bool(got[i]) for i in want) >= 0.98 * len(want)
+
+
+def test_line_dedup_of_ids_of_all_sizes(spark):
+    texts = ["some line here", "other words", "some line here", "more of it"]
+    for ids in ([0, 1, 2, 3], [-5, -4, -3, -2], [-(1 << 63), 7, 1 << 62, (1 << 63) - 1], [1 << 32, (1 << 32) + 1, (1 << 32) + 2, (1 << 32) + 3]):
+        got = {r["doc_id"]: r["removed"] for r in linededup.dedup_report(frame(spark, zip(ids, texts, strict=True))).collect()}
+        assert got == {ids[0]: [], ids[1]: [], ids[2]: [0], ids[3]: []}
+
+
 def template_lines(n, seed=4):
     """Lines of one template, mutually alike to 0.5-0.75, each tenth with a near copy."""
     rng = random.Random(seed)
